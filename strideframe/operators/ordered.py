@@ -202,3 +202,14 @@ def run_length(df: DataFrame, keys: Sequence[str], order: str, flag: str, *, nam
     if first_run:
         d = d.withColumn(first_run, left.isNull())
     return d.drop("_lt", "_lf", "_nt", "_nf", "_lo", "_hi")
+
+
+def spread(df: DataFrame, keys: Sequence[str], order: str, stats: DataFrame, *, size: int = BLOCK) -> DataFrame:
+    """Left-join one row of statistics per key to every row of the key.
+
+    The statistics are first copied to the blocks of their key, so the wide side is joined on
+    ``(keys, block)`` and a key with very many rows is not sent to one task.
+    """
+    b = df.withColumn("_blk", block_of(order, size))
+    per_block = b.select(*keys, "_blk").distinct().join(stats, list(keys))
+    return b.join(per_block, [*keys, "_blk"], "left").drop("_blk")

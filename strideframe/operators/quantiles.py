@@ -17,6 +17,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideframe.session import cut_lineage
+
 RANGES = 256
 
 
@@ -30,11 +32,20 @@ def value_range(df: DataFrame, col: str, name: str, ranges: int = RANGES) -> Dat
     return Bucketizer(splits=splits, inputCol=col, outputCol=name, handleInvalid="error").transform(df)
 
 
-def rank_values(df: DataFrame, keys: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
-    """One row per (keys, distinct value): ``_lo`` and ``_hi`` (its first and one past last
-    0-based rank), ``_cnt`` and the group size ``_n``.  Nulls are left out."""
-    vals = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    distinct = vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_cnt"))
+def distinct_values(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
+    """(keys, ``_v``, ``_cnt``): equal values of a group collapsed to a count, nulls left out.
+
+    The result is written once, so that the split points, the range totals and the ranks all
+    read it instead of recomputing the input.
+    """
+    w = F.lit(1) if weight is None else weight
+    vals = df.select(*keys, F.col(value).cast("double").alias("_v"), w.alias("_w")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    return cut_lineage(vals.groupBy(*keys, "_v").agg(F.sum("_w").alias("_cnt")))
+
+
+def rank_values(distinct: DataFrame, keys: Sequence[str], ranges: int = RANGES) -> tuple[DataFrame, DataFrame]:
+    """Ranks of collapsed values: rows with ``_lo``/``_hi`` (first and one past last 0-based rank),
+    ``_n`` (group size) and ``_rng``; and the (keys, ``_rng``) table of occupied ranges."""
     binned = value_range(distinct, "_v", "_rng", ranges)
     local = Window.partitionBy(*keys, "_rng").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
@@ -45,41 +56,48 @@ def rank_values(df: DataFrame, keys: Sequence[str], value: str, ranges: int = RA
         F.coalesce(F.sum("_t").over(whole.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.sum("_t").over(whole).alias("_n"),
     )
-    return (
+    ranked = (
         binned.withColumn("_hi", F.sum("_cnt").over(local))
         .join(totals, [*keys, "_rng"])
         .withColumn("_hi", F.col("_hi") + F.col("_before"))
         .withColumn("_lo", F.col("_hi") - F.col("_cnt"))
-        .drop("_before", "_rng")
+        .drop("_before")
     )
+    return ranked, totals.select(*keys, "_rng")
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], *, n: str | None = None, ranges: int = RANGES
-) -> DataFrame:
-    """One row per key with a linearly interpolated percentile per entry of ``probs``.
-
-    Keys whose values are all null give no row; left-join where they must stay.
-    """
-    keys = list(keys)
-    work, gk = (df, keys) if keys else (df.withColumn("_all", F.lit(1)), ["_all"])
-    ranked = rank_values(work, gk, value, ranges)
+def _pick(ranked: DataFrame, keys: Sequence[str], probs: Mapping[str, float], n: str | None) -> DataFrame:
     aggs: list[Column] = []
     for i, p in enumerate(probs.values()):
         pos = (F.col("_n") - 1) * F.lit(float(p))
         for tag, rank in (("f", F.floor(pos)), ("c", F.ceil(pos))):
             hit = (F.col("_lo") <= rank) & (rank < F.col("_hi"))
             aggs.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{tag}{i}"))
-    out = ranked.groupBy(*gk).agg(F.max("_n").alias("_n"), *aggs)
+    out = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *aggs)
     for i, (name, p) in enumerate(probs.items()):
         pos = (F.col("_n") - 1) * F.lit(float(p))
         frac = pos - F.floor(pos)
         out = out.withColumn(name, F.col(f"_f{i}") + (F.col(f"_c{i}") - F.col(f"_f{i}")) * frac)
-    cols = [*keys, *probs]
     if n:
         out = out.withColumn(n, F.col("_n"))
-        cols.append(n)
-    return out.select(*cols)
+    return out.select(*keys, *probs, *([n] if n else []))
+
+
+def _grouped(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    return (df, list(keys)) if keys else (df.withColumn("_all", F.lit(1)), ["_all"])
+
+
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], *, n: str | None = None, weight: Column | None = None, ranges: int = RANGES
+) -> DataFrame:
+    """One row per key with a linearly interpolated percentile per entry of ``probs``.
+
+    Keys whose values are all null give no row; left-join where they must stay.
+    """
+    work, gk = _grouped(df, keys)
+    ranked, _ = rank_values(distinct_values(work, gk, value, weight), gk, ranges)
+    out = _pick(ranked, gk, probs, n)
+    return out if keys else out.drop("_all")
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", **kw) -> DataFrame:
@@ -88,18 +106,29 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
 
 def median_and_mad(df: DataFrame, keys: Sequence[str], value: str, *, med: str = "med", mad: str = "mad", n: str = "n") -> DataFrame:
     """Group median, median absolute deviation from it, and the number of values."""
-    m = exact_quantiles(df, keys, value, {med: 0.5}, n=n)
-    dev = attach(df.select(*keys, value), m, keys).withColumn("_dev", F.abs(F.col(value) - F.col(med)))
-    return m.join(exact_quantiles(dev, keys, "_dev", {mad: 0.5}), list(keys)) if keys else m.crossJoin(
-        exact_quantiles(dev, keys, "_dev", {mad: 0.5})
-    )
+    work, gk = _grouped(df, keys)
+    distinct = distinct_values(work, gk, value)
+    ranked, ranges = rank_values(distinct, gk)
+    m = cut_lineage(_pick(ranked, gk, {med: 0.5}, n))
+    # The median reaches the values range by range, so a large group is not one task.
+    dev = ranked.join(ranges.join(m, gk), [*gk, "_rng"]).select(*gk, F.abs(F.col("_v") - F.col(med)).alias("_dev"), "_cnt")
+    out = m.join(exact_quantiles(dev, gk, "_dev", {mad: 0.5}, weight=F.col("_cnt")), gk)
+    return out if keys else out.drop("_all")
+
+
+SALTS = 32
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join one row of group statistics back to every row of the group.
 
-    Statistics without keys are a single row, which is safe to broadcast.
+    Rows are salted by a hash of their values and the statistics copied to every salt, so a
+    group with a large share of all rows is joined by many tasks.  Statistics without keys
+    are a single row, which is safe to broadcast.
     """
     if not keys:
         return df.crossJoin(F.broadcast(stats))
-    return df.join(stats, list(keys), how)
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "array", "struct", "variant")]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
+    copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

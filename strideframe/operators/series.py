@@ -13,10 +13,6 @@ from strideframe.operators.quantiles import exact_median  # noqa: F401  (re-expo
 from strideframe.operators.runs import dilate, linked_events
 
 
-def track_bounds(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-
-
 def rolling(
     df: DataFrame, keys: Sequence[str], order: str, value: str, *, before: int, after: int, how: str | float, name: str,
     min_periods: int = 1, size: int = BLOCK,
@@ -33,14 +29,14 @@ def rolling(
     return halo(df, keys, order, build, before=before, after=after, size=size)
 
 
-def pad_edges(df: DataFrame, keys: Sequence[str], order: str, radius: int, edge: str) -> DataFrame:
+def pad_edges(df: DataFrame, keys: Sequence[str], order: str, radius: int, edge: str, *, size: int = BLOCK) -> DataFrame:
     """Add ``radius`` rows outside each end of a dense track, copied from the rows inside.
 
     ``reflect`` repeats the border row (d c b a | a b c d), ``mirror`` does not,
     ``nearest`` repeats the border row only.  Padded rows carry ``_pad = true``.
     A track shorter than the radius is reflected again until the padding is full.
     """
-    b = df.join(track_bounds(df, keys, order), list(keys))
+    b = scan(df, keys, order, bounds=("_lo", "_hi"), size=size)
     n = F.col("_hi") - F.col("_lo") + 1
     pos = F.col(order) - F.col("_lo")
     # Offsets in 1..radius outside either end whose source is this row.
@@ -82,7 +78,7 @@ def fir(
     d = df
     for i, c in enumerate(cols.values()):
         d = d.withColumn(f"_f{i}", F.col(c) if isinstance(c, str) else c)
-    d = pad_edges(d, keys, order, radius, edge)
+    d = pad_edges(d, keys, order, radius, edge, size=size)
 
     def build(w):
         out = {}
@@ -95,13 +91,16 @@ def fir(
             if null_aware:
                 num = sum((F.coalesce(shifted(x, lo + j), F.lit(0.0)) * t for j, t in enumerate(taps)), F.lit(0.0))
                 den = sum((shifted(x.isNotNull().cast("double"), lo + j) * t for j, t in enumerate(taps)), F.lit(0.0))
-                out[n] = F.when(x.isNotNull() & (den > 0), num / den)
+                out[f"_o{i}"] = F.when(x.isNotNull() & (den > 0), num / den)
             else:
-                out[n] = sum((shifted(x, lo + j) * t for j, t in enumerate(taps)), F.lit(0.0))
+                out[f"_o{i}"] = sum((shifted(x, lo + j) * t for j, t in enumerate(taps)), F.lit(0.0))
         return out
 
     out = halo(d, keys, order, build, before=radius, after=radius, size=size)
-    return out.where(~F.col("_pad")).drop("_pad", *[f"_f{i}" for i in range(len(cols))])
+    out = out.where(~F.col("_pad"))
+    for i, n in enumerate(cols):
+        out = out.withColumn(n, F.col(f"_o{i}"))
+    return out.drop("_pad", *[f"_{t}{i}" for t in "fo" for i in range(len(cols))])
 
 
 def gaussian_taps(sigma: float, truncate: float = 4.0) -> list[float]:
