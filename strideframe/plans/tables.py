@@ -100,14 +100,15 @@ KEYPOINTS_CTE = f"""{POSES_CTE}, kps AS (
 
 def pairs_of_names(spark: SparkSession, pairs) -> DataFrame:
     """A small literal table of named pairs."""
-    return spark.createDataFrame([(a, b) for a, b in pairs], "a string, b string")
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in pairs) + " AS t(a, b)")
 
 
 BONES_CTE = "bones AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in BONES) + ") AS b(a, b))"
 
 
 def cameras(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(CAMERAS.items()), "camera string, p array<double>")
+    rows = ", ".join(f"('{c}', array({', '.join(f'{v}D' for v in p)}))" for c, p in CAMERAS.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(camera, p)")
 
 
 CAMERAS_CTE = (
@@ -128,3 +129,24 @@ def observed(df: DataFrame, floor: float = 0.1) -> DataFrame:
 OBSERVED_CTE = f"""{KEYPOINTS_CTE}, obs AS (
  SELECT track, frame, vec_id, pos, kp, conf, CASE WHEN conf >= 0.1 THEN x END AS x,
         CASE WHEN conf >= 0.1 THEN y END AS y, CASE WHEN conf >= 0.1 THEN z END AS z FROM kps)"""
+
+
+def observations(spark: SparkSession, sf: str) -> DataFrame:
+    """2-D detections ``(track, frame, pos, kp, camera, u, v, conf)``: projections with a small offset."""
+    from strideframe.operators.geometry import project
+
+    cam = F.substring("camera", 5, 1).cast("long")
+    p = project(keypoints(spark, sf), cameras(spark))
+    return p.select(
+        "track", "frame", "pos", "kp", "camera",
+        (F.col("u") + F.pmod(F.col("vec_id") * 31 + F.col("pos") * 17 + cam * 7, F.lit(97)) / 100.0).alias("u"),
+        (F.col("v") - F.pmod(F.col("vec_id") * 13 + F.col("pos") * 29 + cam * 5, F.lit(89)) / 100.0).alias("v"),
+        (F.pmod(F.col("vec_id") * 3 + F.col("pos") * 7 + cam * 11, F.lit(100)) / 100).alias("conf"),
+    )
+
+
+_R = [f"(p[{4 * r + 1}] * x + p[{4 * r + 2}] * y + p[{4 * r + 3}] * z + p[{4 * r + 4}])" for r in range(3)]
+OBSERVATIONS_CTE = f"""{KEYPOINTS_CTE}, {CAMERAS_CTE}, det AS (SELECT track, frame, pos, kp, camera, p,
+ {_R[0]} / {_R[2]} + ((vec_id * 31 + pos * 17 + CAST(camera[5] AS BIGINT) * 7) % 97) / 100.0 AS u,
+ {_R[1]} / {_R[2]} - ((vec_id * 13 + pos * 29 + CAST(camera[5] AS BIGINT) * 5) % 89) / 100.0 AS v,
+ ((vec_id * 3 + pos * 7 + CAST(camera[5] AS BIGINT) * 11) % 100) / 100.0 AS conf FROM kps, cams)"""
