@@ -69,3 +69,66 @@ def offset_windows(df: DataFrame, keys: Sequence[str], order: str, T: int, delta
 def missing_work(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Work items without output."""
     return todo.join(done.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def map_positions(slots: DataFrame, plan: DataFrame, camera: str = "camera", slot: str = "slot") -> DataFrame:
+    """Camera frame position of each slot: the slot itself for a camera without a plan, -1 where
+    the plan has no position."""
+    planned = plan.select(camera).distinct().withColumn("_planned", F.lit(True))
+    d = slots.join(plan.select(camera, slot, "position"), [camera, slot], "left").join(planned, camera, "left")
+    return d.withColumn("position", F.when(F.col("_planned").isNull(), F.col(slot)).otherwise(F.coalesce("position", F.lit(-1)))).drop("_planned")
+
+
+def pair_rows(df: DataFrame, bout: Sequence[str], fly: str, cols: Sequence[str]) -> DataFrame:
+    """Both animals of a bout side by side (``_0`` and ``_1`` columns)."""
+    a, b = (df.where(F.col(fly) == i).select(*bout, *[F.col(c).alias(f"{c}_{i}") for c in cols]) for i in (0, 1))
+    return a.join(b, list(bout))
+
+
+def consecutive_pairs(df: DataFrame, keys: Sequence[str], order: str, kind: str, first: str, second: str, *, size: int = BLOCK) -> DataFrame:
+    """Rows of kind ``first`` whose next row along a dense order is of kind ``second``."""
+    from strideframe.operators.ordered import lag_lead
+
+    d = lag_lead(df, keys, order, leads={"_k": kind}, size=size)
+    return d.where((F.col(kind) == first) & (F.col("_k") == second)).select(*keys, F.col(order).alias("first"), (F.col(order) + 1).alias("second"))
+
+
+def unpaired(rows: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rows.join(pairs.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Left join on keys that must be unique on both sides, and the keys that are not."""
+
+    def repeated(d: DataFrame, side: str) -> DataFrame:
+        return d.groupBy(*keys).count().where(F.col("count") > 1).select(*keys, F.lit(side).alias("side"), "count")
+
+    return left.join(right, list(keys), "left"), repeated(left, "left").unionByName(repeated(right, "right"))
+
+
+def match_length(clips: DataFrame, bouts: DataFrame, keys: Sequence[str], *, tolerance: int = 1) -> DataFrame:
+    """Bouts of the same recording whose length is within ``tolerance`` of a clip's: the match
+    when there is exactly one, otherwise how many there were."""
+    near = clips.withColumn("_len", F.explode(F.sequence(F.col("clip_len") - tolerance, F.col("clip_len") + tolerance)))
+    hits = near.join(bouts.select(*keys, "bout", F.col("n_frames").alias("_len")), [*keys, "_len"])
+    per = hits.groupBy(*keys, "clip").agg(F.count(F.lit(1)).alias("n_matches"), F.min("bout").alias("_b"))
+    out = clips.join(per, [*keys, "clip"], "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
+    return out.withColumn("bout", F.when(F.col("n_matches") == 1, F.col("_b"))).drop("_b")
+
+
+def closest_reference(targets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """For every target (``n``, ``sign``) the candidate going the same way with the best count.
+
+    Candidates are first reduced to one per (sign, count), so every target meets a small
+    table however many candidates there are.  Fewer than asked comes last, then the
+    smallest difference, then the lowest id; without one going the same way the rule
+    applies to all.
+    """
+    have = candidates.where(F.col("n") > 0)
+    per = have.groupBy(F.col("sign").alias("_sign"), F.col("n").alias("_n")).agg(F.min("id").alias("_id"))
+    score = F.struct((F.col("_sign") != F.col("sign")).alias("other"), (F.col("_n") < F.col("n")).alias("fewer"), F.abs(F.col("_n") - F.col("n")).alias("gap"), F.col("_id").alias("id"))
+    from strideframe.operators.geometry import small_table
+
+    kinds = targets.select("n", "sign").distinct()
+    best = kinds.crossJoin(small_table(per)).groupBy("n", "sign").agg(F.min(score).alias("_best"))
+    return targets.join(best, ["n", "sign"]).select(*targets.columns, F.col("_best.id").alias("match"))
