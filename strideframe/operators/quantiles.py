@@ -32,6 +32,18 @@ def value_range(df: DataFrame, col: str, name: str, ranges: int = RANGES) -> Dat
     return Bucketizer(splits=splits, inputCol=col, outputCol=name, handleInvalid="error").transform(df)
 
 
+def balanced_blocks(df: DataFrame, col: str, name: str, *, rows: int = 1_000_000) -> DataFrame:
+    """Add an order-preserving block number of a numeric column with about ``rows`` rows each.
+
+    A table that fits one block needs no sketch; a key can never hold more of a block than
+    the block has rows, however skewed the keys are.
+    """
+    n = df.count()
+    if n <= rows:
+        return df.withColumn(name, F.lit(0.0))
+    return value_range(df, col, name, ranges=min(-(-n // rows), 1 << 14))
+
+
 def distinct_values(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
     """(keys, ``_v``, ``_cnt``): equal values of a group collapsed to a count, nulls left out.
 

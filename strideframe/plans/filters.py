@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from strideframe.operators import filters as L
 from strideframe.operators import gates as T
 from strideframe.operators.series import gaussian_smooth, gaussian_taps
+from strideframe.operators.ordered import BLOCK
 from strideframe.plans.registry import query
 from strideframe.plans.tables import BONES, BONES_CTE, KEYPOINTS_CTE, OBSERVED_CTE, TRACKS_CTE, keypoints, observed, pairs_of_names, tracks
 
-BLK = 16
+# Block length of the ordered operators; tests shrink it so that tracks span several blocks.
+BLK = BLOCK
 KF = ["track", "frame"]
 
 

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from strideframe.operators import joins as J
 from strideframe.operators import select as P
-from strideframe.operators.ordered import number_rows
+from strideframe.operators.ordered import BLOCK, number_rows
 from strideframe.plans.registry import query
 from strideframe.plans.series import gate_bouts
 from strideframe.plans.tables import TRACKS_CTE, table, tracks
 
-BLK = 32
+# Block length of the ordered operators; tests shrink it so that tracks span several blocks.
+BLK = BLOCK
 KF = ["track", "frame"]
 _BOUTS = f"""{TRACKS_CTE}, hit AS (SELECT track, frame, lag(frame) OVER (PARTITION BY track ORDER BY frame) AS prev FROM t WHERE conf >= 0.5),
  m AS (SELECT *, sum(CASE WHEN prev IS NULL OR frame - prev - 1 > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY frame) AS run FROM hit),

@@ -9,12 +9,14 @@ from strideframe.operators import geometry as G
 from strideframe.operators import motion as M
 from strideframe.operators.select import hash_uniform
 from strideframe.plans.geometry import _QN, body_poses
+from strideframe.operators.ordered import BLOCK
 from strideframe.plans.registry import query
 from strideframe.plans.statistics import _hash_sql
 from strideframe.plans.tables import KEYPOINTS_CTE, POSES_CTE, TRACKS_CTE, keypoints, poses, table, tracks
 from strideframe.plans.walking import _CY, click_cycles
 
-BLK = 16
+# Block length of the ordered operators; tests shrink it so that tracks span several blocks.
+BLK = BLOCK
 K = ["track"]
 KF = ["track", "frame"]
 

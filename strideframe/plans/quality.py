@@ -10,12 +10,14 @@ from strideframe.operators import fits
 from strideframe.operators import geometry as G
 from strideframe.operators import qc
 from strideframe.operators import scale as SC
+from strideframe.operators.ordered import BLOCK
 from strideframe.plans.registry import query
 from strideframe.plans.tables import (
     BONES, BONES_CTE, CAMERAS, KEYPOINTS_CTE, OBSERVATIONS_CTE, OBSERVED_CTE, cameras, keypoints, observations, observed, pairs_of_names, table,
 )
 
-BLK = 16
+# Block length of the ordered operators; tests shrink it so that tracks span several blocks.
+BLK = BLOCK
 KF = ["track", "frame"]
 KFP = ["track", "frame", "kp"]
 

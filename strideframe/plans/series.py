@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from strideframe.operators import runs as R
 from strideframe.operators import series as S
+from strideframe.operators.ordered import BLOCK
 from strideframe.plans.registry import query
 from strideframe.plans.tables import TRACKS_CTE, table, tracks
 
-# Small enough that tracks of the test tables span several blocks.
-BLK = 32
+# Block length of the ordered operators; tests shrink it so that tracks span several blocks.
+BLK = BLOCK
 K = ["track"]
 
 _GATED = f"""WITH {TRACKS_CTE}, g AS (SELECT *, conf >= 0.5 AS ok FROM t),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideframe.operators.ordered import number_rows
+from strideframe.operators.quantiles import balanced_blocks
 
 # Landmark names given to the 21 points of one embedding row.
 LANDMARKS = [
@@ -37,11 +38,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def hour_block(ts: str = "ts"):
-    """Hours since 2000, non-decreasing in the wall-clock time."""
-    return F.datediff(F.col(ts), F.lit("2000-01-01")) * 24 + F.hour(ts)
-
-
 def tracks(spark: SparkSession, sf: str) -> DataFrame:
     """``(track, frame, event_id, v, conf, label)``: one signal per user, frame = time order."""
     ev = table(spark, sf, "events").select(
@@ -52,7 +48,9 @@ def tracks(spark: SparkSession, sf: str) -> DataFrame:
         (F.get_json_object("props", "$.k").cast("double") / 100).alias("conf"),
         F.col("event_type").alias("label"),
     )
-    return number_rows(ev, ["track"], ["ts", "event_id"], hour_block()).drop("ts")
+    ev = ev.withColumn("_sec", F.timestamp_diff("SECOND", F.lit("2000-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")).cast("double"))
+    ev = balanced_blocks(ev, "_sec", "_tb")
+    return number_rows(ev, ["track"], ["ts", "event_id"], F.col("_tb")).drop("ts", "_sec", "_tb")
 
 
 TRACKS_CTE = """t AS (

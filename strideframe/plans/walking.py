@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from strideframe.functions import vectors as V
 from strideframe.functions.terrain import Stairs
 from strideframe.operators import gait as G
-from strideframe.operators.ordered import running_sum
+from strideframe.operators.ordered import BLOCK, running_sum
 from strideframe.plans.registry import query
 from strideframe.plans.tables import TRACKS_CTE, tracks
 
-BLK = 32
+# Block length of the ordered operators; tests shrink it so that tracks span several blocks.
+BLK = BLOCK
 K = ["track"]
 KF = ["track", "frame"]
 
