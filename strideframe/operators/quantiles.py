@@ -4,9 +4,9 @@
 with the data (a recording, a condition, the whole table) the functions below rank the
 values in value ranges instead: equal values are first collapsed to counts, the ranges
 come from an approximate quantile sketch of the whole column (a bounded list of split
-points), so no (group, range) pair holds more than about 1/``ranges`` of all distinct
-values however skewed the groups are, and the ranks across ranges come from per-range
-counts.  The split points decide only the balance; the result is exact for any of them.
+points, as many as the volume asks for), so no (group, range) pair holds more than about
+``ROWS_PER_RANGE`` distinct values however skewed the groups are, and the ranks across
+ranges come from per-range counts.  The split points decide only the balance; the result is exact for any of them.
 """
 
 from __future__ import annotations
@@ -19,11 +19,15 @@ from pyspark.sql import functions as F
 
 from strideframe.session import cut_lineage
 
-RANGES = 256
+# Distinct values ranked by one task, and the most ranges a sketch is asked for.
+ROWS_PER_RANGE = 1_000_000
+MAX_RANGES = 1 << 14
 
 
-def value_range(df: DataFrame, col: str, name: str, ranges: int = RANGES) -> DataFrame:
+def value_range(df: DataFrame, col: str, name: str, ranges: int) -> DataFrame:
     """Add an order-preserving range number of ``col`` with about equal row counts."""
+    if ranges <= 1:
+        return df.withColumn(name, F.lit(0.0))
     probs = [i / ranges for i in range(1, ranges)]
     points = sorted(set(df.approxQuantile(col, probs, 0.5 / ranges) or []))
     if not points:
@@ -32,16 +36,13 @@ def value_range(df: DataFrame, col: str, name: str, ranges: int = RANGES) -> Dat
     return Bucketizer(splits=splits, inputCol=col, outputCol=name, handleInvalid="error").transform(df)
 
 
-def balanced_blocks(df: DataFrame, col: str, name: str, *, rows: int = 1_000_000) -> DataFrame:
+def balanced_blocks(df: DataFrame, col: str, name: str, *, rows: int = ROWS_PER_RANGE) -> DataFrame:
     """Add an order-preserving block number of a numeric column with about ``rows`` rows each.
 
     A table that fits one block needs no sketch; a key can never hold more of a block than
     the block has rows, however skewed the keys are.
     """
-    n = df.count()
-    if n <= rows:
-        return df.withColumn(name, F.lit(0.0))
-    return value_range(df, col, name, ranges=min(-(-n // rows), 1 << 14))
+    return value_range(df, col, name, min(-(-df.count() // rows), MAX_RANGES))
 
 
 def distinct_values(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
@@ -55,10 +56,10 @@ def distinct_values(df: DataFrame, keys: Sequence[str], value: str, weight: Colu
     return cut_lineage(vals.groupBy(*keys, "_v").agg(F.sum("_w").alias("_cnt")))
 
 
-def rank_values(distinct: DataFrame, keys: Sequence[str], ranges: int = RANGES) -> tuple[DataFrame, DataFrame]:
+def rank_values(distinct: DataFrame, keys: Sequence[str], rows: int = ROWS_PER_RANGE) -> tuple[DataFrame, DataFrame]:
     """Ranks of collapsed values: rows with ``_lo``/``_hi`` (first and one past last 0-based rank),
     ``_n`` (group size) and ``_rng``; and the (keys, ``_rng``) table of occupied ranges."""
-    binned = value_range(distinct, "_v", "_rng", ranges)
+    binned = balanced_blocks(distinct, "_v", "_rng", rows=rows)
     local = Window.partitionBy(*keys, "_rng").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     totals = binned.groupBy(*keys, "_rng").agg(F.sum("_cnt").alias("_t"))
@@ -100,14 +101,14 @@ def _grouped(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], *, n: str | None = None, weight: Column | None = None, ranges: int = RANGES
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], *, n: str | None = None, weight: Column | None = None, rows: int = ROWS_PER_RANGE
 ) -> DataFrame:
     """One row per key with a linearly interpolated percentile per entry of ``probs``.
 
     Keys whose values are all null give no row; left-join where they must stay.
     """
     work, gk = _grouped(df, keys)
-    ranked, _ = rank_values(distinct_values(work, gk, value, weight), gk, ranges)
+    ranked, _ = rank_values(distinct_values(work, gk, value, weight), gk, rows)
     out = _pick(ranked, gk, probs, n)
     return out if keys else out.drop("_all")
 

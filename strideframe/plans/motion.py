@@ -223,13 +223,13 @@ def f38_pulse_types(spark, sf):
     return classify_pulses(w, "wave", "symmetry", k=3, seed=1).groupBy("pulse_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("symmetry"), 4).alias("symmetry"))
 
 
-@query(f"WITH {TRACKS_CTE} SELECT track, frame, round(v / 7.3 - avg(v / 7.3) OVER (PARTITION BY track ORDER BY frame ROWS UNBOUNDED PRECEDING), 6) AS centred FROM t")
+@query(f"WITH {TRACKS_CTE} SELECT track, frame, round(v / 7.3 - max(v / 7.3) OVER (PARTITION BY track ORDER BY frame ROWS UNBOUNDED PRECEDING), 6) AS centred FROM t")
 def u1_track_callback(spark, sf):
-    def running_centre(g):
+    def below_peak(g):
         g = g.sort_values("frame")
-        return g[["frame"]].assign(centred=g["v"] - g["v"].expanding().mean())
+        return g[["frame"]].assign(centred=g["v"] - g["v"].cummax())
 
-    out = M.track_map(tracks(spark, sf).select("track", "frame", (F.col("v") / 7.3).alias("v")), K, running_centre, "frame long, centred double")
+    out = M.track_map(tracks(spark, sf).select("track", "frame", (F.col("v") / 7.3).alias("v")), K, below_peak, "frame long, centred double")
     return out.select("track", "frame", F.round("centred", 6).alias("centred"))
 
 
