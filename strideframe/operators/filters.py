@@ -82,14 +82,15 @@ def mask_bone_outliers(kps: DataFrame, track: Sequence[str], frame: str, edges:
 
 
 def step_medians(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], *, size: int = BLOCK) -> DataFrame:
-    """Median absolute step ``_m_<col>`` and number of steps ``_n_<col>`` per series."""
+    """Median absolute step ``_m_<col>`` and number of steps ``_n_<col>`` per series.
+
+    All columns are ranked together, the column being part of the key.
+    """
     d = lag_lead(df.select(*keys, order, *cols), keys, order, lags={f"_p_{c}": c for c in cols}, size=size)
-    out = None
-    for c in cols:
-        step = d.select(*keys, F.abs(F.col(c) - F.col(f"_p_{c}")).alias("_s")).where(F.col("_s").isNotNull())
-        m = exact_quantiles(step, keys, "_s", {f"_m_{c}": 0.5}, n=f"_n_{c}")
-        out = m if out is None else out.join(m, list(keys), "full")
-    return out
+    steps = F.array(*[F.struct(F.lit(c).alias("_c"), F.abs(F.col(c) - F.col(f"_p_{c}")).alias("_s")) for c in cols])
+    m = exact_quantiles(d.select(*keys, F.inline(steps)), [*keys, "_c"], "_s", {"_m": 0.5}, n="_n")
+    pick = lambda v, c: F.max(F.when(F.col("_c") == c, F.col(v))).alias(f"{v}_{c}")
+    return m.groupBy(*keys).agg(*[pick(v, c) for c in cols for v in ("_m", "_n")])
 
 
 # Older repairs weigh 2**-distance, so rows further back than this no longer reach a double.
@@ -287,32 +288,31 @@ def savgol(
     d = scan(df, keys, order, bounds=("_lo", "_hi"), size=size)
     d = spread(d, keys, order, gaps, size=size)
     pos, n = F.col(order) - F.col("_lo"), F.col("_t")
-
-    def build(w):
-        out = {}
-        for name, c in cols.items():
-            def at(k: int, c: str = c) -> Column:
-                return F.col(c) if k == 0 else F.lag(c, -k).over(w)
-
-            expr = F.col(c) if deriv == 0 else F.lit(None).cast("double")
-            for size_w in range(3, window + 1, 2):
-                if size_w <= polyorder:
-                    continue
-                half, rows = size_w // 2, savgol_weights(size_w, polyorder, deriv, delta)
-                val = sum((at(j - half) * rows[half][j] for j in range(1, size_w)), at(-half) * rows[half][0])
-                for p in range(half):
-                    val = F.when(pos == p, sum((at(j - p) * rows[p][j] for j in range(1, size_w)), at(-p) * rows[p][0])).otherwise(val)
-                    r = size_w - 1 - p
-                    val = F.when(n - 1 - pos == p, sum((at(j - r) * rows[r][j] for j in range(1, size_w)), at(-r) * rows[r][0])).otherwise(val)
-                fits = n >= window if size_w == window else (n >= size_w) & (n < size_w + 2)
-                expr = F.when(fits & F.col("_full"), val).otherwise(expr)
-            out[f"_out_{name}"] = expr
-        return out
-
-    d = halo(d, keys, order, build, before=window - 1, after=window - 1, size=size)
-    for name in cols:
-        d = d.withColumn(name, F.col(f"_out_{name}"))
-    return d.drop("_lo", "_hi", "_full", "_t", *[f"_out_{n}" for n in cols])
+    reach = window - 1
+    near = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols.values())])
+    d = halo(d, keys, order, lambda w: {"_near": F.collect_list(near).over(w.rowsBetween(-reach, reach))}, before=reach, after=reach, size=size)
+    picked, weights = F.lit(None), F.lit(None)
+    for size_w in range(3, window + 1, 2):
+        if size_w <= polyorder:
+            continue
+        half, rows = size_w // 2, savgol_weights(size_w, polyorder, deriv, delta)
+        table = F.array(*[F.array(*[F.lit(v) for v in r]) for r in rows])
+        tail = n - 1 - pos
+        # The list starts at the first row within reach, so the row itself stands at min(pos, reach) + 1.
+        first = F.when(pos < half, F.lit(1)).when(tail < half, F.size("_near") - size_w + 1).otherwise(F.least(pos, F.lit(reach)) - half + 1)
+        row = F.when(pos < half, pos).when(tail < half, size_w - 1 - tail).otherwise(half)
+        fits = F.col("_full") & (n >= window if size_w == window else (n >= size_w) & (n < size_w + 2))
+        picked = F.when(fits, F.slice("_near", first.cast("int"), size_w)).otherwise(picked)
+        weights = F.when(fits, F.element_at(table, (row + 1).cast("int"))).otherwise(weights)
+    d = d.withColumn("_near", picked).withColumn("_wt", weights)
+
+    def smoothed(i: int, c: str) -> Column:
+        total = F.aggregate(F.zip_with(F.col("_near")[f"c{i}"], F.col("_wt"), lambda x, w: x * w), F.lit(0.0), lambda acc, v: acc + v)
+        return F.when(F.col("_wt").isNotNull(), total).otherwise(F.col(c) if deriv == 0 else F.lit(None).cast("double"))
+
+    d = d.withColumns({f"_out_{name}": smoothed(i, c) for i, (name, c) in enumerate(cols.items())})
+    d = d.withColumns({name: F.col(f"_out_{name}") for name in cols})
+    return d.drop("_lo", "_hi", "_full", "_t", "_near", "_wt", *[f"_out_{n}" for n in cols])
 
 
 def reinstate_raw(filtered: DataFrame, raw: DataFrame, keys: Sequence[str], keep_patterns: Sequence[str] = ()) -> DataFrame:
