@@ -47,7 +47,16 @@ def g25_resample(spark, sf):
     return r6(M.resample(t, K, "frame", ["x"], ratio=0.4, size=BLK), "track", "j")
 
 
-@query()
+_Q4 = ("qw", "qx", "qy", "qz")
+_MIX = {c: f"(a.{c} + coalesce(b.{c} - a.{c}, 0) * w)" for c in _Q4}
+_MIXN = "sqrt(" + " + ".join(f"{m} * {m}" for m in _MIX.values()) + ")"
+
+
+@query(f"""WITH {_QS}, g AS (SELECT *, {' + '.join(f'{c} * lag({c}) OVER w' for c in _Q4)} AS d FROM qs WINDOW w AS (PARTITION BY track ORDER BY frame)),
+ k AS (SELECT track, frame, {', '.join(_Q4)}, CASE WHEN sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY frame) % 2 = 1 THEN -1 ELSE 1 END AS sg FROM g),
+ q AS (SELECT track, frame, {', '.join(f'{c} * sg AS {c}' for c in _Q4)} FROM k), n AS (SELECT track, count(*) AS n, greatest(CAST(round_even(count(*) * 1.7, 0) AS BIGINT), 1) AS m FROM q GROUP BY track),
+ p AS (SELECT track, unnest(range(m)) AS j, n, m FROM n), r AS (SELECT track, j, j * (n - 1) / (m - 1) AS pos FROM p), f AS (SELECT track, j, CAST(floor(pos + 1e-9) AS BIGINT) AS f, pos - floor(pos + 1e-9) AS w FROM r)
+SELECT f.track, f.j, {', '.join(f'round({_MIX[c]} / {_MIXN}, 6) AS {c}' for c in _Q4)} FROM f JOIN q a ON a.track = f.track AND a.frame = f.f LEFT JOIN q b ON b.track = f.track AND b.frame = f.f + 1""")
 def g25_resample_quaternion(spark, sf):
     b = body_poses(spark, sf)
     return r6(M.resample(b, K, "frame", ["qw", "qx", "qy", "qz"], ratio=1.7, quaternion=True, size=BLK), "track", "j")
