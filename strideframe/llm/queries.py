@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import decontamination, ngram_join, pieces, pii, quality
+from strideframe.llm import decontamination, lm, ngram_join, pieces, pii, quality, sharding, token_output, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query()
+def op1_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filters.filter_urls(table(spark, sf, "pages"), table(spark, sf, "labels"))
+
+
+@query()
+def op2_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.place(table(spark, sf, "documents").select("doc_id"), "doc_id")
+
+
 @query()
 def op3_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf, "documents")).drop("node")
@@ -37,6 +47,11 @@ def op5_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.find_private(table(spark, sf, "documents"))
 
 
+@query()
+def op6_training_order(spark: SparkSession, sf: str) -> DataFrame:
+    return token_output.training_order(table(spark, sf, "documents"))
+
+
 @query()
 def op7_pieces(spark: SparkSession, sf: str) -> DataFrame:
     encoded = pieces.encode(table(spark, sf, "documents").select("doc_id", "text"))
@@ -44,6 +59,11 @@ def op7_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
+@query()
+def op8_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.score(table(spark, sf, "documents"))
+
+
 @query()
 def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
