@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import decontamination, lm, ngram_join, pieces, pii, quality, sharding, token_output, url_filters
+from strideframe.llm import decontamination, lm, ngram_join, pieces, pii, quality, sharding, suffix_dedup, token_output, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf, "documents")).drop("node")
 
 
+@query()
+def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+
+
 @query()
 def op5_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.find_private(table(spark, sf, "documents"))

@@ -155,9 +155,7 @@ def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def covered(at: np.ndarray, width: int | np.ndarray, n: int) -> np.ndarray:
     """Which of n places lie in a run that begins at one of ``at``."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, at, 1)
-    np.add.at(change, at + width, -1)
+    change = np.bincount(at, minlength=n + 1) - np.bincount(at + width, minlength=n + 1)
     return np.cumsum(change[:-1]) > 0
 
 
