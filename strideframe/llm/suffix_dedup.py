@@ -45,9 +45,9 @@ LENGTH = 200
 GRAM = 128
 PIECE = 25
 WIDTH = LENGTH + PIECE - 1
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 SLICE_BYTES = 1 << 18
-ANCHORS = 1 << 20
+ANCHORS = 1 << 19
 WINDOWS = 1 << 16
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
