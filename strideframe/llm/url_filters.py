@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 #: (verdict, rule); fixed values
 HOST_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-SUPPORT = 0.01
+#: share of the labelled URLs, and least number of them, that a rule holds for
+SUPPORT, LEAST = 0.01, 10
 CONFIDENCE = 0.8
 LIFT = 1.5
 BAD, GOOD = "label:bad", "label:good"
@@ -66,9 +67,10 @@ def mine(urls: DataFrame, labels: DataFrame, key: str = "page_id", label_key: st
     """
     judged = labels.select(labels[label_key].alias("_k"), F.when((labels["quality"] == 0) | (labels["toxic"] == 1), BAD).when(labels["quality"] == 1, GOOD).alias("_label")).where("_label is not null")
     baskets = urls.select(urls[key].alias("_k"), F.coalesce(urls["url"], F.lit("")).alias("url")).join(judged, "_k").select(F.array_append(tokens_of(F.col("url")), F.col("_label")).alias("items"))
-    if baskets.isEmpty():
+    n = baskets.count()
+    if not n:
         return None
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, LEAST / n)), minConfidence=confidence).fit(baskets)
     return model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD) & (F.col("lift") >= lift)).select(F.col("antecedent").alias("rule"), "support", "confidence", "lift")
 
 
