@@ -38,7 +38,7 @@ _BARE = byte_table(b" ", inverted=True)
 #: chunks advanced together
 _LANES = 1 << 16
 #: bytes in a slice, of which the distinct chunks are encoded together
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 @dataclass
@@ -170,10 +170,10 @@ class Encoder:
         return out, bounds
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
-        parts = [self._slice(part) for _, part in slices(texts, most=SLICE)]
+        parts = [self.encode_slice(part) for _, part in slices(texts, most=SLICE)]
         return pa.chunked_array(parts, pa.list_(pa.int32())).combine_chunks() if parts else pa.array([], pa.list_(pa.int32()))
 
-    def _slice(self, part: Texts) -> pa.ListArray:
+    def encode_slice(self, part: Texts) -> pa.ListArray:
         # a space in front of every text with characters, spaces as the mark; a mark in the text is escaped by its own bytes
         full = np.diff(part.offsets) > 0
         raw = np.insert(part.data, part.offsets[:-1][full], 0x20)
@@ -201,8 +201,8 @@ class Encoder:
         found, widths, at = [], np.zeros(len(size), np.int64), 0
         while at < len(order):
             some = order[at : at + _LANES]
-            # tables have a row of the longest size for each chunk: at most about four million cells, or one chunk
-            room = max(1, (1 << 22) // int(size[some[-1]] + 1))
+            # tables have a row of the longest size for each chunk: at most about a million cells, or one chunk
+            room = max(1, (1 << 20) // int(size[some[-1]] + 1))
             some = order[at : at + min(_LANES, room)]
             offsets = np.concatenate([[0], np.cumsum(size[some])])
             index = np.repeat(start[some] - offsets[:-1], size[some]) + np.arange(offsets[-1])
@@ -256,18 +256,22 @@ class _Shared:
         return self.held.value
 
 
-def encode(docs: DataFrame, text: str = "text", model: str = MODEL, ids: str = "piece_ids") -> DataFrame:
-    """The documents with their piece ids; a column of that name is replaced."""
+def encode(docs: DataFrame, text: str = "text", model: str = MODEL, ids: str = "piece_ids", decoded: str | None = None) -> DataFrame:
+    """The documents with their piece ids, and with the text decoded from those if a name is given; columns of these names are replaced."""
     shared, place = _Shared(docs.sparkSession, model), docs.columns.index(text)
-    kept = [c for c in docs.columns if c != ids]
+    kept = [c for c in docs.columns if c not in (ids, decoded)]
     at = [docs.columns.index(c) for c in kept]
+    names = [*kept, ids, *([decoded] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), encoder.encode(batch.column(place))], names=[*kept, ids])
+            for a, part in slices(batch.column(place), most=SLICE):
+                found = encoder.encode_slice(part)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, part.n) for i in at), found, *([encoder.decode(found)] if decoded else [])], names=names)
 
-    return docs.mapInArrow(run, docs.select(*[docs[c] for c in kept]).schema.add(ids, ArrayType(IntegerType())))
+    schema = docs.select(*[docs[c] for c in kept]).schema.add(ids, ArrayType(IntegerType()))
+    return docs.mapInArrow(run, schema.add(decoded, StringType()) if decoded else schema)
 
 
 def decode(encoded: DataFrame, ids: str = "piece_ids", model: str = MODEL, text: str = "decoded") -> DataFrame:

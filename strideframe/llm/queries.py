@@ -59,8 +59,7 @@ def op6_training_order(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def op7_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    encoded = pieces.encode(table(spark, sf, "documents").select("doc_id", "text"))
-    both = pieces.decode(encoded)
+    both = pieces.encode(table(spark, sf, "documents").select("doc_id", "text"), decoded="decoded")
     return both.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 

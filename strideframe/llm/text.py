@@ -128,6 +128,7 @@ def slices(column: pa.Array, lower: bool = False, most: int = SLICE_BYTES) -> It
     for a, b in cuts(offsets, most):
         part = data[offsets[a] : offsets[b]]
         yield a, Texts(LOWER[part] if lower else part, offsets[a : b + 1] - offsets[a])
+    pa.default_memory_pool().release_unused()  # a worker lives on after its batch
 
 
 def grams(words: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

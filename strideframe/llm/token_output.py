@@ -37,7 +37,7 @@ LENGTH = 1024
 PER_SHARD = 16384
 KEY = 20240607
 ROUNDS = 6
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: distinct units that a worker remembers
 REMEMBERED = 400_000
 
