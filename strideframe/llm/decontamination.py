@@ -234,7 +234,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bad = [np.zeros(0, bool)] + [_judged(part, blocks)[3] for _, part in slices(batch.column(place), lower=True, most=SHARD_BYTES)]
-            yield batch.filter(pa.array(~np.concatenate(bad)))
+            for a, part in slices(batch.column(place), lower=True, most=SHARD_BYTES):
+                yield batch.slice(a, part.n).filter(pa.array(~_judged(part, blocks)[3]))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -176,10 +176,8 @@ def keep_quality(docs: DataFrame, text: str = "text", rules: dict[str, Rule] = R
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            verdict = [np.zeros(0, bool)]
-            for _, part in slices(batch.column(place)):
+            for a, part in slices(batch.column(place)):
                 m = Measures(part)
-                verdict.append(cascade(part, m, ~m.base_failed, chosen))
-            yield batch.filter(pa.array(np.concatenate(verdict)))
+                yield batch.slice(a, part.n).filter(pa.array(cascade(part, m, ~m.base_failed, chosen)))
 
     return docs.mapInArrow(keep, docs.schema)
