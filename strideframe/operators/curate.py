@@ -50,11 +50,11 @@ def fingerprint(matrices: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def group_calibrations(prints: DataFrame, recording: str) -> DataFrame:
     """Group number of every recording's calibration: the most common one first, then by the
-    first recording.  (Group 0 is "A"; there are as many rows ranked here as distinct rigs.)"""
+    first recording.  (Group 0 is "A", and labels go on in code-point order; as many rows are ranked here as there are distinct rigs.)"""
     sizes = prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min(recording).alias("first"))
     rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("n").desc(), "first"))
     groups = sizes.select("fingerprint", (rank - 1).alias("group_no"))
-    return prints.join(groups, "fingerprint").withColumn("group", F.when(F.col("group_no") < 26, F.char(F.lit(65) + F.col("group_no"))).otherwise(F.concat(F.lit("G"), "group_no")))
+    return prints.join(groups, "fingerprint").withColumn("group", F.decode(F.unhex(F.lpad(F.hex(F.col("group_no") + 65), 8, "0")), "UTF-32"))
 
 
 def dense_ids(items: DataFrame, tiers: DataFrame, splits: Sequence[str], id_col: str, *, block: int = 4096, start: int = 1) -> DataFrame:
@@ -233,8 +233,8 @@ def partner_windows(framesets: DataFrame, keys: Sequence[str], frame: str, delta
     return good.withColumn("_e", F.col("start") + F.col("delta")).join(end, [*keys, "_e"], "left_semi").drop("_e"), bad
 
 
-def co_labelled(framesets: DataFrame, host: DataFrame, keys: Sequence[str], frame: str, fly: str, *, max_flies: int = 2) -> DataFrame:
-    """Host first, then the other labelled animals of its frames, lowest id first, capped.
+def co_labelled(framesets: DataFrame, host: DataFrame, keys: Sequence[str], frame: str, fly: str, *, max_flies: int | None = None) -> DataFrame:
+    """Host first, then the other labelled animals of its frames, lowest id first; at most ``max_flies`` if given.
 
     An image set holds a handful of animals, so the set per window is small.
     """
@@ -242,7 +242,8 @@ def co_labelled(framesets: DataFrame, host: DataFrame, keys: Sequence[str], fram
     j = host.where(F.col(fly) >= 0).join(others, [*keys, frame], "left").where(F.col("_other") != F.col(fly))
     per = j.groupBy(*keys, frame, fly).agg(F.array_sort(F.collect_set("_other")).alias("_o"))
     d = host.where(F.col(fly) >= 0).join(per, [*keys, frame, fly], "left")
-    return d.withColumn("flies", F.concat(F.array(fly), F.slice(F.coalesce("_o", F.array().cast("array<int>")), 1, max_flies - 1))).drop("_o")
+    rest = F.coalesce("_o", F.array().cast("array<int>"))
+    return d.withColumn("flies", F.concat(F.array(fly), rest if max_flies is None else F.slice(rest, 1, max_flies - 1))).drop("_o")
 
 
 def donors(windows: DataFrame, group: Sequence[str], ident: str, *, seed: int = 0, block: int = 1024) -> DataFrame:

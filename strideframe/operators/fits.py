@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from strideframe.functions import vectors as V
 from strideframe.operators.geometry import small_table
-from strideframe.operators.quantiles import attach, exact_quantiles
+from strideframe.operators.quantiles import attach, exact_median, exact_quantiles
 
 _PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
 
@@ -232,19 +232,19 @@ def _normals(points: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def fit_floor(
-    points: DataFrame, keys: Sequence[str], order_by: Sequence[str], *, n_fit: int = 2000, floor_pct: float = 3.0, up_hint: Sequence[float] | None = None
+    points: DataFrame, keys: Sequence[str], order_by: Sequence[str], *, n_fit: int | None = None, floor_pct: float = 3.0, up_hint: Sequence[float] | None = None
 ) -> DataFrame:
     """Floor plane per recording: ``nx, ny, nz`` pointing up, ``offset`` and ``skew``.
 
-    Uses the first ``n_fit`` points; the normal is refitted on the lower half and oriented by
+    Uses all points with three coordinates, or the first ``n_fit`` of those; the normal is refitted on the lower half and oriented by
     the hint or, without one, so that the heights are bottom-heavy.
     """
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))
-    pts = points.withColumn("_rn", rn).where(F.col("_rn") <= n_fit).drop("_rn")
     finite = F.lit(True)
     for c in "xyz":
         finite = finite & F.col(c).isNotNull()
-    pts = pts.where(finite).select(*keys, *order_by, "x", "y", "z")
+    pts = points.where(finite).select(*keys, *order_by, "x", "y", "z")
+    if n_fit is not None:
+        pts = pts.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))).where(F.col("_rn") <= n_fit).drop("_rn")
     h = V.dot((F.col("x"), F.col("y"), F.col("z")), (F.col("nx"), F.col("ny"), F.col("nz")))
 
     def oriented(p: DataFrame, normals: DataFrame, like: DataFrame | None = None) -> DataFrame:
@@ -252,8 +252,12 @@ def fit_floor(
             normals = normals.join(like.select(*keys, *[F.col(c).alias(f"o{c}") for c in ("nx", "ny", "nz")]), list(keys))
             same = sum((F.col(c) * F.col(f"o{c}") for c in ("ny", "nz")), F.col("nx") * F.col("onx")) >= 0
             normals = normals.select(*keys, *[(F.when(same, F.col(c)).otherwise(-F.col(c))).alias(c) for c in ("nx", "ny", "nz")])
-        # At most n_fit points per recording, so the built-in median is bounded.
-        s = attach(p, normals, keys, "inner").groupBy(*keys, "nx", "ny", "nz").agg(F.avg(h).alias("_mean"), F.median(h).alias("_med"))
+        s = attach(p, normals, keys, "inner").withColumn("_h", h)
+        if up_hint is None:
+            mean = s.groupBy(*keys, "nx", "ny", "nz").agg(F.avg("_h").alias("_mean"))
+            s = mean.join(exact_median(s, keys, "_h", "_med"), list(keys))
+        else:
+            s = normals
         if up_hint is not None:
             up = F.col("nx") * up_hint[0] + F.col("ny") * up_hint[1] + F.col("nz") * up_hint[2] >= 0
         else:
@@ -262,10 +266,11 @@ def fit_floor(
 
     first = oriented(pts, _normals(pts, keys))
     with_h = attach(pts, first, keys, "inner").withColumn("_h", h)
-    half = with_h.groupBy(*keys).agg(F.percentile("_h", 0.5).alias("_mid"))
+    half = exact_median(with_h, keys, "_h", "_mid")
     low = attach(with_h, half, keys, "inner").where(F.col("_h") <= F.col("_mid")).select(*keys, "x", "y", "z")
     final = oriented(pts, _normals(low, keys), like=first)
-    stats = attach(pts, final, keys, "inner").groupBy(*keys, "nx", "ny", "nz").agg(
-        (-F.percentile(h, floor_pct / 100)).alias("offset"), ((F.avg(h) - F.median(h)) / (F.stddev_pop(h) + 1e-9)).alias("skew"), F.count(F.lit(1)).alias("n")
-    )
+    heights = attach(pts, final, keys, "inner").withColumn("_h", h)
+    ranks = exact_quantiles(heights, keys, "_h", {"_floor": floor_pct / 100, "_med": 0.5})
+    stats = heights.groupBy(*keys, "nx", "ny", "nz").agg(F.avg("_h").alias("_mean"), F.stddev_pop("_h").alias("_sd"), F.count(F.lit(1)).alias("n")).join(ranks, list(keys))
+    stats = stats.select(*keys, "nx", "ny", "nz", (-F.col("_floor")).alias("offset"), ((F.col("_mean") - F.col("_med")) / (F.col("_sd") + 1e-9)).alias("skew"), "n")
     return stats.where(F.col("n") >= 3)

@@ -26,26 +26,26 @@ def r6(*cols):
 EXPECTED = ["click", "error", "logout", "view"]
 
 
-@query(f"""WITH {TRACKS_CTE}, s AS (SELECT track, list_sort(list(DISTINCT label)) AS present FROM t WHERE conf > 0.8 GROUP BY track)
+@query(f"""WITH {TRACKS_CTE}, s AS (SELECT track, list_sort(list(DISTINCT label)) AS present FROM t GROUP BY track)
 SELECT track, array_to_string(list_sort(list_filter(['click', 'error', 'logout', 'view'], lambda e: NOT list_contains(present, e))), ',') AS missing,
  array_to_string(list_sort(list_filter(present, lambda e: NOT list_contains(['click', 'error', 'logout', 'view'], e))), ',') AS extra FROM s""")
 def b1_name_conformance(spark, sf):
-    sets = tracks(spark, sf).where(F.col("conf") > 0.8).groupBy("track").agg(F.collect_set("label").alias("present"))
+    sets = tracks(spark, sf).groupBy("track").agg(F.collect_set("label").alias("present"))
     miss, extra = N.name_findings(F.col("present"), F.array(*[F.lit(e) for e in EXPECTED]))
     return sets.select("track", F.array_join(miss, ",").alias("missing"), F.array_join(extra, ",").alias("extra"))
 
 
-@query(f"""WITH {TRACKS_CTE}, s AS (SELECT track, string_agg(DISTINCT label, chr(10) ORDER BY label) AS names FROM t WHERE conf > 0.8 GROUP BY track)
+@query(f"""WITH {TRACKS_CTE}, s AS (SELECT track, string_agg(DISTINCT label, chr(10) ORDER BY label) AS names FROM t GROUP BY track)
 SELECT track, substr(sha256(names), 1, 16) AS sha FROM s""")
 def b2_order_digest(spark, sf):
-    sets = tracks(spark, sf).where(F.col("conf") > 0.8).groupBy("track").agg(F.array_sort(F.collect_set("label")).alias("names"))
+    sets = tracks(spark, sf).groupBy("track").agg(F.array_sort(F.collect_set("label")).alias("names"))
     return sets.select("track", N.order_digest(F.col("names")).alias("sha"))
 
 
 @query(f"""WITH {KEYPOINTS_CTE} SELECT kp, contains(kp, 'Wing') OR contains(kp, 'Abd') AS excluded,
- kp LIKE '%\\_ThxCx' ESCAPE '\\' OR kp LIKE '%\\_FeTi' ESCAPE '\\' OR kp = 'Scutellum' AS critical, count(*) AS n FROM kps WHERE conf >= 0.25 GROUP BY ALL""")
+ kp LIKE '%\\_ThxCx' ESCAPE '\\' OR kp LIKE '%\\_FeTi' ESCAPE '\\' OR kp = 'Scutellum' AS critical, count(*) AS n FROM kps GROUP BY ALL""")
 def b5_pattern_selection(spark, sf):
-    k = keypoints(spark, sf).where(F.col("conf") >= 0.25)
+    k = keypoints(spark, sf)
     return k.groupBy("kp").agg(F.count(F.lit(1)).alias("n")).select(
         "kp", N.contains_any(F.col("kp"), ["Wing", "Abd"]).alias("excluded"), N.glob_any(F.col("kp"), ["Scutellum", "*_ThxCx", "*_FeTi"]).alias("critical"), "n"
     )
@@ -354,11 +354,11 @@ def c15_stance_count(spark, sf):
     return legs_in_stance(stance_from_phase(t, "phase"), ["animal", "frame"])
 
 
-@query(f"""WITH {KEYPOINTS_CTE}, {BONES_CTE} SELECT DISTINCT a, b FROM bones WHERE a IN (SELECT kp FROM kps WHERE conf >= 0.5) AND b IN (SELECT kp FROM kps WHERE conf >= 0.5)""")
+@query(f"""WITH {KEYPOINTS_CTE}, {BONES_CTE} SELECT DISTINCT a, b FROM bones WHERE a IN (SELECT kp FROM kps) AND b IN (SELECT kp FROM kps)""")
 def e8_skeleton_edges(spark, sf):
     from strideframe.operators.skeleton import present_edges
 
-    return present_edges(keypoints(spark, sf).where(F.col("conf") >= 0.5), pairs_of_names(spark, BONES))
+    return present_edges(keypoints(spark, sf), pairs_of_names(spark, BONES))
 
 
 @query(f"""WITH {KEYPOINTS_CTE}, {CAMERAS_CTE}, pr AS (SELECT camera, {PROJECT_SQL} FROM kps, cams)

@@ -237,11 +237,11 @@ def e15_broken_partners(spark, sf):
     return C.partner_windows(negatives(spark, sf), ["track"], "frame", [2])[1]
 
 
-@query(f"""WITH {TRACKS_CTE}, f AS (SELECT track // 4 AS rec, frame, CAST(track % 4 AS INT) - 1 AS fly FROM t WHERE conf >= 0.3), o AS (SELECT h.rec, h.frame, h.fly, min(k.fly) AS other FROM f h JOIN f k ON k.rec = h.rec AND k.frame = h.frame AND k.fly <> h.fly AND k.fly >= 0 WHERE h.fly >= 0 GROUP BY ALL)
+@query(f"""WITH {TRACKS_CTE}, f AS (SELECT track // 4 AS rec, frame, CAST(track % 4 AS INT) - 1 AS fly FROM t), o AS (SELECT h.rec, h.frame, h.fly, min(k.fly) AS other FROM f h JOIN f k ON k.rec = h.rec AND k.frame = h.frame AND k.fly <> h.fly AND k.fly >= 0 WHERE h.fly >= 0 GROUP BY ALL)
 SELECT f.rec, f.frame, f.fly, f.fly || coalesce(',' || other, '') AS flies FROM f LEFT JOIN o USING (rec, frame, fly) WHERE f.fly >= 0""")
 def e16_co_labelled(spark, sf):
-    f = tracks(spark, sf).where(F.col("conf") >= 0.3).select(F.floor(F.col("track") / 4).alias("rec"), "frame", (F.col("track") % 4 - 1).cast("int").alias("fly"))
-    return C.co_labelled(f, f, ["rec"], "frame", "fly").withColumn("flies", F.array_join("flies", ","))
+    f = tracks(spark, sf).select(F.floor(F.col("track") / 4).alias("rec"), "frame", (F.col("track") % 4 - 1).cast("int").alias("fly"))
+    return C.co_labelled(f, f, ["rec"], "frame", "fly", max_flies=2).withColumn("flies", F.array_join("flies", ","))
 
 
 @query(f"""WITH {IMG}, w AS (SELECT id, tier AS calib, n_chars % 2 AS sex, row_number() OVER (PARTITION BY tier, n_chars % 2 ORDER BY {_hash_sql("'0'", 'id')}, id) - 1 AS i, count(*) OVER (PARTITION BY tier, n_chars % 2) AS n FROM img WHERE n_chars >= 100)

@@ -45,8 +45,10 @@ def read_bouts(spark: SparkSession, path: str) -> DataFrame:
 
 def cohort_sex(spark: SparkSession, path: str, recordings: DataFrame) -> DataFrame:
     """Sex of each recording from a cohort index whose recording column is unnamed: the row that
-    holds the name in any cell, read at the named sex column (or its first sex-like cell)."""
+    holds the name in any cell, read at the named sex column (or its first sex-like cell). The
+    first such row decides, also when it has no label."""
     raw = spark.read.csv(path, header=True)
+    line = F.monotonically_increasing_id()  # rows of the file in order
     cells = F.transform(F.array(*[F.trim(F.col(f"`{c}`")) for c in raw.columns]), lambda c: F.coalesce(c, F.lit("")))
     named = next((c for c in raw.columns if c.strip().lower() == "sex"), None)
     label = F.create_map(*[F.lit(x) for kv in SEX_LABELS.items() for x in kv])
@@ -54,8 +56,8 @@ def cohort_sex(spark: SparkSession, path: str, recordings: DataFrame) -> DataFra
         sex = F.element_at(label, F.lower(F.trim(F.col(f"`{named}`"))))
     else:
         sex = F.element_at(F.filter(F.transform(cells, lambda c: F.element_at(label, F.lower(c))), lambda s: s.isNotNull()), 1)
-    flat = raw.select(F.explode(F.array_distinct(cells)).alias("recording"), sex.alias("sex"))
-    first = flat.groupBy("recording").agg(F.first("sex", ignorenulls=True).alias("sex"))
+    flat = raw.select(line.alias("_line"), cells.alias("_cells"), sex.alias("sex")).select("_line", "sex", F.explode(F.array_distinct("_cells")).alias("recording"))
+    first = flat.groupBy("recording").agg(F.min_by("sex", "_line").alias("sex"))
     return recordings.join(first, "recording", "left").withColumn("sex", F.coalesce("sex", F.lit("unknown")))
 
 

@@ -100,3 +100,11 @@ def test_floor_fit_finds_the_plane_under_walls(spark):
         assert np.dot([r.nx, r.ny, r.nz], up) > 0.999
         h = pdf[["x", "y", "z"]].to_numpy() @ [r.nx, r.ny, r.nz] + r.offset
         assert np.percentile(h, 3) == pytest.approx(0, abs=1e-6)
+
+
+def test_floor_skips_missing_points_before_it_counts(spark):
+    rng = np.random.default_rng(4)
+    rows = [("r", i, None, None, None) for i in range(20)] + [("r", 20 + i, float(x), float(y), 0.01 * i) for i, (x, y) in enumerate(rng.normal(size=(40, 2)))]
+    points = spark.createDataFrame(rows, "rec string, frame long, x double, y double, z double")
+    for n_fit, n in ((None, 40), (20, 20)):
+        assert fits.fit_floor(points, ["rec"], ["frame"], n_fit=n_fit, up_hint=(0, 0, 1.0)).first().n == n

@@ -144,3 +144,12 @@ def test_sinks(spark, tmp_path):
 def test_recording_findings(spark):
     d = spark.createDataFrame([("a", 800.0, True), ("b", None, False), ("c", 0.0, None)], "name string, fps double, has_rig boolean")
     assert sorted(map(tuple, ST.recording_findings(d).collect())) == [("b", "fps_required"), ("c", "calib_dir_undeclared"), ("c", "fps_required")]
+
+
+def test_cohort_sex_is_that_of_the_first_row(spark, tmp_path):
+    from strideframe.sources.tables import cohort_sex
+
+    p = tmp_path / "index.csv"
+    p.write_text("name,sex\nrec1,\nrec1,m\nrec2,f\nrec2,m\n")
+    got = cohort_sex(spark, str(p), spark.createDataFrame([("rec1",), ("rec2",), ("rec3",)], "recording string"))
+    assert {r.recording: r.sex for r in got.collect()} == {"rec1": "unknown", "rec2": "female", "rec3": "unknown"}
