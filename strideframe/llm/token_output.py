@@ -220,7 +220,7 @@ def permuted(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 def training_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, vocabulary: str = VOCABULARY) -> DataFrame:
     """slot, shard, offset (bytes in the shard), doc_ids, n_tokens and record, in partitions that are the shards, in order."""
     made = written(sequences(docs, doc_id, text, length, vocabulary), "sequences")
-    # one row for each task that made sequences
+    # one row for each task that made sequences, so a broadcast of a few bytes for each
     parts = made.groupBy("part").agg(F.count("*").alias("n"))
     before = parts.select("part", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
     n = made.count()
@@ -229,7 +229,7 @@ def training_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def slot(index: pd.Series) -> pd.Series:
         return pd.Series(permuted(index.to_numpy(), n, key))
 
-    numbered = made.join(before, "part").withColumn("slot", slot(F.col("place") + F.coalesce("before", F.lit(0))))
+    numbered = made.join(F.broadcast(before), "part").withColumn("slot", slot(F.col("place") + F.coalesce("before", F.lit(0))))
     shards = max(1, -(-n // per_shard))
     dealt = numbered.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int")).repartitionById(shards, "shard").sortWithinPartitions("slot")
     return dealt.select("slot", "shard", ((F.col("slot") - F.col("shard") * per_shard) * F.length("record")).cast("long").alias("offset"), "doc_ids", "n_tokens", "record")
