@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Leg names, joints from body to tip, and the body segments checked for length.
@@ -18,19 +18,6 @@ BODY_SEGMENTS = (
 )
 
 
-def skeleton_edges(names: Iterable[str]) -> list[tuple[str, str]]:
-    """Body segments plus each leg's chain of present joints, the chain's root joined to the
-    scutellum."""
-    have = set(names)
-    pairs = [p for p in BODY_SEGMENTS if have.issuperset(p)]
-    for leg in LEGS:
-        chain = [j for j in (f"{leg}_{s}" for s in LEG_JOINTS) if j in have]
-        pairs.extend(zip(chain, chain[1:]))
-        if chain and "Scutellum" in have:
-            pairs.append(("Scutellum", chain[0]))
-    return pairs
-
-
 def edge_table(spark: SparkSession, pairs: Iterable[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame(list(pairs), "a string, b string")
 
@@ -41,3 +28,16 @@ def present_edges(kps: DataFrame, edges: DataFrame, name: str = "kp") -> DataFra
     for side in ("a", "b"):
         edges = edges.join(have.withColumnRenamed(name, side), side, "left_semi")
     return edges.select("a", "b").distinct()
+
+
+def skeleton_edges(kps: DataFrame, name: str = "kp") -> DataFrame:
+    """Edges ``(a, b)`` of the landmarks that occur: the body segments, and along each leg every
+    landmark with the one before it, starting from the scutellum.  Absent ones are skipped over;
+    a null name and repeated rows add nothing."""
+    spark = kps.sparkSession
+    places = [(leg, i, part) for leg in LEGS for i, part in enumerate(("Scutellum", *(f"{leg}_{joint}" for joint in LEG_JOINTS)))]
+    chain = spark.createDataFrame(places, "leg string, place int, b string")
+    chain = chain.join(kps.select(F.col(name).alias("b")).distinct(), "b", "left_semi")
+    before = F.lag("b").over(Window.partitionBy("leg").orderBy("place"))
+    legs = chain.select(before.alias("a"), "b").where("a is not null")
+    return present_edges(kps, edge_table(spark, BODY_SEGMENTS), name).unionByName(legs)

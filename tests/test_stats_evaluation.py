@@ -109,10 +109,16 @@ def test_tier_findings(spark):
 
 
 def test_skeleton_edges_skip_absent_joints(spark):
-    e = skeleton_edges(["EyeL", "Antenna_Base", "Scutellum", "T1L_ThxCx", "T1L_FeTi", "T1L_TaTip"])
-    assert e == [("EyeL", "Antenna_Base"), ("Antenna_Base", "Scutellum"), ("T1L_ThxCx", "T1L_FeTi"), ("T1L_FeTi", "T1L_TaTip"), ("Scutellum", "T1L_ThxCx")]
+    def edges(*names):
+        return sorted(map(tuple, skeleton_edges(spark.createDataFrame([(n,) for n in names], "kp string")).collect()))
+
+    assert edges("EyeL", "Antenna_Base", "Scutellum", "T1L_ThxCx", "T1L_FeTi", "T1L_TaTip", "EyeL", None) == sorted(
+        [("EyeL", "Antenna_Base"), ("Antenna_Base", "Scutellum"), ("T1L_ThxCx", "T1L_FeTi"), ("T1L_FeTi", "T1L_TaTip"), ("Scutellum", "T1L_ThxCx")]
+    )
+    assert edges("T2R_Tro", "T2R_TaT1", "EyeR") == [("T2R_Tro", "T2R_TaT1")]
+    assert edges() == []
     kps = spark.createDataFrame([("EyeL",), ("Antenna_Base",)], "kp string")
-    assert present_edges(kps, edge_table(spark, e)).count() == 1
+    assert present_edges(kps, edge_table(spark, [("EyeL", "Antenna_Base"), ("EyeL", "Scutellum")])).count() == 1
 
 
 def test_length_match_and_reference_fallback(spark):
