@@ -16,16 +16,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strideframe.functions import vectors as V
-from strideframe.operators.geometry import small_table
+from strideframe.operators.geometry import rig_keys, small_table
 from strideframe.operators.quantiles import attach, exact_median, exact_quantiles
 
 _PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
 
 
 def view_grams(obs: DataFrame, cameras: DataFrame, *, conf_thresh: float = 0.3) -> DataFrame:
-    """Usable observations with the ten products ``g0..g9`` of their two projection rows."""
+    """Usable observations with the ten products ``g0..g9`` of their two projection rows; cameras of
+    several rigs are told apart by ``calib_group``."""
     j = obs.where(F.coalesce(F.col("conf") >= conf_thresh, F.lit(False)) & F.col("u").isNotNull() & F.col("v").isNotNull())
-    j = j.join(small_table(cameras), "camera")
+    j = j.join(small_table(cameras), [*rig_keys(obs, cameras), "camera"])
     p = [F.element_at("p", i + 1) for i in range(12)]
     r0 = [F.col("u") * p[8 + k] - p[k] for k in range(4)]
     r1 = [F.col("v") * p[8 + k] - p[4 + k] for k in range(4)]
@@ -76,7 +77,7 @@ def triangulate(obs: DataFrame, cameras: DataFrame, keys: Sequence[str], *, conf
 
 def triangulate_lsq(obs: DataFrame, coeffs: DataFrame, keys: Sequence[str], *, min_views: int = 2) -> DataFrame:
     """Least-squares point from 11-coefficient cameras, by Cramer's rule on the 3x3 normal equations."""
-    j = obs.where(F.col("u").isNotNull() & F.col("v").isNotNull()).join(small_table(coeffs), "camera")
+    j = obs.where(F.col("u").isNotNull() & F.col("v").isNotNull()).join(small_table(coeffs), [*rig_keys(obs, coeffs), "camera"])
     c = [F.element_at("c", i + 1) for i in range(11)]
     rows = [
         ([c[0] - F.col("u") * c[8], c[1] - F.col("u") * c[9], c[2] - F.col("u") * c[10]], F.col("u") - c[3]),

@@ -11,12 +11,31 @@ from strideframe.functions import vectors as V
 from strideframe.operators.ordered import BLOCK, lag_lead
 
 
-def small_table(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+MAX_SMALL = 10_000
+
+
+def small_table(df: DataFrame, max_rows: int = MAX_SMALL) -> DataFrame:
     """Broadcast a reference table after checking that it is small; otherwise leave the join
     strategy to Spark."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def each_with(df: DataFrame, table: DataFrame, max_rows: int = MAX_SMALL) -> DataFrame:
+    """Every row with every row of a small reference table, which is refused beyond ``max_rows``."""
+    if table.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"a reference table of more than {max_rows} rows: {table.columns}")
+    return df.crossJoin(F.broadcast(table))
+
+
+def rig_keys(points: DataFrame, cameras: DataFrame) -> list[str]:
+    """The rig's column where cameras carry it; camera names are unique inside a rig only."""
+    if "calib_group" not in cameras.columns:
+        return []
+    if "calib_group" not in points.columns:
+        raise ValueError("cameras of several rigs need points with calib_group")
+    return ["calib_group"]
+
+
 def frame_maps(kps: DataFrame, keys: Sequence[str], name: str = "kp") -> DataFrame:
     """One row per frame with ``m``: landmark name -> (x, y, z).
 
@@ -32,8 +51,10 @@ def wide(kps: DataFrame, keys: Sequence[str], names: Sequence[str], name: str =
 
 
 def project(points: DataFrame, cameras: DataFrame) -> DataFrame:
-    """Pixel position of every point in every camera (cross join with the camera table)."""
-    j = points.crossJoin(small_table(cameras))
+    """Pixel position of every point in every camera of its rig (``calib_group`` in both tables;
+    without it the cameras are one rig)."""
+    rig = rig_keys(points, cameras)
+    j = points.join(small_table(cameras), rig) if rig else each_with(points, cameras)
     p = [F.element_at("p", i + 1) for i in range(12)]
     row = [p[4 * r] * F.col("x") + p[4 * r + 1] * F.col("y") + p[4 * r + 2] * F.col("z") + p[4 * r + 3] for r in range(3)]
     w = F.when(row[2] != 0, row[2])
@@ -42,7 +63,8 @@ def project(points: DataFrame, cameras: DataFrame) -> DataFrame:
 
 def project_dlt(points: DataFrame, coeffs: DataFrame, col: str = "c") -> DataFrame:
     """Projection with 11 coefficients per camera."""
-    j = points.crossJoin(small_table(coeffs))
+    rig = rig_keys(points, coeffs)
+    j = points.join(small_table(coeffs), rig) if rig else each_with(points, coeffs)
     c = [F.element_at(col, i + 1) for i in range(11)]
     x, y, z = F.col("x"), F.col("y"), F.col("z")
     w = c[8] * x + c[9] * y + c[10] * z + 1
@@ -55,7 +77,7 @@ def segment_lengths(kps: DataFrame, keys: Sequence[str], edges: DataFrame) -> Da
 
     ``edges(a, b)`` is the skeleton table.
     """
-    j = frame_maps(kps, keys).crossJoin(small_table(edges))
+    j = each_with(frame_maps(kps, keys), edges)
     pa, pb = F.col("m")[F.col("a")], F.col("m")[F.col("b")]
     return (
         j.where(F.map_contains_key("m", F.col("a")) & F.map_contains_key("m", F.col("b")))

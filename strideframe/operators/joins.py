@@ -127,8 +127,8 @@ def closest_reference(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     have = candidates.where(F.col("n") > 0)
     per = have.groupBy(F.col("sign").alias("_sign"), F.col("n").alias("_n")).agg(F.min("id").alias("_id"))
     score = F.struct((F.col("_sign") != F.col("sign")).alias("other"), (F.col("_n") < F.col("n")).alias("fewer"), F.abs(F.col("_n") - F.col("n")).alias("gap"), F.col("_id").alias("id"))
-    from strideframe.operators.geometry import small_table
+    from strideframe.operators.geometry import each_with
 
     kinds = targets.select("n", "sign").distinct()
-    best = kinds.crossJoin(small_table(per)).groupBy("n", "sign").agg(F.min(score).alias("_best"))
+    best = each_with(kinds, per).groupBy("n", "sign").agg(F.min(score).alias("_best"))
     return targets.join(best, ["n", "sign"]).select(*targets.columns, F.col("_best.id").alias("match"))

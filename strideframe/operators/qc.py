@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions import vectors as V
 from strideframe.operators.filters import valid
-from strideframe.operators.geometry import project
+from strideframe.operators.geometry import project, rig_keys
 from strideframe.operators.ordered import BLOCK
 from strideframe.operators.quantiles import attach, distinct_values, exact_median, exact_quantiles, rank_values
 from strideframe.operators.runs import gap_report
@@ -30,8 +30,10 @@ def view_confidence(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def reprojection_errors(points: DataFrame, obs: DataFrame, cameras: DataFrame, keys: Sequence[str], *, conf_thresh: float = 0.3) -> DataFrame:
     """Pixel error of every confident observation of a landmark."""
-    seen = obs.where(F.col("conf") >= conf_thresh).select(*keys, "camera", F.col("u").alias("ou"), F.col("v").alias("ov"))
-    j = project(points.where(valid()).select(*keys, "x", "y", "z"), cameras).join(seen, [*keys, "camera"])
+    rig = [c for c in rig_keys(points, cameras) if c not in keys]
+    at = [*keys, *rig]
+    seen = obs.where(F.col("conf") >= conf_thresh).select(*at, "camera", F.col("u").alias("ou"), F.col("v").alias("ov"))
+    j = project(points.where(valid()).select(*at, "x", "y", "z"), cameras).join(seen, [*at, "camera"])
     return j.select(*keys, "camera", F.hypot(F.col("u") - F.col("ou"), F.col("v") - F.col("ov")).alias("err")).where(F.col("err").isNotNull())
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideframe.functions.vectors import missing_to_null
@@ -33,15 +33,27 @@ def recording_of(path_col: str = "path"):
     return F.regexp_replace(F.element_at(F.split(path_col, "/"), -1), r"\.[^.]*$", "")
 
 
-def read_kp3d(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Wide 3-D CSV files (two header rows, four columns per landmark) as long landmarks.
+def folder_of(path_col: str = "path"):
+    """Name of the file's folder, for layouts with one file name in every session folder."""
+    return F.element_at(F.split(path_col, "/"), -2)
+
+
+def read_kp3d(spark: SparkSession, path: str | Sequence[str], recording: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """``parse_kp3d`` of files."""
+    return parse_kp3d(read_lines(spark, path), recording)
+
+
+def parse_kp3d(lines: DataFrame, recording: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Lines ``(path, line, text)`` of wide 3-D CSV files (two header rows, four columns per
+    landmark) as long landmarks.
 
     Returns ``(recording, frame, pos, kp, x, y, z, conf)`` and header findings
-    ``(recording, code)``; a recording with a finding gives no landmarks.
+    ``(recording, code)``; a recording with a finding gives no landmarks.  ``recording`` names it
+    by the path, by default after the file; a name of two paths is a finding.
     """
-    lines = read_lines(spark, path).withColumn("recording", recording_of())
+    name = recording_of() if recording is None else recording
     cells = F.transform(F.split("text", ","), lambda c: F.trim(c))
-    head = lines.where(F.col("line") < 2).groupBy("recording").agg(
+    head = lines.where(F.col("line") < 2).groupBy("path").agg(
         F.max(F.when(F.col("line") == 0, cells)).alias("names"), F.max(F.when(F.col("line") == 1, cells)).alias("coords"), F.count(F.lit(1)).alias("_n")
     )
     n = F.size("names")
@@ -53,13 +65,15 @@ def read_kp3d(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame
         F.when(F.col("_n") < 2, "missing_header").when(n != F.size("coords"), "header_rows_disagree").when((n % 4 != 0) | (n == 0), "column_count")
         .when(bad_coords, "coordinate_order").when(mixed, "mixed_names")
     )
-    head = head.withColumn("code", code)
-    order = head.where(F.col("code").isNull()).select("recording", F.transform(blocks, lambda i: F.element_at("names", i * 4 + 1)).alias("kps"))
+    head = head.withColumn("code", code).withColumn("recording", name)
+    shared = head.groupBy("recording").agg(F.count(F.lit(1)).alias("_paths")).where(F.col("_paths") > 1)
+    head = head.join(shared, "recording", "left").withColumn("code", F.when(F.col("_paths").isNotNull(), "recording_in_two_files").otherwise(F.col("code")))
+    order = head.where(F.col("code").isNull()).select("path", "recording", F.transform(blocks, lambda i: F.element_at("names", i * 4 + 1)).alias("kps"))
     # One header row per file.
-    d = lines.where(F.col("line") >= 2).join(order, "recording").select("recording", (F.col("line") - 2).alias("frame"), F.split("text", ",").alias("c"), F.posexplode("kps").alias("pos", "kp"))
+    d = lines.where(F.col("line") >= 2).join(order, "path").select("recording", (F.col("line") - 2).alias("frame"), F.split("text", ",").alias("c"), F.posexplode("kps").alias("pos", "kp"))
     val = [missing_to_null(F.element_at("c", F.col("pos") * 4 + i).try_cast("double")) for i in range(1, 5)]
     kps = d.select("recording", "frame", "pos", "kp", *[v.alias(c) for v, c in zip(val, ("x", "y", "z", "conf"))])
-    return kps, head.where(F.col("code").isNotNull()).select("recording", "code")
+    return kps, head.where(F.col("code").isNotNull()).select("recording", "code").distinct()
 
 
 def bout_landmarks(kps: DataFrame, bouts: DataFrame, *, width: int = 4096) -> tuple[DataFrame, DataFrame]:
@@ -74,11 +88,19 @@ def bout_landmarks(kps: DataFrame, bouts: DataFrame, *, width: int = 4096) -> tu
     return j, short.select("recording", "bout", "n_want", "n_rows")
 
 
-def read_kp2d(spark: SparkSession, path: str | Sequence[str], *, threshold: float = NOT_ASSIGNED) -> DataFrame:
-    """2-D CSV files: a skeleton line, then ``frame,(id,x,y)*``; far coordinates are missing and
-    ids outside the row's range are ignored.  Returns ``(recording, frame, kid, u, v)``."""
-    lines = read_lines(spark, path).where((F.col("line") > 0) & (F.trim("text") != ""))
-    c = lines.select(recording_of().alias("recording"), F.split("text", ",").alias("c"))
+def read_kp2d(spark: SparkSession, path: str | Sequence[str], recording: Column | None = None, *, threshold: float = NOT_ASSIGNED) -> DataFrame:
+    """``parse_kp2d`` of files."""
+    return parse_kp2d(read_lines(spark, path), recording, threshold=threshold)
+
+
+def parse_kp2d(lines: DataFrame, recording: Column | None = None, *, threshold: float = NOT_ASSIGNED) -> DataFrame:
+    """Lines of 2-D CSV files: a skeleton line, then ``frame,(id,x,y)*``; far coordinates are missing
+    and ids outside the row's range are ignored.  Returns ``(recording, frame, kid, u, v)``; files
+    that would share a name are named by their path instead."""
+    named = lines.withColumn("recording", recording_of() if recording is None else recording)
+    shared = named.where(F.col("line") == 0).groupBy("recording").agg(F.count(F.lit(1)).alias("_paths")).where(F.col("_paths") > 1)
+    named = named.join(shared, "recording", "left").withColumn("recording", F.when(F.col("_paths").isNotNull(), F.col("path")).otherwise(F.col("recording")))
+    c = named.where((F.col("line") > 0) & (F.trim("text") != "")).select("recording", F.split("text", ",").alias("c"))
     n = ((F.size("c") - 1) / 3).cast("int")
     pts = F.transform(
         F.sequence(F.lit(0), n - 1),

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideframe.functions.names import session_matches
@@ -21,7 +21,11 @@ SEX_LABELS = {"f": "female", "m": "male", "female": "female", "male": "male"}
 
 def read_bout_summary(spark: SparkSession, path: str, *, session_tag: str | None = None) -> tuple[DataFrame, DataFrame]:
     """A hand-made bout table with case-insensitive columns, and rows whose length disagrees."""
-    raw = spark.read.csv(path, header=True)
+    return parse_bout_summary(spark.read.csv(path, header=True), session_tag=session_tag)
+
+
+def parse_bout_summary(raw: DataFrame, *, session_tag: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of such a table, as text or numbers."""
     raw = raw.toDF(*[c.strip().lower() for c in raw.columns])
     idx = next((a for a in BOUT_ALIASES if a in raw.columns), None)
     if idx is None:
@@ -48,9 +52,13 @@ def cohort_sex(spark: SparkSession, path: str, recordings: DataFrame) -> DataFra
     holds the name in any cell, read at the named sex column (or its first sex-like cell). The
     first such row decides, also when it has no label."""
     raw = spark.read.csv(path, header=True)
-    line = F.monotonically_increasing_id()  # rows of the file in order
-    cells = F.transform(F.array(*[F.trim(F.col(f"`{c}`")) for c in raw.columns]), lambda c: F.coalesce(c, F.lit("")))
-    named = next((c for c in raw.columns if c.strip().lower() == "sex"), None)
+    return sex_of_first_row(raw, F.monotonically_increasing_id(), raw.columns, recordings)
+
+
+def sex_of_first_row(raw: DataFrame, line: Column, columns: Sequence[str], recordings: DataFrame) -> DataFrame:
+    """``cohort_sex`` of rows whose order is that of ``line``; ``columns`` are those of the index."""
+    cells = F.transform(F.array(*[F.trim(F.col(f"`{c}`")) for c in columns]), lambda c: F.coalesce(c, F.lit("")))
+    named = next((c for c in columns if c.strip().lower() == "sex"), None)
     label = F.create_map(*[F.lit(x) for kv in SEX_LABELS.items() for x in kv])
     if named is not None:
         sex = F.element_at(label, F.lower(F.trim(F.col(f"`{named}`"))))
@@ -66,7 +74,11 @@ _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
 def read_calibrations(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """``(calib_group, camera, p)`` from ``<group>/Cam*.yaml`` files, and unreadable files."""
-    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return parse_calibrations(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+
+
+def parse_calibrations(t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of ``(path, text)`` rows, one per file."""
     parts = F.split("path", "/")
     node = F.regexp_extract("text", r"(?s)projectionMatrix:.*?data:\s*\[(.*?)\]", 1)
     nums = F.transform(F.regexp_extract_all(node, F.lit(f"({_NUMBER})"), F.lit(1)), lambda c: c.cast("double"))
@@ -94,8 +106,16 @@ _INSTANCES = (
 
 def read_instances(spark: SparkSession, root: str, split: str) -> dict[str, DataFrame]:
     """Images, annotations, framesets and landmark names of one split file."""
-    j = spark.read.schema(_INSTANCES).json(f"{root}/annotations/instances_{split}.json", multiLine=True)
-    s = F.lit(split).alias("split")
+    return split_members(spark.read.schema(_INSTANCES).json(f"{root}/annotations/instances_{split}.json", multiLine=True).withColumn("split", F.lit(split)))
+
+
+def parse_instances(texts: DataFrame) -> dict[str, DataFrame]:
+    """The same of ``(split, text)`` rows, one per file."""
+    return split_members(texts.select("split", F.from_json("text", _INSTANCES).alias("j")).select("split", "j.*"))
+
+
+def split_members(j: DataFrame) -> dict[str, DataFrame]:
+    s = F.col("split")
     return {
         "images": j.select(s, F.inline("images")),
         "annotations": j.select(s, F.inline("annotations")),
@@ -114,7 +134,15 @@ _MANIFEST = (
 
 def read_manifest(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Sources (weight 1.0 unless given), recordings, and sources of an unknown kind."""
-    m = spark.read.schema(_MANIFEST).json(f"{root}/manifest.json", multiLine=True)
+    return manifest_members(spark.read.schema(_MANIFEST).json(f"{root}/manifest.json", multiLine=True))
+
+
+def parse_manifest(texts: DataFrame) -> dict[str, DataFrame]:
+    """The same of rows with a manifest's ``text``."""
+    return manifest_members(texts.select(F.from_json("text", _MANIFEST).alias("j")).select("j.*"))
+
+
+def manifest_members(m: DataFrame) -> dict[str, DataFrame]:
     src = m.select(F.explode("sources").alias("source_id", "v")).select("source_id", "v.*").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     return {
         "sources": src.where(F.col("kind").isin(*SOURCE_KINDS)),

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strideframe.operators import fits
+from strideframe.operators import fits, geometry
 from strideframe.plans.tables import CAMERAS, cameras
 
 P = {c: np.array(p).reshape(3, 4) for c, p in CAMERAS.items()}
@@ -108,3 +108,24 @@ def test_floor_skips_missing_points_before_it_counts(spark):
     points = spark.createDataFrame(rows, "rec string, frame long, x double, y double, z double")
     for n_fit, n in ((None, 40), (20, 20)):
         assert fits.fit_floor(points, ["rec"], ["frame"], n_fit=n_fit, up_hint=(0, 0, 1.0)).first().n == n
+
+
+def test_rigs_with_equal_camera_names_stay_apart(spark):
+    cams = [(g, c, [v * k for v in p] if c == "Cam02" else [v + (k - 1) * (i == 3) for i, v in enumerate(p)]) for g, k in (("A", 1.0), ("B", 2.0)) for c, p in list(CAMERAS.items())[:3]]
+    rigs = spark.createDataFrame(cams, "calib_group string, camera string, p array<double>")
+    points = spark.createDataFrame([("A", 0, 1.0, 2.0, 3.0), ("B", 1, 2.0, 1.0, 0.5)], "calib_group string, frame int, x double, y double, z double")
+    seen = geometry.project(points, rigs).withColumn("conf", F.lit(1.0))
+    assert seen.count() == 6
+    got = {r.frame: r for r in fits.triangulate(seen.drop("x", "y", "z"), rigs, ["frame"]).collect()}
+    assert [got[0].n_views, got[1].n_views] == [3, 3]
+    assert [got[1].x, got[1].y, got[1].z] == pytest.approx([2.0, 1.0, 0.5]) and [got[0].x, got[0].y, got[0].z] == pytest.approx([1.0, 2.0, 3.0])
+    errors = fits.leave_one_out(seen.drop("x", "y", "z"), rigs, ["frame"]).collect()
+    assert len(errors) == 6 and max(r.err for r in errors) < 1e-6
+    with pytest.raises(ValueError, match="calib_group"):
+        geometry.project(points.drop("calib_group"), rigs)
+
+
+def test_a_reference_table_beyond_its_bound_is_refused(spark):
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        geometry.each_with(spark.range(2).toDF("a"), spark.range(4).toDF("b"), 3)
+    assert geometry.each_with(spark.range(2).toDF("a"), spark.range(0).toDF("b"), 3).count() == 0

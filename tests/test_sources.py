@@ -153,3 +153,17 @@ def test_cohort_sex_is_that_of_the_first_row(spark, tmp_path):
     p.write_text("name,sex\nrec1,\nrec1,m\nrec2,f\nrec2,m\n")
     got = cohort_sex(spark, str(p), spark.createDataFrame([("rec1",), ("rec2",), ("rec3",)], "recording string"))
     assert {r.recording: r.sex for r in got.collect()} == {"rec1": "unknown", "rec2": "female", "rec3": "unknown"}
+
+
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    for folder, n in (("s1", 3), ("s2", 4)):
+        (tmp_path / folder).mkdir()
+        wide_csv(tmp_path / folder / "data3D.csv", ["EyeL"], n)
+        (tmp_path / folder / "p.csv").write_text(f"skeleton.json\n0,0,{n},2\n")
+    path = str(tmp_path / "*" / "data3D.csv")
+    kps, bad = LC.read_kp3d(spark, path)
+    assert kps.count() == 0 and [tuple(r) for r in bad.collect()] == [("data3D", "recording_in_two_files")]
+    kps, bad = LC.read_kp3d(spark, path, LC.folder_of())
+    assert {r.recording: r["count"] for r in kps.groupBy("recording").count().collect()} == {"s1": 3, "s2": 4} and bad.count() == 0
+    twos = LC.read_kp2d(spark, str(tmp_path / "*" / "p.csv")).collect()
+    assert sorted((r.recording.split("/")[-2], r.u) for r in twos) == [("s1", 3.0), ("s2", 4.0)]
