@@ -1,7 +1,9 @@
 """Quality rules, URL filters, sharding and decontamination."""
 
 import hashlib
+import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -9,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from helpers import ROWS, SPACED, docs, lower, real, same
-from strideframe.llm import decontamination, quality, sharding, url_filters
+from strideframe.llm import decontamination, pii, quality, sharding, url_filters
 from strideframe.llm.text import Texts
 
 
@@ -153,3 +155,41 @@ def test_place_keeps_columns_and_places_equal_keys_alike(spark):
     assert got.select("doc_id", "slot", "shard").distinct().count() == len({i for i, _ in ROWS})
     held = sharding.lookup_table(sharding.SHARDS, 1009)
     assert all(r["shard"] == sharding.SHARDS[held[r["slot"]]] for r in got.collect())
+
+
+PLAIN = {
+    1: r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    6: r"[^\s@<>\"']+@[^\s@<>\"']+",
+}
+
+
+def test_pii_lookbehinds_change_no_match():
+    rng = random.Random(5)
+    for _ in range(4000):
+        text = "".join(rng.choices("12.@a <'", k=rng.randrange(24)))
+        ips = [m.span() for m in re.finditer(PLAIN[1], text) if all(int(x) <= 255 for x in m.group().split("."))]
+        assert [(a, b) for a, kind, b in pii.base_spans(text) if kind == 1] == ips
+        assert [(a, b) for a, kind, b in pii.candidates(text) if kind == 6] == [m.span() for m in re.finditer(PLAIN[6], text)]
+
+
+def test_pii_taken_stretches():
+    rng = random.Random(6)
+    for _ in range(300):
+        spans = [(a, 0, a + rng.randrange(1, 9)) for a in rng.choices(range(60), k=rng.randrange(8))]
+        taken = pii.Taken(spans)
+        for _ in range(20):
+            a = rng.randrange(60)
+            span = (a, 1, a + rng.randrange(1, 9))
+            want = any(span[0] < y and x < span[2] for x, _, y in spans)
+            assert taken.overlaps(span) == want
+            if not want:
+                taken.add(span)
+                spans.append(span)
+
+
+@pytest.mark.parametrize("text", ["1" * 200_000, "x" * 200_000, "+1 (555) 010-0199 a@b.io 4111111111111111 " * 3000, "(" * 200_000, "a@" * 60_000])
+def test_pii_of_long_runs_is_linear(text):
+    began = time.perf_counter()
+    pii.all_spans(text, pii.Trees())
+    assert len(pii.candidates(text)) <= len(text)
+    assert time.perf_counter() - began < 10
