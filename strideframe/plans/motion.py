@@ -147,7 +147,18 @@ def g29_cheapest_candidate(spark, sf):
     return M.cheapest_candidate(c, KF, "cand", "cost")
 
 
-@query()
+_JUMP = ", ".join(f"f.s{j} + 5 * (c.p{i} - f.p{j}) ** 2 AS d{i}{j}" for i in range(3) for j in range(3))
+_STEP = ", ".join(f"u{i} + least(d{i}0, d{i}1, d{i}2) AS s{i}, p{i}, CASE WHEN d{i}0 <= d{i}1 AND d{i}0 <= d{i}2 THEN 0 WHEN d{i}1 <= d{i}2 THEN 1 ELSE 2 END AS b{i}" for i in range(3))
+_BEST = "CASE WHEN s0 <= s1 AND s0 <= s2 THEN 0 WHEN s1 <= s2 THEN 1 ELSE 2 END"
+
+
+@query(f"""WITH RECURSIVE {TRACKS_CTE}, c AS MATERIALIZED (SELECT track, frame, v AS u0, conf * 100 AS u1, 45.0::DOUBLE AS u2, conf * 4 AS p0, v / 25 AS p1, 2.0::DOUBLE AS p2 FROM t),
+f AS (SELECT track, frame, {', '.join(f'u{i} AS s{i}, p{i}, -1 AS b{i}' for i in range(3))} FROM c WHERE frame = 0
+ UNION ALL SELECT track, frame, {_STEP} FROM (SELECT c.*, {_JUMP} FROM f JOIN c ON c.track = f.track AND c.frame = f.frame + 1)),
+m AS MATERIALIZED (SELECT * FROM f),
+g AS (SELECT track, frame, {_BEST} AS choice FROM m WHERE (track, frame) IN (SELECT (track, max(frame)) FROM c GROUP BY track)
+ UNION ALL SELECT g.track, g.frame - 1, CASE g.choice WHEN 0 THEN m.b0 WHEN 1 THEN m.b1 ELSE m.b2 END FROM g JOIN m ON m.track = g.track AND m.frame = g.frame WHERE g.frame > 0)
+SELECT track, frame, choice FROM g""")
 def g29_best_path(spark, sf):
     return M.best_path(candidates(spark, sf), K, "frame", "costs", "poses", switch_weight=5.0, n_candidates=3, size=BLK)
 

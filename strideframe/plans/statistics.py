@@ -174,7 +174,7 @@ def f35_kolmogorov_smirnov(spark, sf):
     return r6(S.kolmogorov_smirnov(conditions(spark, sf), "cond", "amp", "A", "R"), "n_a", "n_b")
 
 
-_N_PERM = 30
+_N_PERM = 1000
 
 
 def _t2_sql(n1, n2):

@@ -155,13 +155,13 @@ def _flip_sql(src, cond, agg, out):
  {out} AS (SELECT track, frame, clr, v, CASE WHEN {cond} THEN NOT ct ELSE ct END AS ct FROM (SELECT *, {agg} OVER (PARTITION BY track, ct, grp) AS m, count(*) OVER (PARTITION BY track, ct, grp) AS n FROM {out}_r))"""
 
 
-_P = ", ".join(_flip_sql(f"s{2 * i}", "NOT ct AND m < 0.3", "max(clr)", f"s{2 * i + 1}") + ", " + _flip_sql(f"s{2 * i + 1}", "ct AND m > 0.2", "min(abs(clr))", f"s{2 * i + 2}") for i in range(2))
+_P = ", ".join(_flip_sql(f"s{2 * i}", "NOT ct AND m < 0.3", "max(clr)", f"s{2 * i + 1}") + ", " + _flip_sql(f"s{2 * i + 1}", "ct AND m > 0.2", "min(abs(clr))", f"s{2 * i + 2}") for i in range(3))
 
 
-@query(f"WITH {TRACKS_CTE}, s0 AS (SELECT track, frame, v, v / 100.0 - 0.3 AS clr, conf >= 0.4 AS ct FROM t), {_P} SELECT track, frame, ct AS contact FROM s4")
+@query(f"WITH {TRACKS_CTE}, s0 AS (SELECT track, frame, v, v / 100.0 - 0.3 AS clr, conf >= 0.4 AS ct FROM t), {_P} SELECT track, frame, ct AS contact FROM s6")
 def g21_contact_correction(spark, sf):
     d = feet(spark, sf).select("track", "frame", "clr", F.col("st").alias("contact"))
-    return G.correct_contact(d, K, "frame", "contact", "clr", lift=0.3, band=0.2, passes=2, size=BLK).select("track", "frame", "contact")
+    return G.correct_contact(d, K, "frame", "contact", "clr", lift=0.3, band=0.2, passes=3, size=BLK).select("track", "frame", "contact")
 
 
 @query(f"""WITH {TRACKS_CTE}, s0 AS (SELECT track, frame, v, conf AS clr, conf <= 0.6 AS ct FROM t), {_flip_sql('s0', 'ct AND m > 45', 'median(v)', 's1')}, {_flip_sql('s1', 'NOT ct AND m < 0.7', 'max(clr)', 's2')}, {_flip_sql('s2', 'ct AND n < 3', 'max(clr)', 's3')}
