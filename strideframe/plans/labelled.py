@@ -314,7 +314,17 @@ def f19_slot_assignment(spark, sf):
     return E.assign_slots(a.unionByName(b))
 
 
-@query()
+def _grid_sql(k: int) -> str:
+    """The grid of one round, its losses, and the best point with its neighbours."""
+    at = f"lo + (hi - lo) * i / 40.0 AS p FROM r{k}, (SELECT unnest(range(41)) AS i)"
+    loss = "greatest(z, 0.0) - z * t + ln(1 + exp(-abs(z)))"
+    return f"""g{k} AS (SELECT i, {at}), n{k} AS (SELECT i, any_value(p) AS p, sum(w * ({loss})) / sum(w) AS nll FROM (SELECT i, p, l / exp(p) AS z, t, w FROM g{k}, d) GROUP BY i),
+ b{k} AS (SELECT arg_min(i, (nll, i)) AS i FROM n{k}), r{k + 1} AS (SELECT max(p) FILTER (n.i = greatest(b.i - 1, 0)) AS lo, max(p) FILTER (n.i = least(b.i + 1, 40)) AS hi, max(p) FILTER (n.i = b.i) AS best, max(nll) FILTER (n.i = b.i) AS nll FROM n{k} n, b{k} b)"""
+
+
+@query(f"""WITH {_WIN}, d AS (SELECT (n_chars % 41 - 20) / 4.0 + CASE WHEN female THEN 1.5 ELSE -1.5 END AS l, CAST(female AS INT) AS t, count(*) AS w FROM win GROUP BY ALL),
+ r0 AS (SELECT -5.0::DOUBLE AS lo, 5.0::DOUBLE AS hi), {', '.join(map(_grid_sql, range(5)))}
+SELECT round(exp(best), 3) AS temperature, round(nll, 6) AS nll, abs(best + 5) < 0.5 OR abs(best - 5) < 0.5 AS saturated FROM r5""")
 def f20_temperature(spark, sf):
     w = windows(spark, sf).select(((F.col("n_chars") % 41 - 20) / 4.0 + F.when(F.col("female"), 1.5).otherwise(-1.5)).alias("logit"), F.col("female").cast("int").alias("target"))
     r = E.fit_temperature(w, "logit", "target")
