@@ -116,19 +116,22 @@ def match_length(clips: DataFrame, bouts: DataFrame, keys: Sequence[str], *, tol
     return out.withColumn("bout", F.when(F.col("n_matches") == 1, F.col("_b"))).drop("_b")
 
 
-def closest_reference(targets: DataFrame, candidates: DataFrame) -> DataFrame:
+def closest_reference(targets: DataFrame, candidates: DataFrame, *, size: int = BLOCK) -> DataFrame:
     """For every target (``n``, ``sign``) the candidate going the same way with the best count.
 
-    Candidates are first reduced to one per (sign, count), so every target meets a small
-    table however many candidates there are.  Fewer than asked comes last, then the
-    smallest difference, then the lowest id; without one going the same way the rule
-    applies to all.
+    That is the next count at or above the one asked for, else the highest; the lowest id on
+    ties.  Without a candidate going the same way the rule applies to all; without any, or with
+    a null count, there is no match.  Equal counts are one row, and the next one is looked up
+    along the counts of a way, so no target meets all candidates.
     """
     have = candidates.where(F.col("n") > 0)
-    per = have.groupBy(F.col("sign").alias("_sign"), F.col("n").alias("_n")).agg(F.min("id").alias("_id"))
-    score = F.struct((F.col("_sign") != F.col("sign")).alias("other"), (F.col("_n") < F.col("n")).alias("fewer"), F.abs(F.col("_n") - F.col("n")).alias("gap"), F.col("_id").alias("id"))
-    from strideframe.operators.geometry import each_with
-
-    kinds = targets.select("n", "sign").distinct()
-    best = each_with(kinds, per).groupBy("n", "sign").agg(F.min(score).alias("_best"))
-    return targets.join(best, ["n", "sign"]).select(*targets.columns, F.col("_best.id").alias("match"))
+    way, ways = F.when(F.col("sign") > 0, "up").when(F.col("sign") < 0, "down").when(F.col("sign") == 0, "flat"), F.lit("any")
+    pooled = have.select(F.explode(F.array(way, ways)).alias("_way"), "n", "id").where("_way is not null").groupBy("_way", "n").agg(F.min("id").alias("id"))
+    top = pooled.groupBy("_way").agg(F.max_by("id", "n").alias("_top"))
+    asked = targets.where("n is not null").select("sign", "n").distinct().withColumn("_own", way)
+    asked = asked.join(top.select(F.col("_way").alias("_own"), F.lit(True).alias("_has")), "_own", "left")
+    asked = asked.select("sign", "n", F.when(F.col("_has"), F.col("_own")).otherwise(ways).alias("_way"))
+    steps = pooled.unionByName(asked.select("_way", "n", F.lit(None).cast(pooled.schema["id"].dataType).alias("id"))).groupBy("_way", "n").agg(F.min("id").alias("id"))
+    up = scan(steps, ["_way"], "n", next={"_up": F.col("id")}, size=size)
+    best = asked.join(up.select("_way", "n", "_up"), ["_way", "n"]).join(top, "_way", "left").select(F.col("sign").alias("_sign"), F.col("n").alias("_n"), F.coalesce("_up", "_top").alias("match"))
+    return targets.join(best, F.col("n").eqNullSafe(F.col("_n")) & F.col("sign").eqNullSafe(F.col("_sign")), "left").select(*targets.columns, "match")

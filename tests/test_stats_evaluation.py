@@ -161,3 +161,17 @@ def test_dlt_projection_equals_matrix_projection(spark):
     b = {r.camera: (r.u, r.v) for r in G.project_dlt(pts, c).collect()}
     for k in a:
         np.testing.assert_allclose(a[k], b[k], rtol=1e-12)
+
+
+def test_closest_reference_is_that_of_brute_force(spark):
+    rng = np.random.default_rng(8)
+    for n_cand in (0, 1, 25):
+        signs = rng.choice([-1.0, 0.0, 1.0] if n_cand > 1 else [1.0], n_cand)
+        cand = [(i, int(rng.integers(0, 9)), float(g)) for i, g in enumerate(signs)]
+        want, targets = {}, [(100 + i, int(rng.integers(0, 12)), float(rng.choice([-1.0, -0.0, 1.0]))) for i in range(40)]
+        for t, n, g in targets:
+            best = min(((g2 != g, n2 < n, abs(n2 - n), i) for i, n2, g2 in cand if n2 > 0), default=None)
+            want[t] = best and best[3]
+        kind = "id int, n int, sign double"
+        got = closest_reference(spark.createDataFrame(targets, kind), spark.createDataFrame(cand, kind), size=3).collect()
+        assert {r.id: r.match for r in got} == want and len(got) == 40
