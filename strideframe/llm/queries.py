@@ -54,7 +54,7 @@ def op5_pii(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def op6_training_order(spark: SparkSession, sf: str) -> DataFrame:
-    return token_output.training_order(table(spark, sf, "documents"))
+    return token_output.training_files(table(spark, sf, "documents"))
 
 
 @query()

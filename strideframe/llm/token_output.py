@@ -18,7 +18,8 @@ table gives no sequences.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.llm.store import written
+from strideframe.llm.store import shared_folder, written
 from strideframe.llm.text import SPACED_WORD, Texts, mix, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -37,6 +38,7 @@ LENGTH = 1024
 PER_SHARD = 16384
 KEY = 20240607
 ROUNDS = 6
+INDEXED = ["slot", "shard", "offset", "doc_ids", "n_tokens"]
 SLICE = 2 << 20
 #: distinct units that a worker remembers
 REMEMBERED = 400_000
@@ -239,13 +241,8 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:06d}.bin"
 
 
-def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
-    """Writes each shard's records one after the other; shard, n_records, n_bytes and sha256 of each.
-
-    ``folder`` is a URI that all machines reach. A file appears under its name when it is whole,
-    and a task that runs again writes the same bytes, so lost executors leave no half files.
-    Nothing is written before the returned table is evaluated.
-    """
+def _shard_writer(folder: str, index: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's shard as a file; yields a row of the file, or with ``index`` its records' rows with file and sha256."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -257,6 +254,7 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
         task = TaskContext.get()
         waiting, out = f"{base}/.{task.partitionId()}-{task.taskAttemptId()}", None
         shard, n, size, digest = None, 0, 0, hashlib.sha256()
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not len(batch):
                 continue
@@ -268,12 +266,38 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
                 out.write(raw)
                 digest.update(raw)
                 n, size = n + 1, size + len(raw)
+            if index:
+                held.append(batch.select(INDEXED))
         if out is not None:
             out.close()
             store.move(waiting, f"{base}/{shard_name(shard)}")
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_records": [n], "n_bytes": [size], "sha256": [digest.hexdigest()]})
+            if not index:
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_records": [n], "n_bytes": [size], "sha256": [digest.hexdigest()]})
+            for x in held:
+                yield pa.RecordBatch.from_arrays([*x.columns, pa.array([f"{folder}/{shard_name(shard)}"] * len(x)), pa.array([digest.hexdigest()] * len(x))], names=[*INDEXED, "file", "sha256"])
+
+    return write
+
+
+def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
+    """Writes each shard's records one after the other; shard, n_records, n_bytes and sha256 of each.
+
+    ``folder`` is a URI that all machines reach. A file appears under its name when it is whole,
+    and a task that runs again writes the same bytes, so lost executors leave no half files.
+    Nothing is written before the returned table is evaluated.
+    """
+    return ordered.select("shard", "record").mapInArrow(_shard_writer(folder, False), "shard int, n_records long, n_bytes long, sha256 string")
+
 
-    return ordered.select("shard", "record").mapInArrow(write, "shard int, n_records long, n_bytes long, sha256 string")
+def training_files(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Writes the shards to a new folder in the shared one; slot, shard, offset, doc_ids and n_tokens of each record, its file and the file's sha256.
+
+    All files are there when this returns. A task holds the index rows of one shard, not its records.
+    """
+    folder = f"{shared_folder(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
+    ordered = training_order(docs, doc_id, text, length, per_shard, key, vocabulary)
+    kinds = "slot long, shard int, offset long, doc_ids array<long>, n_tokens int, file string, sha256 string"
+    return written(ordered.select(*INDEXED, "record").mapInArrow(_shard_writer(folder, True), kinds), "shard-index")
 
 
 def read_slots(folder: str, first: int, count: int, length: int = LENGTH, per_shard: int = PER_SHARD, dtype: str = "<u2") -> Iterator[np.ndarray]:

@@ -169,6 +169,21 @@ def test_shards_hold_every_sequence_in_order(spark, sf, tmp_path):
     assert token_output.training_order(docs(spark, [])).count() == 0
 
 
+def test_training_order_query_writes_its_shards(spark, sf):
+    from strideframe.llm.queries import op6_training_order, table
+
+    got = sorted(op6_training_order(spark, sf).collect())
+    want = sorted(token_output.training_order(table(spark, sf, "documents")).collect())
+    assert [(r.slot, r.shard, r.offset) for r in got] == [(r.slot, r.shard, r.offset) for r in want] and "record" not in got[0]
+    assert sum(r.n_tokens for r in got) == sum(r.n_tokens for r in want) and Counter(i for r in got for i in set(r.doc_ids)).keys() == Counter(i for r in want for i in r.doc_ids).keys()
+    for name, sha in {(r.file, r.sha256) for r in got}:
+        with open(name.removeprefix("file://"), "rb") as f:
+            assert hashlib.sha256(f.read()).hexdigest() == sha
+    read = list(token_output.read_slots(got[0].file.rpartition("/")[0], 0, len(got) + 1))
+    assert len(read) == len(got) and all((x[r.n_tokens :] == 50257 - 1).all() or r.n_tokens == 1024 for x, r in zip(read, got, strict=True))
+    assert Counter(t for x in read for t in x.tolist()) == Counter(t for r in want for t in np.frombuffer(r.record, "<u2").tolist())
+
+
 def test_scores_by_brute_force(spark, sf):
     rows = ROWS + real(sf, 150)
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
