@@ -3,9 +3,10 @@
 Tokens are words (lower-cased A-Z, split at ASCII white space) and one end for each text. The
 model interpolates: p(w | h) = (1 - l) * base(w) + l * count(h w) / count(h) with
 l = ``SHARE`` * count(h) / (count(h) + ``PRIOR``). Word counts are exact; bigram counts come from the filter:
-a bigram seen c times is inserted once for each level up to 1 + floor(log2(c / ``LEAST``)),
+a bigram seen c times is inserted once for each level up to 1 + floor(log2(c / ``least``)),
 and is read back by probing level after level until one is absent, as the lower end of the
-last level's range, and no more than the counts of both words. Bigrams seen fewer than ``LEAST`` times are left to the base.
+last level's range, and no more than the counts of both words. Bigrams seen fewer than ``least`` times are left to the base;
+the query has ``least`` = 1, so level 1 is a bigram seen once and none is left out.
 
 How it runs: texts are read once into *chunks* of about ``CHUNK_BYTES``, a table of token numbers
 with the chunk's own words. A chunk sends its distinct words with their counts to the words'
@@ -159,13 +160,13 @@ def word_counts(table: DataFrame, bits: int) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(add, "chunk long, bucket int, counts binary, seen long, tokens long")
 
 
-def level(count: np.ndarray) -> np.ndarray:
-    """1 + floor(log2(count / LEAST)), 0 below LEAST."""
-    return np.where(count >= LEAST, np.frexp(np.maximum(count, 1) / LEAST)[1], 0)
+def level(count: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """1 + floor(log2(count / least)), 0 below least."""
+    return np.where(count >= least, np.frexp(np.maximum(count, 1) / least)[1], 0)
 
 
-def lower_end(levels: np.ndarray) -> np.ndarray:
-    return np.where(levels > 0, LEAST * 2.0 ** (levels.astype(float) - 1), 0.0)
+def lower_end(levels: np.ndarray, least: int = LEAST) -> np.ndarray:
+    return np.where(levels > 0, least * 2.0 ** (levels.astype(float) - 1), 0.0)
 
 
 class Segment:
@@ -207,7 +208,7 @@ class Segment:
         return out
 
 
-def filter_segments(table: DataFrame, bits: int) -> DataFrame:
+def filter_segments(table: DataFrame, bits: int, least: int = LEAST) -> DataFrame:
     """bucket and bits of each segment, from the bigram counts over all training texts."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +224,7 @@ def filter_segments(table: DataFrame, bits: int) -> DataFrame:
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         keys, which = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in rows["keys"]]), return_inverse=True)
         count = np.bincount(which, weights=np.concatenate([unpacked(x) for x in rows["counts"]]), minlength=len(keys))
-        levels = level(count)
+        levels = level(count, least)
         made = Segment.of(keys[levels > 0], levels[levels > 0])
         return pd.DataFrame({"bucket": rows["bucket"].iloc[:1], "bits": [made.bits.tobytes()], "n_bytes": len(made.bits)})
 
@@ -260,7 +261,7 @@ def routed_levels(table: DataFrame, segments: DataFrame, bits: int) -> DataFrame
     return sent.groupBy("bucket").cogroup(segments.groupBy("bucket")).applyInPandas(answer, "chunk long, bucket int, levels binary")
 
 
-def scored(c: Chunk, count: np.ndarray, levels: np.ndarray, which: np.ndarray, total: int, seen: int, ends: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scored(c: Chunk, count: np.ndarray, levels: np.ndarray, which: np.ndarray, total: int, seen: int, ends: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Known tokens, base score and score of each text of a chunk."""
     counts = count[c.tokens]
     base = (counts + 0.5) / (total + 0.5 * (seen + 1))
@@ -269,7 +270,7 @@ def scored(c: Chunk, count: np.ndarray, levels: np.ndarray, which: np.ndarray, t
     history[c.bounds[:-1]] = ends
     weight = SHARE * history / (history + PRIOR)
     rarer = np.minimum(history, counts)
-    pairs = np.where(rarer < LEAST, 0, np.minimum(lower_end(levels)[which], rarer))
+    pairs = np.where(rarer < least, 0, np.minimum(lower_end(levels, least)[which], rarer))
     ratio = pairs / np.maximum(history, 1)
     mixed = (1 - weight) * base + weight * ratio
     first = c.bounds[:-1]
@@ -277,7 +278,7 @@ def scored(c: Chunk, count: np.ndarray, levels: np.ndarray, which: np.ndarray, t
     return add((counts > 0).astype(np.int64)), add(np.log10(base)), add(np.log10(mixed))
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", filter_bytes: int = FILTER_BYTES, chunk_bytes: int = CHUNK_BYTES, bucket: int = BUCKET) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", filter_bytes: int = FILTER_BYTES, chunk_bytes: int = CHUNK_BYTES, bucket: int = BUCKET, least: int = LEAST) -> DataFrame:
     """One row per document with its base score and the model's score."""
     table = written(chunks(docs, doc_id, text, chunk_bytes), "chunks")
     size = table.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("w")).first()
@@ -285,7 +286,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", filter_by
     counted = written(word_counts(table, word_bits), "word-counts")
     totals = counted.groupBy("bucket").agg(F.first("seen").alias("seen"), F.first("tokens").alias("tokens")).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("seen"), F.lit(0)).alias("v")).first()
     total, seen = int(totals.n), int(totals.v)
-    segments = written(filter_segments(table, bits), "segments")
+    segments = written(filter_segments(table, bits, least), "segments")
     by_chunk = counted.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("counts"))
     rows = table.drop("n_tokens", "n_words").join(by_chunk, "chunk")
     held = None
@@ -307,7 +308,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", filter_by
                 levels = _probe(keys, bits, filters) if held else np.concatenate([np.frombuffer(x["levels"], np.uint8) for x in row["levels"]])
                 end = np.flatnonzero(c.words == END)
                 # every training text has one end, so the ends count its beginnings
-                known, base, full = scored(c, count, levels, which, total, seen, int(count[end[0]]) if len(end) else 0)
+                known, base, full = scored(c, count, levels, which, total, seen, int(count[end[0]]) if len(end) else 0, least)
                 n = np.diff(c.bounds)
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(c.held), pa.array(n), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), total)), pa.array(base), pa.array(full)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 

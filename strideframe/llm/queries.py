@@ -65,7 +65,7 @@ def op7_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def op8_language_model(spark: SparkSession, sf: str) -> DataFrame:
-    return lm.score(table(spark, sf, "documents"))
+    return lm.score(table(spark, sf, "documents"), least=1)
 
 
 @query()

@@ -211,6 +211,32 @@ def test_scores_by_brute_force(spark, sf):
             assert math.isclose(r.score, score, rel_tol=0.02)  # the filter's false positives
 
 
+def test_query_scores_bigrams_seen_once(spark, sf):
+    from strideframe.llm.queries import op8_language_model
+
+    rows = real(sf, 10**6)
+    tokens = [[*SPACED.findall(lower(t or "")), None] for _, t in rows]
+    count, pairs = Counter(), Counter()
+    for (i, _), w in zip(rows, tokens, strict=True):
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1:
+            count.update(w)
+            pairs.update(zip(["<"] + w[:-1], w, strict=True))
+    n, v = sum(count.values()), len(count)
+    want = []
+    for (i, _), w in zip(rows, tokens, strict=True):
+        score = 0
+        for h, x in zip(["<"] + w[:-1], w, strict=True):
+            c, m = count[None] if h == "<" else count[h], pairs[h, x]
+            share = 0.4 * c / (c + 5)
+            score += math.log10((1 - share) * (count[x] + 0.5) / (n + 0.5 * (v + 1)) + share * (2 ** int(math.log2(m)) if m else 0) / max(c, 1))
+        want.append((i, len(w), score))
+    got = sorted((r.doc_id, r.n_tokens, r.score) for r in op8_language_model(spark, sf).collect())
+    assert len(got) == len(want)
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=0.02)  # the filter's false positives
+    assert lm.lower_end(lm.level(np.array([0, 1, 2, 3, 4, 9]), 1), 1).tolist() == [0, 1, 2, 2, 4, 8]
+
+
 def test_scores_of_nothing(spark):
     assert lm.score(docs(spark, [])).count() == 0
 
