@@ -3,7 +3,8 @@
 Spark's FP-growth mines the token combinations of labelled URLs together with their label; the
 rules towards the bad label are pruned by support, confidence and lift. A rule is filed under
 its rarest token (an inverted index); a URL looks up its tokens and is blocked if all tokens of
-a rule found there are among its own. DataFrame operations only.
+a rule found there are among its own. The support is a number of URLs, not a share, so a bad host
+becomes a rule however many other URLs there are. DataFrame operations only.
 
 Work is done for each distinct URL and joined back, so a URL that fills a third of the table
 is judged once. A null URL, or one without ``://``, has empty host and path, no tokens and no
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 #: (verdict, rule); fixed values
 HOST_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: share of the labelled URLs, and least number of them, that a rule holds for
-SUPPORT, LEAST = 0.01, 10
+#: least number of labelled URLs that a rule holds for, whatever their share
+LEAST = 10
 CONFIDENCE = 0.8
 LIFT = 1.5
 BAD, GOOD = "label:bad", "label:good"
@@ -59,18 +60,20 @@ def host_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple
     return rule, verdict
 
 
-def mine(urls: DataFrame, labels: DataFrame, key: str = "page_id", label_key: str = "doc_id", support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame | None:
+def mine(urls: DataFrame, labels: DataFrame, key: str = "page_id", label_key: str = "doc_id", support: float = 0.0, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame | None:
     """rule (tokens), support and confidence of what points to bad URLs; None without labels.
 
     ``urls`` has ``key`` and url, ``labels`` has ``label_key``, quality and toxic. A label is bad
-    if the quality is 0 or the text toxic; rows without either are left out.
+    if the quality is 0 or the text toxic; rows without either are left out. A rule holds for
+    ``LEAST`` URLs at least, and for the share ``support`` of them where that is asked for.
     """
     judged = labels.select(labels[label_key].alias("_k"), F.when((labels["quality"] == 0) | (labels["toxic"] == 1), BAD).when(labels["quality"] == 1, GOOD).alias("_label")).where("_label is not null")
     baskets = urls.select(urls[key].alias("_k"), F.coalesce(urls["url"], F.lit("")).alias("url")).join(judged, "_k").select(F.array_append(tokens_of(F.col("url")), F.col("_label")).alias("items"))
     n = baskets.count()
     if not n:
         return None
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, LEAST / n)), minConfidence=confidence).fit(baskets)
+    # half a URL less, as the share is rounded up to whole URLs again
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, (LEAST - 0.5) / n)), minConfidence=confidence).fit(baskets)
     return model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD) & (F.col("lift") >= lift)).select(F.col("antecedent").alias("rule"), "support", "confidence", "lift")
 
 
@@ -88,7 +91,7 @@ def matched(urls: DataFrame, index: DataFrame) -> DataFrame:
     return found.groupBy("url").agg(F.max_by(F.struct("confidence", "rule"), F.struct("confidence", "support", "rule")).alias("best")).select("url", F.col("best.confidence").alias("confidence"), F.array_join("best.rule", " ").alias("mined_rule"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = HOST_RULES, key: str = "page_id", url: str = "url", support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = HOST_RULES, key: str = "page_id", url: str = "url", support: float = 0.0, confidence: float = CONFIDENCE) -> DataFrame:
     """page_id, host, path, rule, verdict, and the mined rule with its confidence where one fits."""
     rows = pages.select(pages[key].alias("page_id"), F.coalesce(pages[url], F.lit("")).alias("url"))
     mined = mine(rows, labels, "page_id", support=support, confidence=confidence)

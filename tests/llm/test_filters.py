@@ -127,6 +127,15 @@ def test_host_rules_and_mined_rules(spark):
     assert {r.verdict for r in url_filters.filter_urls(pages.where("page_id > 11"), labels.limit(0)).collect()} == {"allow"}
 
 
+def test_a_bad_host_of_few_urls_becomes_a_rule(spark):
+    urls = [f"http://farm.biz/p/x{i}" for i in range(10)] + [f"http://few.biz/q/y{i}" for i in range(9)] + [f"http://fine.net/news/{i}" for i in range(3000)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int("fine" in u), 0) for i, u in enumerate(urls)], "doc_id long, quality int, toxic int")
+    assert any(r.rule == ["host:farm.biz"] for r in url_filters.mine(pages, labels).collect())
+    blocked = {r.page_id for r in url_filters.filter_urls(pages, labels, rules=[]).collect() if r.verdict == "block"}
+    assert blocked == set(range(19))  # the nine of the other host by host:biz
+
+
 def url_tokens(u):
     if "://" not in u:
         return []
