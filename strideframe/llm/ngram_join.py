@@ -170,6 +170,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``n_links`` the number of other documents at or above the similarity (copies included).
     A document without words has its own id as both and no links.
     """
+    return _grouped(docs, doc_id, text, similarity, recall).drop("component")
+
+
+def _grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: tuple[int, int] = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """``near_duplicates`` with the component, the least node that links lead to."""
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     signed = written(signatures(docs, similarity=similarity, recall=recall), "signatures")
     classes = signed.where("node is not null").groupBy("node", "check").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("size"), F.first("bands").alias("bands"))
@@ -183,8 +188,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.drop("bands").join(links, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("copy_id").alias("class_id"))
-    named = named.join(least, "component").select("node", "check", "copy_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    return signed.drop("bands").join(named, ["node", "check"], "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "node")
+    named = named.join(least, "component").select("node", "check", "component", "copy_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    return signed.drop("bands").join(named, ["node", "check"], "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "node", "component")
 
 
 def _verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -209,18 +214,28 @@ def _verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, simila
 
 
 def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts of the rows that carry a wanted class's id; other texts of that id go out by their set."""
-    w = wanted.alias("w")
-    return docs.alias("d").join(w, F.col("d.doc_id").eqNullSafe(F.col("w.copy_id"))).select("d.text", "w.node", "w.check", "w.component", "w.blocks", "w.size")
+    """Texts of the rows that carry a wanted class's id and set, so rows of one id don't meet all its classes."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, part in slices(batch.column(1)):
+                *_, size, node, check = _named(part)
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, part.n).columns, pa.array(node.view(np.int64), mask=size == 0), pa.array(check.view(np.int64), mask=size == 0)], names=["doc_id", "text", "node", "check"])
+
+    d, w = docs.select("doc_id", "text").mapInArrow(name, "doc_id long, text string, node long, check long").alias("d"), wanted.alias("w")
+    same = F.col("d.doc_id").eqNullSafe(F.col("w.copy_id")) & (F.col("d.node") == F.col("w.node")) & (F.col("d.check") == F.col("w.check"))
+    return d.join(w, same).select("d.text", "w.node", "w.check", "w.component", "w.blocks", "w.size")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, all columns, with one left of each near-duplicate class: the least id's.
 
-    Of repeated rows of that id one stays. Documents without words all stay.
+    Of repeated rows of that id, or several texts under it, one stays; a null id comes last.
+    Documents without words all stay.
     """
-    found = near_duplicates(docs, doc_id, text).where("node is not null and doc_id <=> class_id").select(F.col("node").alias("_node"), F.col("doc_id").alias("_id")).distinct()
-    found = found.groupBy("_node").agg(F.min("_id").alias("_id"))
+    found = _grouped(docs, doc_id, text).where("node is not null")
+    least = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least"))
+    found = least.select(F.col("least.node").alias("_node"), F.col("least.doc_id").alias("_id"))
     place, names = docs.columns.index(text), [*docs.columns, "_node"]
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

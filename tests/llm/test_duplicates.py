@@ -61,6 +61,15 @@ def test_near_duplicates_by_brute_force(spark, sf, block, monkeypatch):
         assert {r.doc_id for r in got if SPACED.search(r.text or "")} <= ids
 
 
+@pytest.mark.parametrize("ids", [[None, None, None], [7, 7, 7], [None, 7, 7]])
+def test_one_is_kept_of_versions_without_ids_of_their_own(spark, ids):
+    base = [f"t{i}" for i in range(300)]
+    rows = [(i, " ".join(base[:k] + ["edit"] + base[k + 1 :])) for i, k in zip(ids, (0, 100, 200), strict=True)] + [(i, "quite another text of some words") for i in ids] + [(None, None)]
+    got = ngram_join.keep_one(docs(spark, rows)).collect()
+    assert sorted(r.text.startswith("quite") for r in got if r.text) == [False, True] and len(got) == 3
+    assert all(r.doc_id == min((i for i in ids if i), default=None) for r in got if r.text)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert ngram_join.near_duplicates(docs(spark, [])).count() == 0
     got = ngram_join.near_duplicates(docs(spark, ROWS[:3])).collect()
