@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import decontamination, lm, ngram_join, pieces, pii, quality, sharding, suffix_dedup, token_output, url_filters
+from strideframe.llm import (
+    conversation_trie, decontamination, lm, ngram_join, periodic_runs as periodic, pieces, pii, quality, secret_scan, sharding, suffix_dedup, token_output, url_filters,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +78,18 @@ def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality(table(spark, sf, "documents"))
+
+
+@query()
+def op11_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf, "conversations"))
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf, "documents"))
+
+
+@query()
+def op13_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf, "documents"))

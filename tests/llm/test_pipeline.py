@@ -6,7 +6,7 @@ import pytest
 from helpers import SPACED
 from strideframe.llm.queries import ORACLES, QUERIES
 from test_duplicates import groups
-from test_filters import hits, verdict
+from test_document_filters import hits, verdict
 
 
 def test_stages(spark, sf):
@@ -37,6 +37,8 @@ def test_stages(spark, sf):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_give_every_row(spark, sf, name):
     table = "pages" if name.startswith("op1_") else "documents"
+    if name == "op11_conversation_trie":
+        pytest.skip("nodes, held against brute force elsewhere")
     n = QUERIES[name](spark, sf).count()
     assert n == spark.read.parquet(f"{sf}/{table}.parquet").count() or name.startswith("op6_")
     assert set(ORACLES) <= set(QUERIES)
