@@ -5,13 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strideframe.functions import vectors as V
 from strideframe.functions.terrain import Stairs
-from strideframe.operators.ordered import BLOCK, lag_lead, running_sum, scan
+from strideframe.operators.ordered import BLOCK, block_of, lag_lead, running_sum, scan, spread
 from strideframe.operators.quantiles import attach, exact_median, exact_quantiles
+from strideframe.operators.recursive import Rows, by_group
 from strideframe.operators.runs import label_runs, run_table
 from strideframe.operators.series import unwrap
 from strideframe.session import cut_lineage
@@ -148,6 +151,98 @@ def episodes(df: DataFrame, track: Sequence[str], order: str, stance: str, z: st
     )
 
 
+def _turns(v: np.ndarray) -> np.ndarray:
+    """Ends and turning points of a series; what lies between two of them only moves one way."""
+    if len(v) < 3:
+        return v
+    v = v[np.append(True, v[1:] != v[:-1])]
+    step = np.diff(v) > 0
+    return v[np.concatenate([[True], step[1:] != step[:-1], [True]])] if len(v) > 2 else v
+
+
+def _zigzag(values: Sequence[float], least: float, state: tuple[bool, float], n: int = 0) -> tuple[tuple[bool, float], int]:
+    """Runs (rising, extreme so far) over the values; a peak counts once the series fell by ``least`` below it."""
+    up, at = state
+    for v in values:
+        if up:
+            if v > at:
+                at = v
+            elif at - v >= least:
+                up, at, n = False, v, n + 1
+        elif v < at:
+            at = v
+        elif v - at >= least:
+            up, at = True, v
+    return (up, at), n
+
+
+def _skeleton(v: np.ndarray, least: float) -> tuple[list[float], int, bool, float, bool]:
+    """What a stretch does to any state before it: a few values to run through, then, if ``fixed``, peaks and the state.
+
+    After two swings of at least ``least`` inside the stretch, the state no longer depends on what came before.
+    """
+    v = _turns(v)
+    low, high = np.minimum.accumulate(v), np.maximum.accumulate(v)
+    wide = high - low >= least
+    if not wide.any():
+        i, j = sorted((int(v.argmin()), int(v.argmax())))
+        return [float(v[i]), float(v[j])], 0, False, 0.0, False
+    first = int(wide.argmax())
+    head = v[:first]
+    i, j = sorted((int(head.argmin()), int(head.argmax())))
+    lead = [float(head[i]), float(head[j])]
+    rest = v[first:] if v[first] > head.max() else -v[first:]
+    sign = 1.0 if v[first] > head.max() else -1.0
+    drop = np.maximum.accumulate(rest) - rest >= least
+    if not drop.any():
+        top = int(rest.argmax())
+        return [*lead, sign * float(rest[top]), sign * float(rest[top:].min())], 0, False, 0.0, False
+    second = int(drop.argmax())
+    lead += [sign * float(rest[: second + 1].max()), sign * float(rest[second])]
+    (up, at), n = _zigzag(v[first + second + 1 :].tolist(), least, (sign < 0, lead[-1]))
+    return lead, n, up, at, True
+
+
+def episode_peaks(df: DataFrame, track: Sequence[str], order: str, stance: str, z: str, *, fraction: float, floor: float, size: int = BLOCK) -> DataFrame:
+    """Number of peaks of ``z`` in each swing and stance: ``(track, start, end, kind, n_peaks, double_peak)``.
+
+    A peak is a maximum from which the series falls, on both sides and before a higher one, by at least
+    ``fraction`` of the episode's height range and ``floor``; equal maxima without such a fall between them count once. Missing values
+    stand at the episode's lowest. An episode is read block by block: each block is reduced to the few values that matter
+    for what came before and what it does after them, and the reduced blocks are joined in order.
+    """
+    if floor <= 0:
+        raise ValueError("the floor must be above 0")
+    d = label_runs(df.select(*track, order, F.col(stance).alias("_s"), F.col(z).cast("double").alias("_z")), track, order, "_s", size=size)
+    d = cut_lineage(d.select(*track, "run", order, "_s", "_z"))
+    keys = [*track, "run"]
+    ep = d.groupBy(*keys).agg(F.min(order).alias("start"), F.max(order).alias("end"), F.max("_s").alias("_s"), F.min("_z").alias("_lo"), (F.max("_z") - F.min("_z")).alias("_amp")).where("_lo is not null")
+    ep = cut_lineage(ep.withColumn("_least", F.greatest(F.col("_amp") * fraction, F.lit(float(floor)))))
+    rows = spread(d, keys, order, ep.select(*keys, "_lo", "_least"), size=size).where("_least is not null")
+    rows = rows.select(*keys, block_of(order, size).alias("_blk"), order, F.coalesce("_z", "_lo").alias("_z"), "_least")
+
+    def reduce(g: Rows) -> Rows:
+        lead, n, up, at, fixed = _skeleton(g["_z"], float(g["_least"][0]))
+        values = np.empty(1, object)
+        values[0] = np.array(lead)
+        return {"_lead": values, "_n": np.array([n]), "_up": np.array([up]), "_at": np.array([at]), "_fixed": np.array([fixed]), "_least": g["_least"][:1]}
+
+    def join(g: Rows) -> Rows:
+        state, n = (False, float(g["_lead"][0][0])), 0
+        for lead, more, up, at, fixed, least in zip(g["_lead"], g["_n"], g["_up"], g["_at"], g["_fixed"], g["_least"], strict=True):
+            state, n = _zigzag(list(lead), float(least), state, n)
+            if fixed:
+                state, n = (bool(up), float(at)), n + int(more)
+        return {"n_peaks": np.array([n])}
+
+    fields = [f for f in rows.schema.fields if f.name in keys]
+    part = T.StructType([*fields, T.StructField("_blk", T.LongType()), T.StructField("_lead", T.ArrayType(T.DoubleType())), T.StructField("_n", T.LongType()), T.StructField("_up", T.BooleanType()), T.StructField("_at", T.DoubleType()), T.StructField("_fixed", T.BooleanType()), T.StructField("_least", T.DoubleType())])
+    parts = by_group(rows, [*keys, "_blk"], order, part, reduce)
+    counts = by_group(parts, keys, "_blk", T.StructType([*fields, T.StructField("n_peaks", T.LongType())]), join)
+    kind = F.when(F.col("_s"), "stance").otherwise("swing")
+    return ep.join(counts, keys).select(*track, "start", "end", kind.alias("kind"), "n_peaks", (~F.col("_s") & (F.col("n_peaks") >= 2)).alias("double_peak"))
+
+
 def flag_episodes(ep: DataFrame, *, contact_tol: float, min_stance_ms: float) -> DataFrame:
     st = F.col("kind") == "stance"
     return ep.withColumn("no_contact", st & F.coalesce(F.col("clear_min") > contact_tol, F.lit(False))).withColumn("too_short", st & (F.col("dur_ms") < min_stance_ms))

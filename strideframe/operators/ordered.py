@@ -61,6 +61,13 @@ def number_rows(
     )
 
 
+def halo_rows(df: DataFrame, order: str, *, before: int = 0, after: int = 0, size: int = BLOCK) -> DataFrame:
+    """Rows with their block as ``_blk``, rows near a border also with the block that reaches for them."""
+    lo = F.floor((F.col(order) - F.lit(after)) / F.lit(size))
+    hi = F.floor((F.col(order) + F.lit(before)) / F.lit(size))
+    return df.withColumn("_blk", F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))
+
+
 def halo(
     df: DataFrame,
     keys: Sequence[str],
@@ -77,9 +84,7 @@ def halo(
     integer that is unique inside a key; a frame of ``rowsBetween(-r, r)`` is exact when
     the order is dense, a ``rangeBetween(-r, r)`` frame always.
     """
-    lo = F.floor((F.col(order) - F.lit(after)) / F.lit(size))
-    hi = F.floor((F.col(order) + F.lit(before)) / F.lit(size))
-    spread = df.withColumn("_blk", F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))
+    spread = halo_rows(df, order, before=before, after=after, size=size)
     w = Window.partitionBy(*keys, "_blk").orderBy(order)
     cols = build(w)
     return (

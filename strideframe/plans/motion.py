@@ -264,3 +264,45 @@ def u2_stage_chain(spark, sf):
     return out.select("track", "frame", F.round("v", 6).alias("v"))
 
 
+
+
+_VOTE = f"""{TRACKS_CTE}, r AS (SELECT track // 2 AS bout, track % 2 AS fly, label, greatest(least(conf, 0.999), 0.001) AS q, conf AS p FROM t),
+ per AS (SELECT bout, label, fly, sum(ln(q / (1 - q))) AS lo, sum(p) AS p, count(*) AS n FROM r GROUP BY ALL), v AS (SELECT *, CASE WHEN abs(p / n - 0.5) >= 0.03 THEN lo END AS vote FROM per),
+ s AS (SELECT bout, label, sum(p) FILTER (fly = 0) AS p0, sum(p) FILTER (fly = 1) AS p1, sum(n) FILTER (fly = 0) AS n0, sum(n) FILTER (fly = 1) AS n1, sum(vote) FILTER (fly = 0) AS v0, sum(vote) FILTER (fly = 1) AS v1 FROM v GROUP BY ALL),
+ g AS (SELECT bout, sum(p0) / sum(n0) AS prob0, sum(p1) / sum(n1) AS prob1, sum(v0) AS vote0, sum(v1) AS vote1, count(v0 - v1) AS n_sources, count(*) FILTER (v0 > v1) AS f0, count(*) FILTER (v0 < v1) AS f1 FROM s GROUP BY bout),
+ w AS (SELECT *, coalesce(vote0, 0) - coalesce(vote1, 0) AS gap FROM g)"""
+
+
+@query(f"""WITH {_VOTE} SELECT bout, round(prob0, 6) AS prob0, round(prob1, 6) AS prob1, round(vote0, 6) AS vote0, round(vote1, 6) AS vote1, CASE WHEN gap > 0 THEN 1 WHEN gap < 0 THEN 0 END AS male,
+ CASE WHEN (gap > 0 AND prob0 > 0.5 AND prob1 < 0.5) OR (gap < 0 AND prob1 > 0.5 AND prob0 < 0.5) THEN 'high' ELSE 'low' END AS confidence, n_sources, round(CASE WHEN n_sources > 0 THEN CASE WHEN gap > 0 THEN f0 WHEN gap < 0 THEN f1 END / n_sources END, 6) AS agree FROM w""")
+def f24_sex_vote(spark, sf):
+    t = tracks(spark, sf).select(F.floor(F.col("track") / 2).alias("bout"), (F.col("track") % 2).alias("fly"), "label", F.col("conf").alias("p"))
+    v = M.sex_vote(t, ["bout"], "fly", "p", "label", margin=0.03)
+    return v.select("bout", *[F.round(c, 6).alias(c) for c in ("prob0", "prob1", "vote0", "vote1", "agree")], "male", "confidence", "n_sources")
+
+
+@query(f"""WITH {TRACKS_CTE}, r AS (SELECT track // 2 AS bout, label, CASE WHEN avg(v) FILTER (track % 2 = 0) > 1.2 * avg(v) FILTER (track % 2 = 1) THEN 0 WHEN avg(v) FILTER (track % 2 = 1) > 1.2 * avg(v) FILTER (track % 2 = 0) THEN 1 END AS slot FROM t GROUP BY ALL),
+ g AS (SELECT bout, count(DISTINCT slot) AS k, any_value(slot) FILTER (label IN ('purchase', 'click', 'view')) AS x, count(DISTINCT slot) FILTER (label IN ('purchase', 'click', 'view')) AS kk, count(slot) FILTER (label = 'purchase') AS a, count(slot) FILTER (label = 'click') AS b, count(slot) FILTER (label = 'view') AS c FROM r GROUP BY bout)
+SELECT bout, CASE WHEN kk > 1 THEN NULL ELSE coalesce(x, 1) END AS male, CASE WHEN kk > 1 THEN NULL ELSE 1 - coalesce(x, 1) END AS female, CASE WHEN a > 0 THEN 'purchase' WHEN b > 0 THEN 'click' WHEN c > 0 THEN 'view' END AS authority, kk > 1 AS conflict FROM g""")
+def f24_resolved_slots(spark, sf):
+    t = tracks(spark, sf).withColumn("bout", F.floor(F.col("track") / 2))
+    side = lambda i: F.avg(F.when(F.col("track") % 2 == i, F.col("v")))
+    r = t.groupBy("bout", "label").agg(side(0).alias("a"), side(1).alias("b")).withColumn("slot", F.when(F.col("a") > 1.2 * F.col("b"), 0).when(F.col("b") > 1.2 * F.col("a"), 1))
+    return M.resolve_male(r, ["bout"], "label", "slot", order=["purchase", "click", "view"])
+
+
+# Windows of a recording's frame: animals and detections of four users that share a frame number.
+_WIN = f"""{TRACKS_CTE}, w AS (SELECT track // 6 AS rec, frame, track AS id, v / 4 AS x, conf * 40 AS y, 0.0 AS z, CASE track % 3 WHEN 0 THEN 'track' WHEN 1 THEN 'reused' ELSE 'detection' END AS source FROM t)"""
+
+
+@query(f"""WITH RECURSIVE {_WIN}, c AS (SELECT rec, frame, id, id AS g, 0 AS k FROM w UNION ALL SELECT c.rec, c.frame, c.id, min(n.g), c.k + 1 FROM c JOIN w a ON a.rec = c.rec AND a.frame = c.frame AND a.id = c.id JOIN w b ON b.rec = a.rec AND b.frame = a.frame
+  AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 15 JOIN c n ON n.rec = b.rec AND n.frame = b.frame AND n.id = b.id WHERE c.k < 6 GROUP BY c.rec, c.frame, c.id, c.k),
+ m AS (SELECT w.*, c.g FROM w JOIN c USING (rec, frame, id) WHERE c.k = 6), a AS (SELECT rec, frame, g, avg(x) AS x, avg(y) AS y, min(CASE source WHEN 'track' THEN 1 WHEN 'reused' THEN 2 ELSE 3 END) AS r, list(id ORDER BY id) AS members FROM m GROUP BY ALL)
+SELECT rec, frame, row_number() OVER (PARTITION BY rec, frame ORDER BY g) - 1 AS "window", round(x, 6) AS x, round(y, 6) AS y, ['track', 'reused', 'detection'][r] AS source, array_to_string(members, ',') AS members FROM a""")
+def e20_merged_windows(spark, sf):
+    from strideframe.operators.lifting import merge_windows
+
+    source = F.element_at(F.array(F.lit("track"), F.lit("reused"), F.lit("detection")), (F.col("track") % 3 + 1).cast("int"))
+    w = tracks(spark, sf).select(F.floor(F.col("track") / 6).alias("rec"), "frame", F.col("track").alias("id"), (F.col("v") / 4).alias("x"), (F.col("conf") * 40).alias("y"), F.lit(0.0).alias("z"), source.alias("source"))
+    m = merge_windows(w, ["rec", "frame"], "id", radius=15.0)
+    return m.select("rec", "frame", "window", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "source", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))

@@ -128,6 +128,22 @@ def g22_episodes(spark, sf):
     return e.select("track", "start", "end", "kind", "n", *[F.round(c, 6).alias(c) for c in ("dur_ms", "amplitude", "clear_min")], "no_contact", "too_short")
 
 
+# The twin reads a track frame by frame and keeps direction, extreme and count of the open episode.
+_PEAKS = f"""{_EP.replace("r AS (SELECT *", "r AS MATERIALIZED (SELECT *")}, em AS (SELECT track, st, grp, min(z) AS lo, greatest(0.2 * (max(z) - min(z)), 0.5) AS least FROM r GROUP BY ALL),
+ q AS MATERIALIZED (SELECT r.track, r.frame, r.st, r.grp, coalesce(r.z, lo) AS z, least, lag(r.st) OVER w IS DISTINCT FROM r.st AS fresh, lead(r.st) OVER w IS DISTINCT FROM r.st AS done FROM r JOIN em USING (track, st, grp) WINDOW w AS (PARTITION BY r.track ORDER BY r.frame)),
+ zz AS (SELECT track, frame, st, grp, done, false AS up, z AS ext, 0 AS n FROM q WHERE frame = 0 UNION ALL
+  SELECT track, frame, st, grp, done, CASE WHEN fresh THEN false WHEN up AND ext - z >= least THEN false WHEN NOT up AND z - ext >= least THEN true ELSE up END,
+   CASE WHEN fresh THEN z WHEN up THEN CASE WHEN ext - z >= least THEN z ELSE greatest(ext, z) END WHEN z - ext >= least THEN z ELSE least(ext, z) END,
+   CASE WHEN fresh THEN 0 WHEN up AND ext - z >= least THEN n + 1 ELSE n END
+  FROM (SELECT q.*, zz.up, zz.ext, zz.n FROM zz JOIN q ON q.track = zz.track AND q.frame = zz.frame + 1)),
+ ends AS (SELECT track, st, grp, n FROM zz WHERE done), se AS (SELECT track, st, grp, min(frame) AS start, max(frame) AS "end" FROM r GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {_PEAKS} SELECT track, start, "end", CASE WHEN st THEN 'stance' ELSE 'swing' END AS kind, CAST(n AS BIGINT) AS n_peaks, NOT st AND n >= 2 AS double_peak FROM ends JOIN se USING (track, st, grp)""")
+def g22_episode_peaks(spark, sf):
+    return G.episode_peaks(feet(spark, sf), K, "frame", "st", "z", fraction=0.2, floor=0.5, size=BLK)
+
+
 @query(f"""WITH {_EP}, w AS (SELECT *, lag(kind) OVER o AS pk, lead(kind) OVER o AS nk, lag(start) OVER o AS ps, lead("end") OVER o AS ne FROM fl WINDOW o AS (PARTITION BY track ORDER BY start))
 SELECT track, ps AS start, ne AS "end", round(dur_ms, 6) AS gap_ms, CASE WHEN too_short THEN 'short' ELSE 'no contact' END AS reason FROM w WHERE kind = 'stance' AND (no_contact OR too_short) AND pk = 'swing' AND nk = 'swing'""")
 def g22_double_swings(spark, sf):
