@@ -10,6 +10,7 @@ ROWS = [
     (6, "line one here\nline one here\n\nline two\nline one here"), (7, PASSAGE), (8, PASSAGE), (9, PASSAGE + " with an end of its own"), (9, PASSAGE + " with an end of its own"),
     (10, "before " * 30 + PASSAGE), (11, "é日本語 漢😀 \x00 x\u00a0y" * 20), (12, "word " * 3000), (13, " ".join(f"w{i * i % 997}" for i in range(20000))),
     (14, "mail bob.x@mail.example.com or +1 (555) 010-9999, card 4111 1111 1111 1111, host 10.0.0.1"), (15, "### $$$ *** &&& " * 10), (16, "x" * 5000),
+    (17, "host 1.1.1." + "5" * 5000 + " and 010.000255.1." + "0" * 5000 + "7"),
 ]
 
 
