@@ -202,3 +202,16 @@ def test_pii_of_long_runs_is_linear(text):
     pii.all_spans(text, pii.Trees())
     assert len(pii.candidates(text)) <= len(text)
     assert time.perf_counter() - began < 10
+
+
+def test_a_repeated_long_url_is_one_item(spark):
+    long = "http://bad.example.net/" + "/".join(f"word{i}" for i in range(40)) + "?q=1"
+    urls = spark.createDataFrame([(i, long) for i in range(14)] + [(100 + i, f"http://good.example.net/p{i}") for i in range(30)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i < 100 else 1, 0) for i in [*range(14), *range(100, 130)]], "doc_id long, quality int, toxic int")
+    begun = time.time()
+    mined = url_filters.mine(urls, labels)
+    rules = mined.collect()
+    assert time.time() - begun < 60 and len(rules) <= 3 and all(r.confidence == 1.0 for r in rules)
+    assert any(r.rule == ["host:bad.example.net"] for r in rules)
+    got = url_filters.filter_urls(urls, labels).collect()
+    assert all((r.verdict == "block") == (r.page_id < 100) for r in got)
