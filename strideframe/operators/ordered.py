@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from strideframe.session import cut_lineage
+
 BLOCK = 1 << 14
 
 _UNB = Window.unboundedPreceding
@@ -40,6 +42,17 @@ def _after_block(keys: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy("_blk").rowsBetween(1, _END)
 
 
+def read_once(df: DataFrame) -> DataFrame:
+    """The frame, cut from its lineage where that reads more than one table or file set.
+
+    An operator below reads its input twice, for the rows and for the summary of their blocks. Without
+    the cut, n of them in a row would read the source 2^n times.
+    """
+    if df.isStreaming or df._jdf.queryExecution().analyzed().collectLeaves().size() < 2:
+        return df
+    return cut_lineage(df)
+
+
 def number_rows(
     df: DataFrame, keys: Sequence[str], order_by: Sequence[str], block: Column, name: str = "frame"
 ) -> DataFrame:
@@ -49,7 +62,7 @@ def number_rows(
     column, an id range).  Rows are ranked inside ``(keys, block)`` and shifted by the row
     count of the earlier blocks.
     """
-    b = df.withColumn("_blk", block)
+    b = read_once(df).withColumn("_blk", block)
     local = Window.partitionBy(*keys, "_blk").orderBy(*order_by)
     sizes = b.groupBy(*keys, "_blk").count()
     shift = sizes.select(*keys, "_blk", F.coalesce(F.sum("count").over(_before_block(keys)), F.lit(0)).alias("_off"))
@@ -145,7 +158,7 @@ def scan(
         )
         for n, c in (group or {}).items()
     ]
-    b = df.withColumn("_blk", block_of(order, size)).select("*", *[c.alias(f"_sx{i}") for i, (_, c, _) in enumerate(jobs)])
+    b = read_once(df).withColumn("_blk", block_of(order, size)).select("*", *[c.alias(f"_sx{i}") for i, (_, c, _) in enumerate(jobs)])
     base = Window.partitionBy(*keys, "_blk").orderBy(order)
     upto, prior = base.rowsBetween(_UNB, 0), base.rowsBetween(_UNB, -1)
     onward, later = base.rowsBetween(0, _END), base.rowsBetween(1, _END)
@@ -215,6 +228,6 @@ def spread(df: DataFrame, keys: Sequence[str], order: str, stats: DataFrame, *,
     The statistics are first copied to the blocks of their key, so the wide side is joined on
     ``(keys, block)`` and a key with very many rows is not sent to one task.
     """
-    b = df.withColumn("_blk", block_of(order, size))
+    b = read_once(df).withColumn("_blk", block_of(order, size))
     per_block = b.select(*keys, "_blk").distinct().join(stats, list(keys))
     return b.join(per_block, [*keys, "_blk"], "left").drop("_blk")

@@ -52,7 +52,9 @@ def cluster_bootstrap(cells: DataFrame, group: Sequence[str], cluster: Sequence[
     the replicate sums combine on the map side, so only replicates x bins rows move.
     """
     w = poisson1(hash_uniform(seed, F.col("_rep"), *[F.col(c) for c in cluster]))
-    reps = cells.where(F.col(value).isNotNull()).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("_w", w)
+    # a weight is drawn once for a cluster and replicate; clusters of weight 0 go before their bins are unfolded
+    whole = cells.where(F.col(value).isNotNull()).groupBy(*group, *cluster).agg(F.collect_list(F.struct(bin_col, value)).alias("_c"))
+    reps = whole.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("_w", w).where("_w > 0").select(*group, "_rep", "_w", F.inline("_c"))
     sums = reps.groupBy(*group, bin_col, "_rep").agg(F.sum(F.col("_w") * F.col(value)).alias("_s"), F.sum("_w").alias("_n"))
     mean = F.col("_s") / F.when(F.col("_n") > 0, F.col("_n"))
     half = (100.0 - ci) / 200.0
@@ -262,7 +264,7 @@ def cohen_d(df: DataFrame, group: str, value: str, a, b, keys: Sequence[str] = (
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, a, b) -> DataFrame:
-    """U of the first group and its normal approximation (ties and continuity corrected)."""
+    """U of the first group and its normal approximation (ties and continuity corrected), with the two-sided p."""
     d = df.where(F.col(group).isin(a, b)).select(F.lit(1).alias("_all"), F.col(group).alias("_g"), F.col(value).cast("double").alias("_val"))
     ranked, _ = rank_values(distinct_values(d, ["_all"], "_val"), ["_all"])
     in_a = d.where(F.col("_g") == a).groupBy(F.col("_val").alias("_v")).agg(F.count(F.lit(1)).alias("_ka"))
@@ -275,7 +277,20 @@ def mann_whitney(df: DataFrame, group: str, value: str, a, b) -> DataFrame:
     u = F.col("_ra") - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
     z = (F.abs(u - n1 * n2 / 2) - 0.5) / sd
-    return s.select(u.alias("u"), F.greatest(z, F.lit(0.0)).alias("z"), n1.cast("long").alias("n_a"), n2.cast("long").alias("n_b"))
+    out = s.select(u.alias("u"), F.greatest(z, F.lit(0.0)).alias("z"), n1.cast("long").alias("n_a"), n2.cast("long").alias("n_b"))
+    return out.mapInPandas(_normal_p, "u double, z double, n_a long, n_b long, p double")  # one row
+
+
+def _normal_p(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield b.assign(p=[normal_two_sided(z) for z in b["z"]])
+
+
+def kolmogorov_p(ks: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
+    """Two-sided p of a distance between two large samples: the limit distribution's alternating series."""
+    t = F.sqrt(n1 * n2 / (n1 + n2)) * ks
+    series = sum(((-1) ** (k - 1) * F.exp(-2.0 * k * k * t * t) for k in range(2, terms + 1)), F.exp(-2.0 * t * t))
+    return F.when(t < 0.04, 1.0).otherwise(F.least(F.greatest(2 * series, F.lit(0.0)), F.lit(1.0)))
 
 
 def normal_two_sided(z: float) -> float:
@@ -351,7 +366,7 @@ def histogram_match(ref: DataFrame, tgt: DataFrame, value: str, ident: str, *, w
     """Subsample ``ref`` so that its histogram has the shape of ``tgt``'s.
 
     Every bin gives ``rint(R * target count)`` rows, R being the largest factor all shared
-    bins can supply; rows are taken in hash order.  Returns the kept reference rows and the
+    bins can supply; rows are taken in hash order of ``ident`` (ties: the smaller value).  Returns the kept reference rows and the
     target rows of shared bins.
     """
     b = F.floor((F.col(value) - floor) / width)
@@ -362,7 +377,7 @@ def histogram_match(ref: DataFrame, tgt: DataFrame, value: str, ident: str, *, w
     factor = n.agg(F.min(F.col("_nr") / F.col("_nt")).alias("_R"))
     want = attach(n, factor, []).select("_bin", F.rint(F.col("_R") * F.col("_nt")).cast("long").alias("_want"))
     d = attach(r, want, ["_bin"], "inner").withColumn("_u", hash_uniform(seed, F.col(ident)))
-    ranked = number_rows(d, ["_bin"], ["_u", ident], F.floor(F.col("_u") * 1024), name="_i")
+    ranked = number_rows(d, ["_bin"], ["_u", ident, value], F.floor(F.col("_u") * 1024), name="_i")
     return ranked.where(F.col("_i") < F.col("_want")).drop("_bin", "_u", "_i", "_want"), attach(t, n.select("_bin"), ["_bin"], "left_semi").drop("_bin")
 
 

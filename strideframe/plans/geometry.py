@@ -11,7 +11,7 @@ from strideframe.operators import geometry as G
 from strideframe.plans import sqlvec as q
 from strideframe.plans.registry import query
 from strideframe.plans.tables import (
-    BONES, BONES_CTE, CAMERAS_CTE, KEYPOINTS_CTE, POSES_CTE, TRACKS_CTE, cameras, keypoints, pairs_of_names, poses, table, tracks,
+    BONES, BONES_CTE, CAMERAS_CTE, KEYPOINTS_CTE, LANDMARKS, POSES_CTE, TRACKS_CTE, cameras, keypoints, pairs_of_names, poses, table, tracks,
 )
 
 KF = ["track", "frame"]
@@ -94,8 +94,12 @@ def c1_project(spark, sf):
     return p.select("track", "frame", "kp", "camera", *r6("u", "v"))
 
 
-@query(f"""WITH {KEYPOINTS_CTE}, {BONES_CTE} SELECT p.track, p.frame, a, b, round({q.norm(('(p.x - r.x)', '(p.y - r.y)', '(p.z - r.z)'))}, 6) AS length
-FROM bones JOIN kps p ON p.kp = a JOIN kps r ON r.kp = b AND r.track = p.track AND r.frame = p.frame""")
+# One row per bone straight from the flat coordinates of a frame.
+_BONE_POS = "(VALUES " + ", ".join(f"('{a}', '{b}', {LANDMARKS.index(a)}, {LANDMARKS.index(b)})" for a, b in BONES) + ") AS b(a, b, i, j)"
+_BONE_D = " + ".join(f"pow(CAST(e[i * 3 + {k}] AS DOUBLE) - CAST(e[j * 3 + {k}] AS DOUBLE), 2)" for k in (1, 2, 3))
+
+
+@query(f"WITH {POSES_CTE} SELECT track, frame, a, b, round(sqrt({_BONE_D}), 6) AS length FROM pose, {_BONE_POS}")
 def c2_segment_lengths(spark, sf):
     out = G.segment_lengths(keypoints(spark, sf), KF, pairs_of_names(spark, BONES))
     return out.select(*KF, "a", "b", F.round("length", 6).alias("length"))

@@ -148,12 +148,12 @@ def h4_findings_order(spark, sf):
 
 
 @query(f"""WITH {IMG}, p AS (SELECT tier || ':' || split AS sp, frames, ann_ids, row_number() OVER (PARTITION BY tier, split ORDER BY seq) - 1 AS pos, count(*) OVER (PARTITION BY tier, split) AS n FROM fs),
- s AS (SELECT * FROM p WHERE pos % greatest(n // 5, 1) = 0 AND pos // greatest(n // 5, 1) < 5), u AS (SELECT sp, unnest(frames) AS i, unnest(ann_ids) AS a FROM s),
+ s AS (SELECT * FROM p WHERE pos % greatest(n // 200, 1) = 0 AND pos // greatest(n // 200, 1) < 200), u AS (SELECT sp, unnest(frames) AS i, unnest(ann_ids) AS a FROM s),
  mk AS (SELECT id AS i, id * 4 + n_chars % 2 AS a FROM img WHERE n_chars < 2000)
 SELECT u.sp AS split, count(*) AS checked, count(*) FILTER (m.a IS NULL) AS unresolved FROM u JOIN (SELECT DISTINCT i FROM mk) f ON f.i = u.i LEFT JOIN mk m ON m.i = u.i AND m.a = u.a WHERE u.a IS NOT NULL GROUP BY u.sp""")
 def e12_sampled_masks(spark, sf):
     fs = framesets(spark, sf).withColumn("split", F.concat_ws(":", "tier", "split"))
-    s = C.evenly_spaced(fs, sample=5)
+    s = C.evenly_spaced(fs, sample=200)
     mk = images(spark, sf).where(F.col("n_chars") < 2000).select(F.col("id").alias("image_id"), (F.col("id") * 4 + F.col("n_chars") % 2).alias("ann_id"))
     return C.unresolved_masks(C.resolved_slots(s, ["split"]), mk)
 

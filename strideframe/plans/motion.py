@@ -110,6 +110,13 @@ def f37_pulse_features(spark, sf):
     )
 
 
+@query(f"""WITH {TRACKS_CTE}, a AS (SELECT track, frame, conf, avg(abs(CASE WHEN conf >= 0.1 THEN v - 60 END)) OVER (PARTITION BY track ORDER BY frame ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS m FROM t)
+SELECT track, frame, round(m, 6) AS wing_angle FROM a WHERE conf > 0.85""")
+def f37_wing_angle(spark, sf):
+    t = tracks(spark, sf).withColumn("angle", F.when(F.col("conf") >= 0.1, F.col("v") - 60))
+    return r6(M.pulse_wing_angle(t, t.where(F.col("conf") > 0.85).select(*KF), K, "frame", "angle", half=10, size=BLK), *KF)
+
+
 @query(f"""WITH {_CY}, d AS (SELECT track, cycle, frame, v / 7.3 AS x, conf * 3.1 AS y FROM cyc WHERE cycle IS NOT NULL), s AS (SELECT *, coalesce(lead(x) OVER w, first(x) OVER w) AS nx, coalesce(lead(y) OVER w, first(y) OVER w) AS ny FROM d WINDOW w AS (PARTITION BY track, cycle ORDER BY frame)),
  l AS (SELECT *, sqrt((nx - x) ** 2 + (ny - y) ** 2) AS len FROM s), c AS (SELECT *, sum(len) OVER (PARTITION BY track, cycle ORDER BY frame) AS b, sum(len) OVER (PARTITION BY track, cycle) AS tot FROM l),
  p AS (SELECT c.*, i FROM c, (SELECT unnest(range(8)) AS i) WHERE tot > 0 AND len > 0 AND i >= (b - len) * 8 / tot - 1e-9 AND i < b * 8 / tot - 1e-9)

@@ -203,7 +203,7 @@ def f11_robust_scale(spark, sf):
 
 @query()
 def f12_rigid_fit(spark, sf):
-    k = observed(keypoints(spark, sf)).where(L.valid() & (F.col("conf") > 0.4))
+    k = observed(keypoints(spark, sf)).where(L.valid())
     pairs = k.select(
         *KF, (F.col("pos") * 0.5).alias("sx"), (F.length("kp") * 0.25).alias("sy"), (F.col("pos") % 3).cast("double").alias("sz"), *[F.col(c).alias(f"d{c}") for c in "xyz"]
     )

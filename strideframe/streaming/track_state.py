@@ -6,42 +6,69 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from strideframe.streaming.bouts import frame_time
 
 OUTPUT = "recording string, fly int, frame long, age long, carried double, source string"
 STATE = "frame long, pos double"
+#: the state store that value states and timers need; set it as spark.sql.streaming.stateStore.providerClass
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
+class TrackState(StatefulProcessor):
+    """The last good read of one animal, forgotten ``keep`` frames after it.
+
+    What is older than ``keep`` frames is treated as never seen whether or not its timer has
+    fired yet, so the output doesn't depend on when batches end. The timer bounds the state: it
+    holds the animals of the last ``keep`` frames only.
+    """
 
-def _advance(max_reuse: int):
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else (-1, float("nan"))
-        frame0, pos0 = int(last[0]), float(last[1])
-        rows = pd.concat(list(batches)).sort_values("frame")
+    def __init__(self, fps: float, max_reuse: int, keep: int):
+        self.fps, self.max_reuse, self.keep = fps, max_reuse, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        g = pd.concat(list(rows)).sort_values("frame")
+        frame0, pos0 = self.last.get() if self.last.exists() else (None, None)
         # The state before each row is the last good row before it.
-        good = rows["pos"].notna()
-        at = rows["frame"].where(good).ffill().shift(1)
-        pos = rows["pos"].where(good).ffill().shift(1)
-        at = at.fillna(frame0 if frame0 >= 0 else float("nan"))
-        pos = pos.fillna(pos0)
-        age = rows["frame"] - at - 1
-        live = age < max_reuse
-        out = pd.DataFrame({"frame": rows["frame"].astype("int64"), "age": age.astype("Int64"), "carried": pos.where(live)})
-        out["source"] = None
+        good = g["pos"].notna()
+        at = g["frame"].where(good).ffill().shift(1)
+        pos = g["pos"].where(good).ffill().shift(1)
+        if frame0 is not None:
+            at, pos = at.fillna(frame0), pos.fillna(pos0)
+        age = g["frame"] - at - 1
+        age = age.where(age < self.keep)
+        live = age < self.max_reuse
+        out = pd.DataFrame({"recording": key[0], "fly": key[1], "frame": g["frame"].astype("int64"), "age": age.astype("Int64"), "carried": pos.where(live), "source": None})
         out.loc[age == 0, "source"] = "track"
         out.loc[live & (age > 0), "source"] = "reused"
-        out.insert(0, "fly", int(key[1]))
-        out.insert(0, "recording", key[0])
         if good.any():
-            tail = rows[good].iloc[-1]
-            state.update((int(tail["frame"]), float(tail["pos"])))
+            tail = g[good].iloc[-1]
+            self.last.update((int(tail["frame"]), float(tail["pos"])))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int((tail["frame"] + self.keep + 1) / self.fps * 1000) + 1)
         yield out
 
-    return run
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame({"recording": pd.Series([], dtype=str), "fly": pd.Series([], dtype=int), "frame": pd.Series([], dtype=int), "age": pd.Series([], dtype="Int64"), "carried": pd.Series([], dtype=float), "source": pd.Series([], dtype=str)})
+
+    def close(self) -> None:
+        pass
 
 
-def live_track_state(frames: DataFrame, *, max_reuse: int = 8) -> DataFrame:
+def live_track_state(frames: DataFrame, *, fps: float, max_reuse: int = 8, keep: int = 8000, lateness: str = "10 seconds") -> DataFrame:
     """State before every frame of a stream of ``(recording, fly, frame, pos)``, ``pos`` null on a miss.
 
-    Frames of one animal must arrive in order from batch to batch (inside a batch any order).
+    Frames of one animal must arrive in order from batch to batch (inside a batch any order), and no more
+    than ``lateness`` of recording time behind the newest frame of the stream. The session needs the state store ``STORE``.
     """
-    return frames.groupBy("recording", "fly").applyInPandasWithState(_advance(max_reuse), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    # a frame ends one step after it began: frame 0 mustn't fall on the watermark's own start
+    timed = frames.withColumn("_end", F.col("frame") + 1).withColumn("_ts", frame_time("_end", fps)).withWatermark("_ts", lateness)
+    return timed.groupBy("recording", "fly").transformWithStateInPandas(TrackState(fps, max_reuse, keep), OUTPUT, "append", "EventTime")

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from strideframe.operators.motion import carried_positions
 from strideframe.operators.runs import bridged_runs
+from strideframe.sources import sinks
 from strideframe.streaming.bouts import live_bouts
-from strideframe.streaming.ingest import ingest
-from strideframe.streaming.track_state import live_track_state
+from strideframe.streaming.ingest import finished, ingest, key_bucket
+from strideframe.streaming.track_state import STORE, live_track_state
 
 
 def write_parts(df, path, order, n):
@@ -31,19 +32,28 @@ def test_live_bouts_equal_batch_segmentation(spark, tmp_path):
     assert sorted(map(tuple, spark.table("bouts").collect())) == want
 
 
-def test_live_track_state_equals_batch(spark, tmp_path):
+def test_live_track_state_equals_batch_over_restarts_and_expiry(spark, tmp_path):
+    """Three runs over one checkpoint; gaps longer than ``keep`` read as never seen, and their state is gone."""
+    far = F.when(F.col("id") >= 90, 400).otherwise(0)
     d = spark.range(120).select(
-        F.concat(F.lit("r"), F.col("id") % 2).alias("recording"), F.lit(0).alias("fly"), F.floor(F.col("id") / 2).alias("frame"),
+        F.concat(F.lit("r"), F.col("id") % 2).alias("recording"), F.lit(0).alias("fly"), (F.floor(F.col("id") / 2) + far).alias("frame"),
         F.when(F.xxhash64("id") % 10 < 3, F.col("id") * 1.5).alias("pos"),
     )
-    want = sorted(map(tuple, carried_positions(d, ["recording", "fly"], "frame", "pos", max_reuse=3).select("recording", "fly", "frame", "age", "carried", "source").collect()), key=repr)
-    src = str(tmp_path / "in")
-    write_parts(d, src, "frame", 4)
-    s = spark.readStream.schema("recording string, fly int, frame long, pos double").option("maxFilesPerTrigger", 1).parquet(src)
-    q = live_track_state(s, max_reuse=3).writeStream.format("memory").queryName("state").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(map(tuple, spark.table("state").collect()), key=repr) == want
+    want = carried_positions(d, ["recording", "fly"], "frame", "pos", max_reuse=3)
+    want = want.withColumn("age", F.when(F.col("age") < 20, F.col("age")))
+    want = sorted(map(tuple, want.select("recording", "fly", "frame", "age", "carried", "source").collect()), key=repr)
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    rows = []
+    for lo, hi in ((0, 20), (20, 45), (45, 10_000)):
+        write_parts(d.where(f"frame >= {lo} and frame < {hi}").withColumn("frame", F.col("frame")), src, "frame", 1)
+        s = spark.readStream.schema("recording string, fly int, frame long, pos double").option("maxFilesPerTrigger", 1).parquet(src)
+        q = live_track_state(s, fps=800.0, max_reuse=3, keep=20, lateness="50 milliseconds").writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start()
+        q.awaitTermination()
+        rows.append(q.lastProgress["stateOperators"][0]["numRowsTotal"] if q.lastProgress else None)
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert sorted(map(tuple, spark.read.parquet(out).collect()), key=repr) == want
+    assert rows[-1] is not None and rows[-1] <= 12  # a value and its timers for each of two animals
 
 
 def test_ingest_resumes_and_skips_finished_keys(spark, tmp_path):
@@ -51,7 +61,31 @@ def test_ingest_resumes_and_skips_finished_keys(spark, tmp_path):
     schema = "bout int, v double"
     spark.createDataFrame([(1, 1.0), (2, 2.0)], schema).coalesce(1).write.mode("append").parquet(src)
     ingest(spark, src, schema, out, ck, ["bout"])
-    spark.createDataFrame([(2, 9.0), (3, 3.0)], schema).coalesce(1).write.mode("append").parquet(src)
+    spark.createDataFrame([(2, 9.0), (3, 3.0), (3, 2.5)], schema).coalesce(1).write.mode("append").parquet(src)
     for _ in range(2):
         ingest(spark, src, schema, out, ck, ["bout"])
-    assert sorted((r.bout, r.v) for r in spark.read.parquet(out).collect()) == [(1, 1.0), (2, 2.0), (3, 3.0)]
+    assert sorted((r.bout, r.v) for r in spark.read.parquet(f"{out}/rows").collect()) == [(1, 1.0), (2, 2.0), (3, 2.5)]
+
+
+def test_ingest_takes_work_whole_and_reads_its_buckets_only(spark, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    schema = "bout int, frame int, v double"
+    first = [(b, f, float(b + f)) for b in range(20) for f in range(3)]
+    spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(src)
+    ingest(spark, src, schema, out, ck, ["bout"], row_keys=["frame"], buckets=16)
+    spark.createDataFrame([(3, 9, 0.0), (50, 1, 1.0), (50, 2, 2.0)], schema).coalesce(1).write.mode("append").parquet(src)
+    ingest(spark, src, schema, out, ck, ["bout"], row_keys=["frame"], buckets=16)
+    assert sorted((r.bout, r.frame, r.v) for r in spark.read.parquet(f"{out}/rows").collect()) == sorted([*first, (50, 1, 1.0), (50, 2, 2.0)])
+    b = spark.createDataFrame([(3,)], "bout int").select(key_bucket(["bout"], 16).alias("b")).first().b
+    files = finished(spark, out, ["bout"], [b]).inputFiles()
+    assert files and all(f"/bucket={b}/" in f for f in files)
+    assert finished(spark, out, ["bout"], [b]).where("bout = 3").count() == 1
+
+
+def test_a_long_clip_spans_chunks(spark):
+    rows = [("a", 10 * i, float(i)) for i in range(25)] + [("b", i, None if i == 1 else 1.0) for i in range(4)]
+    c = sinks.clip_chunks(spark.createDataFrame(rows, "clip string, f long, v double"), ["clip"], "f", ["v"], chunk=8)
+    got = {(r.clip, r.chunk): (r.clip_length, r.n, list(r.v)) for r in c.collect()}
+    assert got == {("a", k): (25, min(8, 25 - 8 * k), [float(i) for i in range(8 * k, min(8 * k + 8, 25))]) for k in range(4)} | {("b", 0): (4, 4, [1.0, None, 1.0, 1.0])}
+    p = {(r.clip, r.chunk): (r.n, len(r.v), sum(x or 0 for x in r.v)) for r in sinks.padded_chunks(c, ["clip"], ["v"], chunk=8).collect()}
+    assert p["b", 0] == (4, 8, 3.0) and p["b", 2] == (0, 8, 0.0) and p["b", 3] == (0, 1, 0.0) and p["a", 3] == (1, 1, 24.0) and len(p) == 8
