@@ -44,17 +44,26 @@ def poisson1(u: Column) -> Column:
     return out
 
 
+#: modulus of the replicates' walks
+PRIME = (1 << 31) - 1
+
+
 def cluster_bootstrap(cells: DataFrame, group: Sequence[str], cluster: Sequence[str], bin_col: str, value: str, *, n_boot: int = 1000, ci: float = 95.0, seed: int = 42) -> DataFrame:
     """Mean and percentile interval per bin, resampling whole clusters.
 
     ``cells`` has one value per (cluster, bin).  Each replicate weights a cluster with a
-    Poisson(1) count hashed from (seed, replicate, cluster): the weights need no shuffle and
-    the replicate sums combine on the map side, so only replicates x bins rows move.
+    Poisson(1) count: two hashes of (seed, cluster) are the start and the step of a walk modulo a
+    prime, which gives weights that are independent between clusters and pairwise independent
+    between replicates. They need no shuffle, and the replicate sums combine on the map side, so only
+    replicates x bins rows move.
     """
-    w = poisson1(hash_uniform(seed, F.col("_rep"), *[F.col(c) for c in cluster]))
-    # a weight is drawn once for a cluster and replicate; clusters of weight 0 go before their bins are unfolded
+    of = [F.col(c) for c in cluster]
+    start, step = F.floor(hash_uniform(seed, F.lit("a"), *of) * PRIME), F.floor(hash_uniform(seed, F.lit("b"), *of) * (PRIME - 1)) + 1
+    u = ((F.col("_s") + F.col("_rep") * F.col("_t")) % PRIME) / float(PRIME)
+    # clusters of weight 0 go before their bins are unfolded
     whole = cells.where(F.col(value).isNotNull()).groupBy(*group, *cluster).agg(F.collect_list(F.struct(bin_col, value)).alias("_c"))
-    reps = whole.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("_w", w).where("_w > 0").select(*group, "_rep", "_w", F.inline("_c"))
+    whole = whole.select(*group, "_c", start.alias("_s"), step.alias("_t"))
+    reps = whole.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("_w", poisson1(u)).where("_w > 0").select(*group, "_rep", "_w", F.inline("_c"))
     sums = reps.groupBy(*group, bin_col, "_rep").agg(F.sum(F.col("_w") * F.col(value)).alias("_s"), F.sum("_w").alias("_n"))
     mean = F.col("_s") / F.when(F.col("_n") > 0, F.col("_n"))
     half = (100.0 - ci) / 200.0

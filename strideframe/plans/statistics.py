@@ -53,7 +53,8 @@ def _hash_sql(*parts) -> str:
 
 
 @query(f"""WITH {_CY}, cells AS (SELECT track, cycle, {_BIN} // 12 AS bin, avg(conf) AS x FROM cyc WHERE cycle IS NOT NULL GROUP BY ALL),
- r AS (SELECT bin, rep, {_poisson_sql('u')} AS w, x FROM (SELECT *, {_hash_sql("'42'", 'rep', 'track', 'cycle')} AS u FROM cells, (SELECT unnest(range(1000)) AS rep))),
+ k AS (SELECT *, CAST(floor({_hash_sql("'42'", "'a'", 'track', 'cycle')} * 2147483647) AS BIGINT) AS s, CAST(floor({_hash_sql("'42'", "'b'", 'track', 'cycle')} * 2147483646) AS BIGINT) + 1 AS t FROM cells),
+ r AS (SELECT bin, rep, {_poisson_sql('u')} AS w, x FROM (SELECT *, ((s + rep * t) % 2147483647) / 2147483647.0 AS u FROM k, (SELECT unnest(range(1000)) AS rep))),
  m AS (SELECT bin, rep, sum(w * x) / nullif(sum(w), 0) AS m FROM r GROUP BY bin, rep), b AS (SELECT bin, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY bin)
 SELECT c.bin, round(avg(x), 6) AS mean, count(*) AS n, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi FROM cells c JOIN b USING (bin) GROUP BY c.bin""")
 def f28_cluster_bootstrap(spark, sf):
