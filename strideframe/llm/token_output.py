@@ -1,8 +1,8 @@
 """Token ids in training order: fixed-stride records in shards.
 
 Documents are tokenised, each ends with an end token, and the stream of a task is cut into
-sequences of equal length (the last is filled up with end tokens). The sequences are written as
-a table and numbered 0..n-1; a keyed Feistel permutation on the next power of four, walked until
+sequences of equal length (the last is filled up with end tokens). A first pass counts the
+sequences of each task and stores no token; the second makes them, numbered 0..n-1; a keyed Feistel permutation on the next power of four, walked until
 it falls below n, gives each number a slot of its own. Slots are dealt to shards by range, and a
 record stands at (slot - first slot of the shard) * stride, so that a reader goes on
 anywhere by position.
@@ -11,6 +11,11 @@ Tokenisation is that of the file's byte-pair vocabulary: a word with the white s
 is a unit of the pattern, so each distinct one of a slice is encoded once. Texts with
 white space outside ASCII are encoded whole.
 
+Both passes must see the same documents in a task, as those over a table of files do (filters and
+projections behind it too). A task whose count is another in the second pass fails with a message
+rather than number sequences wrongly; write any other frame as a table first. The session's
+``spark.sql.files.minPartitionNum`` is set where it is unset, so that lost executors don't change the splits.
+
 A null text is an empty text: just an end token. Repeated rows are repeated sequences. An empty
 table gives no sequences.
 """
@@ -25,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm.store import shared_folder, written
@@ -160,15 +165,37 @@ def wide_space(part: Texts) -> list[int]:
 _made: dict[str, Tokenizer] = {}
 
 
-def sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, vocabulary: str = VOCABULARY) -> DataFrame:
-    """part, place in the part, doc_ids (with a token in it), n_tokens (without filling) and record of every sequence."""
+def _tokenizer(vocabulary: str, ranks: dict[bytes, int]) -> Tokenizer:
+    """The worker's tokenizer, made once."""
+    if vocabulary not in _made:
+        _made.clear()
+        _made[vocabulary] = Tokenizer(ranks)
+    return _made[vocabulary]
+
+
+def sequence_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, vocabulary: str = VOCABULARY) -> dict[int, int]:
+    """Sequences of every part that has some: one number for each task. Reads the columns that ``sequences`` reads, so the parts are the same."""
+    ranks = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _tokenizer(vocabulary, ranks.value)
+        tokens = sum(len(coder.stream(piece)[0]) for batch in batches for _, piece in slices(batch.column(1), most=SLICE))
+        if tokens:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": [-(-tokens // length)]})
+
+    return {r.part: r.n for r in docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(count, "part int, n long").collect()}
+
+
+def sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, vocabulary: str = VOCABULARY, counts: dict[int, int] | None = None) -> DataFrame:
+    """part, place in the part, doc_ids (with a token in it), n_tokens (without filling) and record of every sequence.
+
+    With ``counts`` a task fails unless it makes as many sequences as they say.
+    """
     ranks = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    expected = docs.sparkSession.sparkContext.broadcast(counts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _made:
-            _made.clear()
-            _made[vocabulary] = Tokenizer(ranks.value)
-        coder = _made[vocabulary]
+        coder = _tokenizer(vocabulary, ranks.value)
         part, count = TaskContext.get().partitionId(), 0
         tokens, owners = np.zeros(0, coder.type), pa.array([], pa.int64())
         starts = np.zeros(0, np.int64)  # where each waiting document begins in the waiting tokens
@@ -199,6 +226,9 @@ def sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lengt
             held = len(tokens)
             tokens = np.concatenate([tokens, np.full(length - held, coder.end, coder.type)])
             yield rows(1, np.array([held]))
+            count += 1
+        if expected.value is not None and expected.value.get(part, 0) != count:
+            raise RuntimeError(f"part {part} has {count} sequences, {expected.value.get(part, 0)} when they were counted: write the documents as a table first")
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(cut, "part int, place long, doc_ids array<long>, n_tokens int, record binary")
 
@@ -221,17 +251,22 @@ def permuted(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 
 def training_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, vocabulary: str = VOCABULARY) -> DataFrame:
     """slot, shard, offset (bytes in the shard), doc_ids, n_tokens and record, in partitions that are the shards, in order."""
-    made = written(sequences(docs, doc_id, text, length, vocabulary), "sequences")
-    # one row for each task that made sequences, so a broadcast of a few bytes for each
-    parts = made.groupBy("part").agg(F.count("*").alias("n"))
-    before = parts.select("part", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    n = made.count()
+    spark = docs.sparkSession
+    # splits of files follow the number of cores unless it is set; both passes take the same one
+    cores = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(cores, None) is None:
+        spark.conf.set(cores, str(spark.sparkContext.defaultParallelism))
+    # one number for each task that makes sequences, so a broadcast of a few bytes for each
+    counts = sequence_counts(docs, doc_id, text, length, vocabulary)
+    n = sum(counts.values())
+    parts = sorted(counts)
+    before = spark.sparkContext.broadcast(dict(zip(parts, np.cumsum([0, *(counts[p] for p in parts)]).tolist())))
 
     @F.pandas_udf("long")
-    def slot(index: pd.Series) -> pd.Series:
-        return pd.Series(permuted(index.to_numpy(), n, key))
+    def slot(part: pd.Series, place: pd.Series) -> pd.Series:
+        return pd.Series(permuted((part.map(before.value) + place).to_numpy(np.int64), n, key))
 
-    numbered = made.join(F.broadcast(before), "part").withColumn("slot", slot(F.col("place") + F.coalesce("before", F.lit(0))))
+    numbered = sequences(docs, doc_id, text, length, vocabulary, counts).withColumn("slot", slot("part", "place"))
     shards = max(1, -(-n // per_shard))
     dealt = numbered.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int")).repartitionById(shards, "shard").sortWithinPartitions("slot")
     return dealt.select("slot", "shard", ((F.col("slot") - F.col("shard") * per_shard) * F.length("record")).cast("long").alias("offset"), "doc_ids", "n_tokens", "record")
