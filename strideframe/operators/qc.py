@@ -45,14 +45,15 @@ def reprojection_report(errors: DataFrame, frame_keys: Sequence[str]) -> tuple[D
     return per.unionByName(total), errors.groupBy(*frame_keys).agg(F.median("err").alias("median_px"))
 
 
-def fit_ratio(fitted: DataFrame, measured: DataFrame, frame_keys: Sequence[str]) -> DataFrame:
-    """Fitted against measured median error over the frames where both exist."""
+def fit_ratio(fitted: DataFrame, measured: DataFrame, frame_keys: Sequence[str], track: Sequence[str] = ()) -> DataFrame:
+    """Fitted against measured median error over the frames where both exist, in all or for each track."""
     f = fitted.join(measured.select(*frame_keys).distinct(), list(frame_keys), "left_semi")
     m = measured.join(fitted.select(*frame_keys).distinct(), list(frame_keys), "left_semi")
-    a = exact_quantiles(f, [], "err", {"fitted_px": 0.5}, n="n_fitted")
-    b = exact_quantiles(m, [], "err", {"measured_px": 0.5}, n="n_measured")
+    a = exact_quantiles(f, track, "err", {"fitted_px": 0.5}, n="n_fitted")
+    b = exact_quantiles(m, track, "err", {"measured_px": 0.5}, n="n_measured")
     px = F.col("measured_px")
-    return a.crossJoin(F.broadcast(b)).select("fitted_px", "measured_px", (F.col("fitted_px") / F.when(px > 0, px)).alias("ratio"), F.least("n_fitted", "n_measured").alias("n"))
+    both = a.join(b, list(track)) if track else a.crossJoin(F.broadcast(b))
+    return both.select(*track, "fitted_px", "measured_px", (F.col("fitted_px") / F.when(px > 0, px)).alias("ratio"), F.least("n_fitted", "n_measured").alias("n"))
 
 
 def coverage_report(kps: DataFrame, track: Sequence[str], frame: str, *, conf_thresh: float = OBSERVED_CONF, size: int = BLOCK) -> DataFrame:
@@ -187,6 +188,63 @@ def worst(df: DataFrame, value: str, tie: Sequence[str], k: int) -> DataFrame:
     return df.orderBy(F.col(value).desc_nulls_last(), *tie).limit(k)
 
 
+def _invariant_block(seg: DataFrame, track: Sequence[str]) -> DataFrame:
+    """The segments of a track in one row; a skeleton bounds their number."""
+    name = F.concat_ws("-", "a", "b")
+    return seg.groupBy(*track).agg(
+        F.count(F.lit(1)).alias("n_segments"), F.count_if("collapsed").alias("n_collapsed"), F.max("cv").alias("max_cv"), F.max_by(name, F.struct("cv", name)).alias("loosest"),
+        F.array_sort(F.collect_list(F.when(F.col("collapsed"), name))).alias("collapsed"),
+        F.array_sort(F.collect_list(F.struct("a", "b", "median", "n", "cv"))).alias("segments"),
+    )
+
+
+def _loo_block(errors: DataFrame, track: Sequence[str]) -> DataFrame:
+    """Held-out error of a track and of each of its cameras; a rig bounds their number."""
+    e = cut_lineage(errors.select(*track, "camera", "err"))
+    per = exact_quantiles(e, [*track, "camera"], "err", {"median_px": 0.5}, n="n")
+    cams = per.groupBy(*track).agg(F.array_sort(F.collect_list(F.struct("camera", "median_px", "n"))).alias("cameras"))
+    return exact_quantiles(e, track, "err", {"median_px": 0.5}, n="n").join(cams, list(track))
+
+
+def qc_documents(
+    kps: DataFrame, fitted: DataFrame, lengths: DataFrame, posture: DataFrame, track: Sequence[str], frame: str, *,
+    fitted_errors: DataFrame | None = None, measured_errors: DataFrame | None = None, held_out: DataFrame | None = None, conf_thresh: float = OBSERVED_CONF, size: int = BLOCK,
+) -> tuple[DataFrame, DataFrame]:
+    """All reports of a track in one document, and the tracks refused one with the reason.
+
+    ``kps`` and ``lengths`` are measured landmarks and segment lengths, ``fitted`` the fitted landmarks,
+    ``posture`` their pitch and height per frame. Pixel errors (fitted, measured, held out) exist for tracks
+    with calibrated cameras only; another track has no ``reproj`` and no ``loo`` block and no residual, so
+    none of its frames is flagged.
+
+    A track without a fitted pose (``no_pose``) or with a collapsed segment (``collapsed:a-b,...``) is
+    refused: a collapsed pair moves less than a real one, so every other measure would praise it.
+    """
+    invariants = cut_lineage(_invariant_block(invariant_report(lengths, track), track))
+    posed = fitted.where(valid()).select(*track).distinct()
+    state = kps.select(*track).distinct().join(posed.withColumn("_posed", F.lit(True)), list(track), "left").join(invariants.select(*track, "collapsed"), list(track), "left")
+    broken = F.concat(F.lit("collapsed:"), F.array_join("collapsed", ","))
+    state = cut_lineage(state.select(*track, F.when(F.col("_posed").isNull(), "no_pose").when(F.size("collapsed") > 0, broken).alias("reason")))
+    frames = posture.select(*track, frame, "pitch", "height")
+    blocks: dict[str, DataFrame] = {}
+    if fitted_errors is None:
+        frames = frames.withColumn("residual", F.lit(None).cast("double"))
+    else:
+        e = cut_lineage(fitted_errors)
+        residual = e.groupBy(*track, frame).agg(F.median("err").alias("residual"))
+        frames = frames.join(residual, [*track, frame], "left")
+        if measured_errors is not None:
+            blocks["reproj"] = fit_ratio(e, cut_lineage(measured_errors), [*track, frame], track)
+    if held_out is not None:
+        blocks["loo"] = _loo_block(held_out, track)
+    blocks["invariants"] = invariants.drop("collapsed")
+    blocks["coverage"] = coverage_report(kps, track, frame, conf_thresh=conf_thresh, size=size)
+    blocks["posture"] = posture_report(frames, track)
+    sound = state.where(F.col("reason").isNull()).select(*track)
+    documents = sound.join(merge_reports(track, blocks), list(track), "left")
+    return documents.withColumn("structural_ok", F.lit(True)), state.where(F.col("reason").isNotNull())
+
+
 def merge_reports(keys: Sequence[str], blocks: dict[str, DataFrame]) -> DataFrame:
     """One document per key: a struct per report, plus ``blocks`` naming the reports that ran.
 

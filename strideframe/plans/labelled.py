@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from strideframe.functions import names as N
 from strideframe.operators import curate as C
 from strideframe.operators import evaluation as E
+from strideframe.operators import geometry as G
 from strideframe.operators import select as P
 from strideframe.plans.registry import query
 from strideframe.plans.statistics import _hash_sql
-from strideframe.plans.tables import TRACKS_CTE, table, tracks
+from strideframe.plans.tables import BONES, BONES_CTE, KEYPOINTS_CTE, TRACKS_CTE, keypoints, pairs_of_names, table, tracks
 
 SPLITS = ["train", "val"]
 
@@ -308,10 +309,46 @@ def f18_cross_animal(spark, sf):
  h AS (SELECT *, CASE WHEN NOT v0 THEN -1 WHEN pon THEN 0 WHEN s0 = 0 THEN 1 ELSE 2 END AS slot0, CASE s1 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS w1 FROM f)
 SELECT "window", slot0, CASE WHEN NOT v1 THEN -1 WHEN w1 <> slot0 THEN w1 WHEN slot0 <> 3 THEN 3 ELSE -1 END AS slot1 FROM h""")
 def f19_slot_assignment(spark, sf):
-    w, n = windows(spark, sf), F.col("n_chars")
+    return E.assign_slots(slot_animals(windows(spark, sf)))
+
+
+def slot_animals(w):
+    """Host and companion of every window with sex, validity and prompt."""
+    n = F.col("n_chars")
     a = w.select("window", F.lit(0).alias("fly"), F.when(F.col("female"), 0).otherwise(1).alias("sex"), (n % 11 > 0).alias("valid"), (n % 4 == 0).alias("prompt_on"))
     b = w.select("window", F.lit(1).alias("fly"), F.when(n % 3 == 0, 0).when(n % 3 == 1, 1).otherwise(-1).alias("sex"), (F.col("n_flies") > 1).alias("valid"), (n % 4 == 0).alias("prompt_on"))
-    return E.assign_slots(a.unionByName(b))
+    return a.unionByName(b)
+
+
+# Slots and logits of the animals of a window.
+_FLIES = """f AS (SELECT "window", CASE WHEN female THEN 0 ELSE 1 END AS s0, CASE n_chars % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE -1 END AS s1, n_chars % 11 > 0 AS v0, n_flies > 1 AS v1, n_chars % 4 = 0 AS pon FROM win),
+ h AS (SELECT *, CASE WHEN NOT v0 THEN -1 WHEN pon THEN 0 WHEN s0 = 0 THEN 1 ELSE 2 END AS slot0, CASE s1 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS w1 FROM f),
+ a AS (SELECT *, CASE WHEN NOT v1 THEN -1 WHEN w1 <> slot0 THEN w1 WHEN slot0 <> 3 THEN 3 ELSE -1 END AS slot1 FROM h),
+ lg AS (SELECT "window", slot, (("window" * 11 + slot * 17 + n_chars) % 21) - 10 AS z FROM win, (SELECT unnest(range(4)) AS slot)),
+ j AS (SELECT "window", slot0 AS slot, s0 AS sex FROM a WHERE v0 AND slot0 >= 0 UNION ALL SELECT "window", slot1, s1 FROM a WHERE v1 AND s1 >= 0 AND slot1 >= 0),
+ ht AS (SELECT "window", (z > 0) = (sex = 0) AS hit FROM j JOIN lg USING ("window", slot))"""
+
+
+@query(f"""WITH {_WIN}, {_FLIES}, c AS (SELECT * FROM coh UNION ALL SELECT DISTINCT "window", 'all' FROM ht)
+SELECT cohort, round(avg(CASE WHEN hit THEN 1.0 WHEN NOT hit THEN 0.0 END), 6) AS sex_acc, count(hit) AS n_judged FROM c LEFT JOIN ht USING ("window") GROUP BY cohort""")
+def f18_sex_accuracy(spark, sf):
+    w, n = windows(spark, sf), F.col("n_chars")
+    logit = predictions(spark, sf).join(w.select("window", "n_chars"), "window").select("window", "slot", ((F.col("window") * 11 + F.col("slot") * 17 + n) % 21 - 10).alias("sex_logit"))
+    flies = slot_animals(w)
+    r = E.sex_accuracy(E.sex_hits(flies, E.assign_slots(flies), logit), E.cohorts(w))
+    return r.select("cohort", F.round("sex_acc", 6).alias("sex_acc"), "n_judged")
+
+
+@query(f"""WITH {KEYPOINTS_CTE}, {BONES_CTE}, k AS (SELECT *, CASE WHEN pos % 2 = 0 THEN 1.1 * x ELSE x END AS px FROM kps),
+ l AS (SELECT a, b, least(p.conf, r.conf) >= 0.3 AS labelled, sqrt((p.x - r.x) ** 2 + (p.y - r.y) ** 2 + (p.z - r.z) ** 2) AS gt, sqrt((p.px - r.px) ** 2 + (p.y - r.y) ** 2 + (p.z - r.z) ** 2) AS pr
+  FROM bones JOIN k p ON p.kp = a JOIN k r ON r.kp = b AND r.track = p.track AND r.frame = p.frame)
+SELECT a, b, round(stddev_pop(pr), 6) AS spread, round(avg(pr) FILTER (labelled) / avg(gt) FILTER (labelled), 6) AS length_ratio FROM l GROUP BY a, b""")
+def f18_rigid_quality(spark, sf):
+    k, bones, at = keypoints(spark, sf), pairs_of_names(spark, BONES), ["track", "frame"]
+    pred = G.segment_lengths(k.withColumn("x", F.when(F.col("pos") % 2 == 0, F.col("x") * 1.1).otherwise(F.col("x"))), at, bones)
+    gt = G.segment_lengths(k.where(F.col("conf") >= 0.3), at, bones).withColumnRenamed("length", "length_gt")
+    r = E.rigid_quality(pred.join(gt, [*at, "a", "b"], "left"))
+    return r.select("a", "b", F.round("spread", 6).alias("spread"), F.round("length_ratio", 6).alias("length_ratio"))
 
 
 def _grid_sql(k: int) -> str:

@@ -281,15 +281,57 @@ def f42_run_parity(spark, sf):
     return r.select("kp", "n_one_sided", F.round("max_diff", 6).alias("max_diff"), F.round("median_diff", 6).alias("median_diff"))
 
 
-@query(f"""WITH {OBSERVED_CTE}, {BONES_CTE}, c AS (SELECT track, round(avg(CASE WHEN conf >= 0.3 THEN 0.0 ELSE 1.0 END), 6) AS missing FROM obs GROUP BY track),
- ii AS (SELECT track, round(avg(x), 6) AS mean_x FROM obs WHERE track % 2 = 0 GROUP BY track)
-SELECT c.track, c.missing, mean_x, CASE WHEN mean_x IS NULL THEN 'coverage' ELSE 'coverage,reproj' END AS blocks FROM c LEFT JOIN ii USING (track)""")
+# Tracks of even number have cameras; the first segment of every ninth is squeezed to nothing, every eleventh has no fitted pose.
+_FITTED = "fitted AS (SELECT track, frame, kp, x + 0.01 AS x, y, z FROM kps WHERE track % 11 <> 5)"
+_QC = f"""{_ERR}, {_FITTED}, obs AS (SELECT track, frame, pos, kp, conf, CASE WHEN conf >= 0.1 THEN x END AS x, CASE WHEN conf >= 0.1 THEN y END AS y, CASE WHEN conf >= 0.1 THEN z END AS z FROM kps),
+ {BONES_CTE}, len AS (SELECT p.track, p.frame, a, b, sqrt((p.x - r.x) ** 2 + (p.y - r.y) ** 2 + (p.z - r.z) ** 2) * CASE WHEN p.track % 9 = 4 AND a = '{BONES[0][0]}' AND b = '{BONES[0][1]}' THEN 0.001 ELSE 1 END AS length
+  FROM bones JOIN obs p ON p.kp = a JOIN obs r ON r.kp = b AND r.track = p.track AND r.frame = p.frame WHERE p.x IS NOT NULL AND r.x IS NOT NULL),
+ seg AS (SELECT track, a || '-' || b AS name, median(length) AS med, stddev_pop(length) / avg(length) AS cv FROM len GROUP BY track, a, b),
+ ref AS (SELECT track, median(med) AS ref FROM seg WHERE med > 0 GROUP BY track),
+ inv AS (SELECT track, count(*) AS n_segments, round(max(cv), 6) AS max_cv, arg_max(name, (cv, name)) AS loosest, string_agg(name, ',' ORDER BY name) FILTER (med < 0.2 * ref) AS broken FROM seg JOIN ref USING (track) GROUP BY track),
+ st AS (SELECT k.track, CASE WHEN f.track IS NULL THEN 'no_pose' WHEN broken IS NOT NULL THEN 'collapsed:' || broken END AS reason FROM (SELECT DISTINCT track FROM kps) k LEFT JOIN (SELECT DISTINCT track FROM fitted) f USING (track) LEFT JOIN inv USING (track)),
+ e AS (SELECT * FROM er WHERE track % 2 = 0),
+ fe AS (SELECT * FROM e WHERE sh > 0 AND track % 11 <> 5),
+ rp AS (SELECT f.track, round(f.px, 6) AS fitted_px, round(m.px, 6) AS measured_px, round(f.px / m.px, 6) AS ratio FROM (SELECT track, median(err) AS px FROM fe GROUP BY track) f JOIN (SELECT track, median(err) AS px FROM e WHERE sh = 0 GROUP BY track) m USING (track)),
+ seen AS (SELECT track, frame, kp, x IS NOT NULL AND conf >= 0.3 AS seen FROM obs),
+ gp AS (SELECT *, row_number() OVER (PARTITION BY track, kp ORDER BY frame) - row_number() OVER (PARTITION BY track, kp, seen ORDER BY frame) AS grp FROM seen),
+ gr AS (SELECT track, kp, grp, count(*) AS n FROM gp WHERE NOT seen GROUP BY track, kp, grp),
+ cv AS (SELECT s.track, round(s.f, 6) AS missing_fraction, coalesce(n_gaps, 0) AS n_gaps, coalesce(max_gap, 0) AS max_gap FROM (SELECT track, avg(CASE WHEN seen THEN 0.0 ELSE 1.0 END) AS f FROM seen GROUP BY track) s LEFT JOIN (SELECT track, count(*) AS n_gaps, max(n) AS max_gap FROM gr GROUP BY track) USING (track)),
+ ax AS (SELECT track, frame, max(CASE WHEN kp = 'Antenna_Base' THEN x END) - max(CASE WHEN kp = 'Scutellum' THEN x END) AS dx, max(CASE WHEN kp = 'Antenna_Base' THEN y END) - max(CASE WHEN kp = 'Scutellum' THEN y END) AS dy,
+   max(CASE WHEN kp = 'Antenna_Base' THEN z END) - max(CASE WHEN kp = 'Scutellum' THEN z END) AS dz, avg(z) AS height FROM fitted GROUP BY track, frame),
+ rs AS (SELECT track, frame, median(err) AS residual FROM fe GROUP BY track, frame), bs AS (SELECT track, median(residual) AS base FROM rs GROUP BY track),
+ po AS (SELECT track, count(*) AS n_frames, count(*) FILTER (pitch > 45) AS n_pitched, count(*) FILTER (pitch > 45 AND coalesce(residual > 3 * base, FALSE)) AS n_flagged, round(median(pitch), 6) AS pitch_median, round(quantile_cont(height, 0.95), 6) AS height_p95
+   FROM (SELECT track, frame, degrees(asin(greatest(least(dz / sqrt(dx * dx + dy * dy + dz * dz), 1), -1))) AS pitch, height FROM ax) LEFT JOIN rs USING (track, frame) LEFT JOIN bs USING (track) GROUP BY track)"""
+
+
+def qc_reports(spark, sf, held_out=False):
+    k, o, c = keypoints(spark, sf), observations(spark, sf), cameras(spark)
+    fitted = k.where(F.col("track") % 11 != 5).withColumn("x", F.col("x") + 0.01)
+    with_rig = o.where(F.col("track") % 2 == 0)
+    squeezed = (F.col("track") % 9 == 4) & (F.col("a") == BONES[0][0]) & (F.col("b") == BONES[0][1])
+    seg = lengths(spark, sf).withColumn("length", F.col("length") * F.when(squeezed, 0.001).otherwise(1.0))
+    w = G.wide(fitted, KF, ["Antenna_Base", "Scutellum"]).join(fitted.groupBy(*KF).agg(F.avg("z").alias("height")), KF)
+    body = w.select(*KF, qc.axis_pitch(V.vec("Scutellum"), V.vec("Antenna_Base"), (F.lit(0.0), F.lit(0.0), F.lit(1.0))).alias("pitch"), "height")
+    errors = [qc.reprojection_errors(x, with_rig, c, KFP) for x in (fitted, k)]
+    loo = fits.leave_one_out(with_rig, c, KFP) if held_out else None
+    return qc.qc_documents(observed(k), fitted, seg, body, ["track"], "frame", fitted_errors=errors[0], measured_errors=errors[1], held_out=loo, size=BLK)
+
+
+@query(f"""WITH {_QC} SELECT st.track, n_segments, max_cv, loosest, fitted_px, measured_px, ratio, missing_fraction, n_gaps, max_gap, n_frames, n_pitched, n_flagged, pitch_median, height_p95,
+ CASE WHEN rp.track IS NULL THEN '' ELSE 'reproj,' END || 'invariants,coverage,posture' AS blocks, TRUE AS structural_ok
+FROM st LEFT JOIN inv USING (track) LEFT JOIN rp ON rp.track = st.track LEFT JOIN cv ON cv.track = st.track LEFT JOIN po ON po.track = st.track WHERE reason IS NULL""")
 def f47_qc_document(spark, sf):
-    k = observed(keypoints(spark, sf))
-    cov = k.groupBy("track").agg(F.round(F.avg(F.when(F.col("conf") >= 0.3, 0.0).otherwise(1.0)), 6).alias("missing"))
-    rep = k.where(F.col("track") % 2 == 0).groupBy("track").agg(F.round(F.avg("x"), 6).alias("mean_x"))
-    d = qc.merge_reports(["track"], {"coverage": cov, "reproj": rep})
-    return d.select("track", "coverage.missing", "reproj.mean_x", F.array_join("blocks", ",").alias("blocks"))
+    d, _ = qc_reports(spark, sf)
+    r = lambda block, *cs: [F.round(f"{block}.{c}", 6).alias(c) for c in cs]
+    return d.select(
+        "track", "invariants.n_segments", *r("invariants", "max_cv"), "invariants.loosest", *r("reproj", "fitted_px", "measured_px", "ratio"), *r("coverage", "missing_fraction"), "coverage.n_gaps", "coverage.max_gap",
+        "posture.n_frames", "posture.n_pitched", "posture.n_flagged", *r("posture", "pitch_median", "height_p95"), F.array_join("blocks", ",").alias("blocks"), "structural_ok",
+    )
+
+
+@query(f"WITH {_QC} SELECT track, reason FROM st WHERE reason IS NOT NULL")
+def f47_qc_refused(spark, sf):
+    return qc_reports(spark, sf)[1]
 
 
 @query(f"""WITH {_LEN} SELECT track, a, b, round(stddev_pop(length) / avg(length), 6) AS cv FROM len GROUP BY track, a, b ORDER BY cv DESC, track, a, b LIMIT 5""")
