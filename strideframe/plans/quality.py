@@ -181,7 +181,22 @@ def f10_norm_ratio_scale(spark, sf):
     return r.select(*KF, F.round("scale", 6).alias("scale"))
 
 
-@query()
+def _similarity_sql(pairs):
+    """Scale of the best similarity of each frame's pairs: singular values of the 3x3 covariance in closed form, from the eigenvalues of its square."""
+    cov = ", ".join(f"covar_pop(d{a}, s{b}) AS c{i}{k}" for i, a in enumerate("xyz") for k, b in enumerate("xyz"))
+    square = ", ".join(f"c0{i} * c0{k} + c1{i} * c1{k} + c2{i} * c2{k} AS b{i}{k}" for i in range(3) for k in range(i, 3))
+    whole = _det([[f"c{i}{k}" for i in range(3)] for k in range(3)])
+    shifted = [[f"(b{i}{i} - q)" if i == k else f"b{min(i, k)}{max(i, k)}" for i in range(3)] for k in range(3)]
+    return f"""pr AS ({pairs}), mo AS (SELECT track, frame, count(*) AS n, var_pop(sx) + var_pop(sy) + var_pop(sz) AS var, {cov} FROM pr GROUP BY track, frame),
+ sq AS (SELECT track, frame, n, var, {whole} AS cdet, {square} FROM mo), tr AS (SELECT *, (b00 + b11 + b22) / 3 AS q FROM sq),
+ pp AS (SELECT *, sqrt(((b00 - q) ** 2 + (b11 - q) ** 2 + (b22 - q) ** 2 + 2 * (b01 ** 2 + b02 ** 2 + b12 ** 2)) / 6) AS p, {_det(shifted)} AS sdet FROM tr),
+ ph AS (SELECT *, CASE WHEN p > 0 THEN acos(greatest(-1, least(1, sdet / (2 * p ** 3)))) / 3 ELSE 0 END AS phi FROM pp),
+ ev AS (SELECT *, q + 2 * p * cos(phi) AS e0, q + 2 * p * cos(phi + 2 * pi() / 3) AS e2 FROM ph),
+ fit AS (SELECT track, frame, n, (sqrt(greatest(e0, 0)) + sqrt(greatest(3 * q - e0 - e2, 0)) + CASE WHEN cdet < 0 THEN -1 ELSE 1 END * sqrt(greatest(e2, 0))) / CASE WHEN var > 0 THEN var END AS s FROM ev)"""
+
+
+@query(f"""WITH {OBSERVED_CTE}, {_similarity_sql(f"SELECT track, frame, x AS sx, y AS sy, z AS sz, pos * 0.5 AS dx, length(kp) * 0.25 AS dy, CAST(pos % 3 AS DOUBLE) AS dz FROM obs WHERE kp IN ({_TRUNK_SQL}) AND x IS NOT NULL")}
+SELECT track, frame, round(s, 4) AS scale FROM fit WHERE n = {len(TRUNK)}""")
 def f10_umeyama_scale(spark, sf):
     return fits.frame_scales(trunk_pairs(spark, sf), KF, n_required=len(TRUNK)).select(*KF, F.round("scale", 4).alias("scale"))
 
@@ -201,7 +216,8 @@ def f11_robust_scale(spark, sf):
     return r.select("fly", F.round("scale", 6).alias("scale"), "n_bouts", "n_samples", "n_rejected", F.round("spread_pct", 6).alias("spread_pct"), F.round("cv_across_bouts", 6).alias("cv_across_bouts"))
 
 
-@query()
+@query(f"""WITH {OBSERVED_CTE}, {_similarity_sql("SELECT track, frame, pos * 0.5 AS sx, length(kp) * 0.25 AS sy, CAST(pos % 3 AS DOUBLE) AS sz, x AS dx, y AS dy, z AS dz FROM obs WHERE x IS NOT NULL")}
+SELECT track, frame, n, n >= 3 AND s IS NOT NULL AS ok, round(CASE WHEN n >= 3 AND s IS NOT NULL THEN s ELSE 10.0 END, 4) AS s FROM fit""")
 def f12_rigid_fit(spark, sf):
     k = observed(keypoints(spark, sf)).where(L.valid())
     pairs = k.select(

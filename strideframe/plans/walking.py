@@ -187,12 +187,25 @@ def g21_surface_contact(spark, sf):
     return G.surface_contact(d, K, "frame", "conf", "v", contact=0.6, split=45.0, lift=0.7, min_len=3, name="contact", size=BLK).select("track", "frame", "contact")
 
 
-@query()
+_STANCE = f"""{TRACKS_CTE}, ft AS (SELECT track, frame, conf >= 0.4 AS st, coalesce(conf >= 0.4, FALSE) AS stand, v / 7.3 AS z FROM t),
+ ch AS (SELECT *, coalesce(stand <> lag(stand) OVER w, TRUE) AS new, lag(z) OVER w AS zp, lead(z) OVER w AS zn FROM ft WINDOW w AS (PARTITION BY track ORDER BY frame)),
+ lab AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY frame) AS run FROM ch)"""
+
+
+@query(f"""WITH {_STANCE}, u AS (SELECT *, CASE WHEN stand THEN run ELSE run + 1 END AS unit FROM lab),
+ s AS (SELECT *, min(frame) FILTER (stand) OVER g AS s, max(frame) FILTER (stand) OVER g AS b FROM u WINDOW g AS (PARTITION BY track, unit)),
+ ap AS (SELECT track, unit, arg_min(frame, (-z, frame)) AS a FROM s WHERE frame <= s GROUP BY track, unit),
+ nw AS (SELECT track, unit, coalesce(min(frame) FILTER (frame > a AND frame < b AND z < zp AND z <= zn), arg_min(frame, (z, frame))) AS nf, max(b) - max(a) >= 2 AS wide FROM s JOIN ap USING (track, unit) WHERE frame BETWEEN a AND b GROUP BY track, unit)
+SELECT s.track, frame, CASE WHEN st IS NOT NULL THEN CASE WHEN coalesce(wide, FALSE) THEN frame BETWEEN nf AND b ELSE stand END END AS refined FROM s LEFT JOIN nw ON nw.track = s.track AND nw.unit = s.unit""")
 def g20_stance_first_minimum(spark, sf):
     return G.stance_edges(feet(spark, sf), K, "frame", "st", "z", rule="first_minimum", size=BLK).select("track", "frame", "refined")
 
 
-@query()
+@query(f"""WITH {_STANCE}, so AS (SELECT track, run, median(z) AS thr, min(frame) AS s, arg_min(z, frame) AS zs FROM lab WHERE stand GROUP BY track, run),
+ sw AS (SELECT track, run, min(frame) AS first, arg_min(frame, (-z, frame)) AS apex, max(z) AS top FROM lab WHERE NOT stand GROUP BY track, run),
+ ed AS (SELECT l.track, l.run, min(l.frame) FILTER (l.frame >= CASE WHEN n.zs > top THEN n.s ELSE apex END AND l.z <= n.thr) AS ns, min(l.frame) FILTER (l.frame <= apex AND l.z > p.thr) AS ne, any_value(first) AS first, any_value(apex) AS apex, count(p.thr) > 0 AS follows
+   FROM lab l JOIN sw ON sw.track = l.track AND sw.run = l.run LEFT JOIN so n ON n.track = l.track AND n.run = l.run + 1 LEFT JOIN so p ON p.track = l.track AND p.run = l.run - 1 WHERE NOT l.stand GROUP BY l.track, l.run)
+SELECT lab.track, frame, CASE WHEN st IS NOT NULL THEN stand OR coalesce(frame >= ns, FALSE) OR coalesce(follows AND apex > first AND frame < ne, FALSE) END AS refined FROM lab LEFT JOIN ed ON ed.track = lab.track AND ed.run = lab.run""")
 def g20_stance_threshold(spark, sf):
     return G.stance_edges(feet(spark, sf), K, "frame", "st", "z", rule="threshold", size=BLK).select("track", "frame", "refined")
 
