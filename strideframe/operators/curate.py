@@ -36,16 +36,31 @@ EXPORT_TIERS = ("human", "all", "masks")
 MIN_CAMS = 3
 
 
+def six_decimals(v: Column) -> Column:
+    """A finite number rounded half to even to six decimals, in its shortest text: ``1.0``, ``-0.25``, ``1.2e-05``."""
+    x = F.rint(v * 1e6) / F.lit(1e6)
+    micro = F.rint(F.abs(x) * 1e6).cast("long")
+    tenth = F.floor(micro / 10)
+    tiny = F.when(micro < 10, F.concat(micro.cast("string"), F.lit("e-06"))).when(micro % 10 == 0, F.concat(tenth.cast("string"), F.lit("e-05"))).otherwise(
+        F.concat(tenth.cast("string"), F.lit("."), (micro % 10).cast("string"), F.lit("e-05"))
+    )
+    plain = F.regexp_replace(F.format_string("%.6f", x), r"(\.\d+?)0*$", "$1")
+    return F.when((micro > 0) & (micro < 100), F.concat(F.when(x < 0, "-").otherwise(""), tiny)).otherwise(plain)
+
+
 def fingerprint(matrices: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Digest of a calibration: its camera matrices, by camera name, rounded to six decimals.
+    """Digest of a calibration: the nested list of its 3x4 camera matrices, row by row, rounded to six decimals.
 
-    ``matrices`` has one row per camera, so a calibration's list is as long as its rig.
+    ``matrices`` has one row per camera (``camera``, 12 numbers ``p``), so a calibration's list is as long as its
+    rig. Cameras stand by ``position`` where there is such a column, by name otherwise.
     """
-    row = F.concat(F.lit("["), F.array_join(F.transform("p", lambda v: F.format_string("%.6f", F.round(v, 6) + F.lit(0.0))), ","), F.lit("]"))
-    return matrices.groupBy(*keys).agg(
-        N.digest16(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("camera", row.alias("r")))), lambda s: s["r"]), ";")).alias("fingerprint"),
-        F.array_join(F.array_sort(F.collect_list("camera")), ",").alias("cameras"),
-    )
+    line = lambda r: F.concat(F.lit("["), F.array_join(F.transform(F.slice("p", 4 * r + 1, 4), six_decimals), ", "), F.lit("]"))
+    row = F.concat(F.lit("["), F.concat_ws(", ", *[line(r) for r in range(3)]), F.lit("]"))
+    at = F.col("position") if "position" in matrices.columns else F.col("camera")
+    rig = F.array_sort(F.collect_list(F.struct(at.alias("at"), "camera", row.alias("r"))))
+    d = matrices.groupBy(*keys).agg(rig.alias("_rig"))
+    payload = F.concat(F.lit("["), F.array_join(F.transform("_rig", lambda c: c["r"]), ", "), F.lit("]"))
+    return d.select(*keys, N.digest16(payload).alias("fingerprint"), F.array_join(F.transform("_rig", lambda c: c["camera"]), ",").alias("cameras"))
 
 
 def group_calibrations(prints: DataFrame, recording: str) -> DataFrame:

@@ -181,7 +181,9 @@ def b3_b4_layered_fields(spark, sf):
 
 
 _MAT = """mat AS (SELECT s_suppkey AS recording, 'Cam0' || c AS camera, list_transform(range(12), lambda k: CASE WHEN k IN (8, 9, 10) THEN 0.0 WHEN k = 11 THEN 1.0 ELSE (s_nationkey % 7 + c * 3 + k) / 7.0 END) AS p FROM supplier, (SELECT unnest(range(3)) AS c)),
- pr AS (SELECT recording, substr(sha256(string_agg('[' || array_to_string(list_transform(p, lambda v: printf('%.6f', v)), ',') || ']', ';' ORDER BY camera)), 1, 16) AS fingerprint FROM mat GROUP BY recording)"""
+ tx AS (SELECT recording, camera, list_transform(p, lambda v: CAST(round_even(v * 1000000, 0) / 1000000 AS VARCHAR)) AS p FROM mat),
+ ln AS (SELECT recording, camera, '[' || array_to_string(list_transform([0, 4, 8], lambda r: '[' || array_to_string(p[r + 1:r + 4], ', ') || ']'), ', ') || ']' AS m FROM tx),
+ pr AS (SELECT recording, substr(sha256('[' || string_agg(m, ', ' ORDER BY camera) || ']'), 1, 16) AS fingerprint FROM ln GROUP BY recording)"""
 
 
 def calibrations(spark, sf):

@@ -1,7 +1,11 @@
-"""QC documents and refusals, and sex accuracy, on constructed tracks."""
+"""QC documents and refusals, sex accuracy and calibration digests, on constructed rows."""
 
+import hashlib
+
+import numpy as np
 import pytest
 
+from strideframe.operators import curate as C
 from strideframe.operators import evaluation as E
 from strideframe.operators import qc
 
@@ -50,3 +54,17 @@ def test_sex_accuracy_judges_labelled_animals_with_a_slot(spark):
     members = spark.createDataFrame([(1, "two"), (2, "blank"), (3, "one")], "window int, cohort string")
     got = {r.cohort: (r.sex_acc, r.n_judged) for r in E.sex_accuracy(hits, members).collect()}
     assert got == {"two": (0.5, 2), "blank": (None, 0), "one": (0.0, 1), "all": (pytest.approx(1 / 3), 3)}
+
+
+def test_fingerprint_is_that_of_the_nested_list(spark):
+    values = [1.0, -0.0, 0.5, 1e-6, 1.2e-5, -3e-5, 9.9e-5, 1e-4, 123456.789012, -2.0000005, 1e-9, 7.123456789]
+    rigs = [("r", 1, "a", values), ("r", 0, "b", values[::-1]), ("s", 0, "b", [v + 1e-8 for v in values[::-1]]), ("s", 1, "a", values)]
+    d = spark.createDataFrame(rigs, "recording string, position int, camera string, p array<double>")
+    got = {r.recording: (r.fingerprint, r.cameras) for r in C.fingerprint(d, ["recording"]).collect()}
+
+    def digest(*ps):
+        return hashlib.sha256(repr(np.round(np.array(ps).reshape(-1, 3, 4), 6).tolist()).encode()).hexdigest()[:16]
+
+    assert got["r"] == (digest(values[::-1], values), "b,a")
+    assert got["s"][0] == digest([v + 1e-8 for v in values[::-1]], values)
+    assert C.fingerprint(d.drop("position"), ["recording"]).where("recording = 'r'").first().fingerprint == digest(values, values[::-1])
