@@ -15,10 +15,14 @@ from strideframe.session import cut_lineage
 MAD_TO_SIGMA = 1.4826
 
 
+def hash_digits(seed: int, *keys: Column) -> Column:
+    """The twelve hex digits behind ``hash_uniform``; they sort as the numbers do."""
+    return F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys])), 1, 12)
+
+
 def hash_uniform(seed: int, *keys: Column) -> Column:
     """Repeatable number in [0, 1) from a seed and key columns, independent of partitioning."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / float(16**12)
+    return F.conv(hash_digits(seed, *keys), 16, 10).cast("double") / float(16**12)
 
 
 def gate_frames(frames: DataFrame, *, min_conf: float, mad_k: float | None = None) -> DataFrame:

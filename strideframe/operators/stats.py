@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from strideframe.functions import vectors as V
 from strideframe.operators.ordered import BLOCK, number_rows, running_sum, scan
 from strideframe.operators.quantiles import attach, distinct_values, exact_quantiles, rank_values
-from strideframe.operators.select import hash_uniform
+from strideframe.operators.select import hash_digits, hash_uniform
 from strideframe.session import cut_lineage
 
 
@@ -344,31 +344,61 @@ def _t2(n1: Column, n2: Column, s: dict[str, Column]) -> Column:
     return n1 * n2 / (n1 + n2) * (syy * dx * dx - 2 * sxy * dx * dy + sxx * dy * dy) / F.when(det != 0, det)
 
 
+#: half width, in standard deviations of the rank, of the stretch of hash values whose rows are ranked
+RANKED_SD = 2.5
+
+
 def hotelling_permutation(df: DataFrame, group: str, x: str, y: str, unit: str, a, b, *, n_perm: int = 1000, seed: int = 0) -> DataFrame:
     """Observed T squared and its permutation p: each permutation relabels the units by the
     order of a hash and only its ten sums are kept.
 
-    Ranks inside a permutation come from blocks of the hash value, which is uniform, so all
-    blocks are alike however many units there are.
+    The hash is uniform, so the value that parts the groups of a permutation lies near the share of
+    the first group. Units clearly below or above are only added up, on the map side; those in a narrow stretch around
+    it, a number that grows with the root of the units, are ranked. A permutation parted outside the stretch is done again with a wider one.
     """
-    units = cut_lineage(df.where(F.col(group).isin(a, b) & F.col(x).isNotNull() & F.col(y).isNotNull()).select(unit, (F.col(group) == a).alias("_a"), x, y))
-    reps = units.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_perm))))
-    u = hash_uniform(seed, F.col("_rep"), F.col(unit), F.col("_a"))
+    from pyspark.sql import Window
+
+    units = df.where(F.col(group).isin(a, b) & F.col(x).isNotNull() & F.col(y).isNotNull()).select(unit, (F.col(group) == a).alias("_a"), x, y)
+    # A short table would be one task, and each unit stands for many rows.
+    units = cut_lineage(units.repartition(2 * df.sparkSession.sparkContext.defaultParallelism))
+    na, nt = units.agg(F.count_if("_a"), F.count(F.lit(1))).first()
+    terms = {"x": F.col(x), "y": F.col(y), "xx": F.col(x) * F.col(x), "xy": F.col(x) * F.col(y), "yy": F.col(y) * F.col(y)}
+
+    def sums(first: Column, second: Column) -> list[Column]:
+        return [F.sum(F.when(on, e).otherwise(0.0)).alias(f"{t}{n}") for t, on in (("a", first), ("b", second)) for n, e in terms.items()]
+
+    names = [f"{t}{n}" for t in "ab" for n in terms]
     # Replicate 0 is the observed labelling.
-    reps = reps.withColumn("_u", F.when(F.col("_rep") == 0, F.when(F.col("_a"), 0.25).otherwise(0.75)).otherwise(u))
-    ranked = number_rows(reps, ["_rep"], ["_u", unit], F.floor(F.col("_u") * 64), name="_i")
-    na = units.agg(F.count_if("_a").alias("_na"), F.count(F.lit(1)).alias("_nt"))
-    d = attach(ranked, na, []).withColumn("_first", F.col("_i") < F.col("_na"))
-    sums = []
-    for tag, on in (("a", F.col("_first")), ("b", ~F.col("_first"))):
-        for n, e in (("x", F.col(x)), ("y", F.col(y)), ("xx", F.col(x) * F.col(x)), ("xy", F.col(x) * F.col(y)), ("yy", F.col(y) * F.col(y))):
-            sums.append(F.sum(F.when(on, e).otherwise(0.0)).alias(f"{tag}{n}"))
-    per = d.groupBy("_rep", "_na", "_nt").agg(*sums)
-    s = {f"{t}{n}": F.col(f"{t}{n}") for t in "ab" for n in ("x", "y", "xx", "xy", "yy")}
-    per = cut_lineage(per.select("_rep", _t2(F.col("_na").cast("double"), (F.col("_nt") - F.col("_na")).cast("double"), s).alias("t2")))
+    per = units.groupBy(F.lit(0).alias("_rep")).agg(*sums(F.col("_a"), ~F.col("_a")))
+    share = na / max(nt, 1)
+    half = (RANKED_SD * math.sqrt(share * (1 - share) * nt) + 8) / max(nt, 1)
+    todo = F.sequence(F.lit(1), F.lit(n_perm))
+    while n_perm > 0:
+        # "g" lies past all digits
+        lo, hi = (f"{max(math.ceil(at * 16**12), 0):012x}" if at < 1 else "g" for at in (share - half, share + half))
+        u = hash_digits(seed, F.col("_rep"), F.col(unit), F.col("_a"))
+        reps = units.select("*", F.explode(todo).alias("_rep")).withColumn("_u", u)
+        below, above = F.col("_u") < lo, F.col("_u") >= hi
+        outer = cut_lineage(reps.groupBy("_rep").agg(*sums(below, above), F.count_if(below).alias("_below"), F.count_if(~above).alias("_upto")))
+        parted = (F.col("_below") <= na) & (F.col("_upto") >= na)
+        near = reps.where(~below & ~above).join(F.broadcast(outer.where(parted).select("_rep", "_below")), "_rep")
+        first = F.row_number().over(Window.partitionBy("_rep").orderBy("_u", unit)) <= na - F.col("_below")
+        inner = near.withColumn("_first", first).groupBy("_rep").agg(*sums(F.col("_first"), ~F.col("_first")))
+        inner = inner.select("_rep", *[F.col(n).alias(f"_{n}") for n in names])
+        done = outer.where(parted).join(inner, "_rep", "left").select("_rep", *[(F.col(n) + F.coalesce(f"_{n}", F.lit(0.0))).alias(n) for n in names])
+        per = cut_lineage(per.unionByName(done))
+        left = [r[0] for r in outer.where(~parted).select("_rep").collect()]  # at most the permutations
+        if not left:
+            break
+        todo, half = F.lit(left), half * 4
+    s = {n: F.col(n) for n in names}
+    n1, n2 = F.lit(float(na)), F.lit(float(nt - na))
+    per = cut_lineage(per.select("_rep", _t2(n1, n2, s).alias("t2")))
     obs = per.where(F.col("_rep") == 0).select(F.col("t2").alias("_obs"))
     j = attach(per, obs, [])
-    return j.groupBy(F.col("_obs").alias("t2")).agg(((F.count_if((F.col("_rep") > 0) & (F.col("t2") >= F.col("_obs"))) + 1) / F.lit(n_perm + 1.0)).alias("p"))
+    # A permutation that repeats the observed groups is a tie in whatever order its sums were added up.
+    reached = F.col("t2") >= F.col("_obs") * (1 - 1e-12)
+    return j.groupBy(F.col("_obs").alias("t2")).agg(((F.count_if((F.col("_rep") > 0) & reached) + 1) / F.lit(n_perm + 1.0)).alias("p"))
 
 
 def histogram_match(ref: DataFrame, tgt: DataFrame, value: str, ident: str, *, width: float, floor: float = 0.0, seed: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,6 @@
 """Statistics and evaluation rules on small or constructed inputs."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -175,3 +176,22 @@ def test_closest_reference_is_that_of_brute_force(spark):
         kind = "id int, n int, sign double"
         got = closest_reference(spark.createDataFrame(targets, kind), spark.createDataFrame(cand, kind), size=3).collect()
         assert {r.id: r.match for r in got} == want and len(got) == 40
+
+
+@pytest.mark.parametrize("sd", [0.0, 2.5])
+def test_permutations_rank_only_units_near_the_border(spark, monkeypatch, sd):
+    monkeypatch.setattr(S, "RANKED_SD", sd)
+    rng = np.random.default_rng(4)
+    units = [(i, i % 3 == 0, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(size=(300, 2)))]
+
+    def t2(first):
+        a, b = (np.array([u[2:] for u in units if (u[0] in first) == on]) for on in (True, False))
+        s = ((len(a) - 1) * np.cov(a.T) + (len(b) - 1) * np.cov(b.T)) / (len(units) - 2)
+        d = a.mean(0) - b.mean(0)
+        return len(a) * len(b) / len(units) * d @ np.linalg.solve(s, d)
+
+    digits = lambda rep, u: (hashlib.md5(f"3|{rep}|{u[0]}|{str(u[1]).lower()}".encode()).hexdigest()[:12], u[0])
+    want = t2({u[0] for u in units if u[1]})
+    reached = sum(t2({u[0] for u in sorted(units, key=lambda u: digits(rep, u))[:100]}) >= want for rep in range(1, 41))
+    got = S.hotelling_permutation(spark.createDataFrame(units, "unit long, grp boolean, x double, y double"), "grp", "x", "y", "unit", True, False, n_perm=40, seed=3).first()
+    assert got.t2 == pytest.approx(want) and got.p == pytest.approx((reached + 1) / 41)
