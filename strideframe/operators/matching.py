@@ -6,27 +6,30 @@ caliper (ties: the smaller value, then the smaller id), each takes the closest f
 
 Rows of equal value are alike but for their id, so both sides are collapsed to (value, count) runs, and
 a stratum that holds a third of the rows is one run. All reference runs rank the treated runs in the
-same way, so the serial result is the only stable one, and rounds of proposals reach it from any order: a treated run
+same way, so the serial result is the only stable one, and proposals reach it in any order: a treated run
 asks for room at the closest reference run that doesn't prefer others, a reference run keeps
-the best of those who ask and sends the rest on. Refusals are final, since who is kept only gets better. The
-neighbours of a treated run are found by position: reference runs are numbered along the axis, and a run looks at the next
-``LOOK`` numbers on either side at a time, so no pairs within a caliper are listed. Ids come in at the end,
-by rank inside a run.
+the best of those who ask and sends the rest on. Refusals are final, since who is kept only gets better.
+
+The axis is cut into blocks, and a round settles each block on its own: whoever asks for or holds room there is served in the
+rule's order, and goes on past full runs until it is placed, has nothing left in reach, or its next choice
+stands in another block, where it asks in the next round. Every other round the borders lie in the middle of the former blocks, so a
+chain of displacements costs a round only where it leaves a block. Ids come in at the end, by rank inside a run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.operators.ordered import number_rows, scan
+from strideframe.operators.ordered import lag_lead, number_rows, scan
 from strideframe.operators.quantiles import balanced_blocks
 from strideframe.session import cut_lineage
 
-#: neighbours on either side that a run looks at in a round
-LOOK = 16
+#: numbers of the axis (reference runs, and three probes for each treated run) that a round looks at as one block
+LOOK = 1 << 18
 
 
 def _ranked(df: DataFrame, keys: Sequence[str], value: str, ident: str) -> DataFrame:
@@ -36,7 +39,7 @@ def _ranked(df: DataFrame, keys: Sequence[str], value: str, ident: str) -> DataF
 
 
 def _axis(treated: DataFrame, reference: DataFrame, keys: Sequence[str], caliper: float) -> tuple[DataFrame, DataFrame]:
-    """Reference runs (keys, ``idx``, ``_v``, ``_k``) numbered along the axis, and treated runs with the numbers around them.
+    """Reference runs (keys, ``idx``, ``_v``, ``_k``, place ``_n``) numbered along the axis, and treated runs with the numbers around them.
 
     Probes at a treated value and at both ends of its caliper are sorted in among the reference runs; running
     counts give the numbers of the runs inside and how many rows they hold.
@@ -51,7 +54,7 @@ def _axis(treated: DataFrame, reference: DataFrame, keys: Sequence[str], caliper
     events = balanced_blocks(cut_lineage(events), "_at", "_b")
     e = number_rows(events, keys, ["_at", "_o", "_kind", "_v"], F.col("_b"), "_n").drop("_b")
     e = cut_lineage(scan(e, keys, "_n", sums={"_runs": F.col("_one"), "_rows": F.col("_units")}))
-    runs = e.where("_kind = 'run'").select(*keys, (F.col("_runs") - 1).alias("idx"), "_v", "_k")
+    runs = e.where("_kind = 'run'").select(*keys, (F.col("_runs") - 1).alias("idx"), "_v", "_k", "_n")
     of = lambda kind, c: F.max(F.when(F.col("_kind") == kind, F.col(c)))
     around = e.where("_kind <> 'run'").groupBy(*keys, "_v").agg(
         F.max("_k").alias("_k"), of("low", "_runs").alias("_i0"), (of("high", "_runs") - 1).alias("_i1"), (of("at", "_runs") - 1).alias("_lo"), (of("high", "_rows") - of("low", "_rows")).alias("_supply")
@@ -59,18 +62,64 @@ def _axis(treated: DataFrame, reference: DataFrame, keys: Sequence[str], caliper
     return runs, around.withColumn("_hi", F.col("_lo") + 1)
 
 
-def _kept(asked: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """What each reference run keeps of what it is asked for: the best first, up to its size."""
-    w = Window.partitionBy(*keys, "idx").orderBy("_prio").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_q").over(w), F.lit(0))
-    return asked.withColumn("_a", before).withColumn("_q", F.least(F.col("_q"), F.col("_size") - F.col("_a"))).where("_q > 0")
+_SIDES = ["_lo", "_lov", "_lon", "_hi", "_hiv", "_hin"]
+_PARCEL = ["_supply", "_v", "_q", "_i0", "_i1", *_SIDES, "idx", "_n"]
+
+
+def _settled(asked: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+    """Parcels of a block after it has served all of them in the rule's order.
+
+    ``_lo`` and ``_hi`` are the next choices on either side, ``idx`` is the one that holds the parcel or is asked
+    next; a parcel that has nothing left in reach is dropped. The borders' neighbours come with the runs, so a next
+    choice outside is known by its value and place.
+    """
+    runs = runs.sort_values("idx")
+    base, m = int(runs["idx"].iloc[0]), len(runs)
+    values = [runs["_before"].iloc[0], *runs["_rv"], runs["_after"].iloc[-1]]
+    places = [runs["_nbefore"].iloc[0], *runs["_rn"], runs["_nafter"].iloc[-1]]
+    room = [0, *(int(x) for x in runs["_size"]), 0]
+    # the closest run with room at or before and at or after a place; 0 and m + 1 lie past the borders
+    down, up = list(range(m + 2)), list(range(m + 2))
+
+    def find(way: list[int], i: int) -> int:
+        end = i
+        while way[end] != end:
+            end = way[end]
+        while way[i] != end:
+            way[i], i = end, way[i]
+        return end
+
+    out = []
+    asked = asked.sort_values(["_supply", "_v"])
+    for supply, v, q, i0, i1, lo, lov, lon, hi, hiv, hin in asked[_PARCEL[:-2]].itertuples(index=False, name=None):
+        while q > 0:
+            if lo >= i0 and base <= lo < base + m:
+                p = find(down, lo - base + 1)
+                lo, lov, lon = base + p - 1, values[p], places[p]
+            if hi <= i1 and base <= hi < base + m:
+                p = find(up, hi - base + 1)
+                hi, hiv, hin = base + p - 1, values[p], places[p]
+            if lo < i0 and hi > i1:
+                break
+            left = lo >= i0 and (hi > i1 or v - lov <= hiv - v)
+            at, place = (lo, lon) if left else (hi, hin)
+            p = at - base + 1
+            inside = 1 <= p <= m
+            take = min(q, room[p]) if inside else q
+            out.append((supply, v, take, i0, i1, lo, lov, lon, hi, hiv, hin, at, place, not inside))
+            q -= take
+            if inside:
+                room[p] -= take
+                if not room[p]:
+                    down[p], up[p] = p - 1, p + 1
+    return pd.DataFrame(out, columns=[*_PARCEL, "_open"])
 
 
 def caliper_match(treated: DataFrame, reference: DataFrame, value: str, ident: str, *, caliper: float, keys: Sequence[str] = (), rounds: list | None = None) -> DataFrame:
     """Pairs ``(keys, treated, reference, treated_value, reference_value)``; null values don't match.
 
-    ``ident`` must be an integer and unique on either side; only rows with equal ``keys`` match. The number of rounds is
-    added to ``rounds`` if given.
+    ``ident`` must be an integer and unique on either side; only rows with equal ``keys`` match. The number of rounds, the
+    first choices being one, is added to ``rounds`` if given.
     """
     if not keys:
         treated, reference = (d.withColumn("_all", F.lit(1)) for d in (treated, reference))
@@ -78,51 +127,39 @@ def caliper_match(treated: DataFrame, reference: DataFrame, value: str, ident: s
     t_rows, r_rows = cut_lineage(_ranked(treated, names, value, ident)), cut_lineage(_ranked(reference, names, value, ident))
     runs, around = _axis(t_rows, r_rows, names, caliper)
     prio = F.struct("_supply", "_v")
-    state = cut_lineage(around.where("_supply > 0").select(*names, "_v", "_k", "_i0", "_i1", "_lo", "_hi", prio.alias("_prio"), F.col("_k").alias("_left")))
-    runs = cut_lineage(runs.select(*names, "idx", F.col("_v").alias("_rv"), F.col("_k").alias("_size")))
-    held: DataFrame | None = None
     by = [*names, "_v"]
-    n = 0
-    while state.where("_left > 0").limit(1).count():
+    runs = lag_lead(runs.select(*names, "idx", F.col("_v").alias("_rv"), F.col("_k").alias("_size"), F.col("_n").alias("_rn")), names, "idx", lags={"_before": "_rv", "_nbefore": "_rn"}, leads={"_after": "_rv", "_nafter": "_rn"})
+    runs = cut_lineage(runs)
+    side = lambda c: runs.select(*names, F.col("idx").alias(c), F.col("_rv").alias(f"{c}v"), F.col("_rn").alias(f"{c}n"))
+    state = around.where("_supply > 0").join(side("_lo"), [*names, "_lo"], "left").join(side("_hi"), [*names, "_hi"], "left")
+    first = (F.col("_lo") >= F.col("_i0")) & ((F.col("_hi") > F.col("_i1")) | (F.col("_v") - F.col("_lov") <= F.col("_hiv") - F.col("_v")))
+    state = cut_lineage(state.select(
+        *names, "_supply", "_v", F.col("_k").alias("_q"), "_i0", "_i1", *_SIDES, F.when(first, F.col("_lo")).otherwise(F.col("_hi")).alias("idx"),
+        F.when(first, F.col("_lon")).otherwise(F.col("_hin")).alias("_n"), F.lit(True).alias("_open"),
+    ))
+    n = 1  # the first round is everyone's choice of the closest run
+    # a side that is used up may have no value: its place is not looked at, so any number does
+    filled = {"_lov": 0.0, "_hiv": 0.0, "_lon": -1, "_hin": -1}
+    inner = {"_before": 0.0, "_after": 0.0, "_nbefore": -1, "_nafter": -1}
+    schema = ", ".join(f"`{c}` {state.schema[c].dataType.simpleString()}" for c in [*names, *_PARCEL, "_open"])
+
+    def settle(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked):
+            return pd.DataFrame({c: [] for c in [*names, *_PARCEL, "_open"]})
+        got = _settled(asked, block)
+        for c in reversed(names):
+            got.insert(0, c, asked[c].iloc[0])
+        return got
+
+    while state.where("_open").limit(1).count():
+        block = lambda c: F.floor((F.col(c) + (LOOK // 2 if n % 2 else 0)) / LOOK).alias("_blk")  # noqa: B023, E731
+        asked, held_by = state.fillna(filled).select("*", block("_n")), runs.fillna(inner).select("*", block("_rn"))
+        state = cut_lineage(asked.groupBy(*names, "_blk").cogroup(held_by.groupBy(*names, "_blk")).applyInPandas(settle, schema))
         n += 1
-        # the next numbers on either side, and which of them don't prefer what they have
-        look = F.concat(F.sequence(F.col("_lo") - (LOOK - 1), F.col("_lo")), F.sequence(F.col("_hi"), F.col("_hi") + (LOOK - 1)))
-        seen = state.where("_left > 0").select(*by, "_prio", "_left", "_i0", "_i1", "_lo", "_hi", F.explode(look).alias("idx")).where(F.col("idx").between(F.col("_i0"), F.col("_i1"))).join(runs, [*names, "idx"])
-        room = F.lit(True)
-        if held is not None:
-            full = held.groupBy(*names, "idx").agg(F.sum("_q").alias("_used"), F.max("_prio").alias("_worst"))
-            seen = seen.join(full, [*names, "idx"], "left")
-            room = F.col("_used").isNull() | (F.col("_used") < F.col("_size")) | (F.col("_prio") < F.col("_worst"))
-        distance: Column = F.abs(F.col("_rv") - F.col("_v"))
-        edge = lambda side: F.max(F.when(side, distance))
-        best = seen.groupBy(*by, "_prio", "_left", "_lo", "_hi", "_i0", "_i1").agg(
-            F.min_by(F.when(room, F.struct(distance.alias("d"), "idx", "_rv", "_size")), F.when(room, F.struct(distance, "_rv"))).alias("_c"),
-            edge(F.col("idx") <= F.col("_lo")).alias("_l"), edge(F.col("idx") >= F.col("_hi")).alias("_r"),
-        )
-        # what lies past the look of a side could be closer than the best on the other: that side goes on first
-        more_l = (F.col("_lo") - LOOK >= F.col("_i0")) & F.coalesce(F.col("_l") < F.col("_c.d"), F.lit(True))
-        more_r = (F.col("_hi") + LOOK <= F.col("_i1")) & F.coalesce(F.col("_r") < F.col("_c.d"), F.lit(True))
-        best = cut_lineage(best.select(*by, "_prio", "_left", F.when(~(more_l | more_r), F.col("_c")).alias("_c"), more_l.alias("_ml"), more_r.alias("_mr")))
-        new = best.where("_c is not null").select(*by, "_prio", F.col("_c.idx").alias("idx"), F.col("_c._rv").alias("_rv"), F.col("_c._size").alias("_size"), F.col("_left").alias("_q"))
-        asked = new if held is None else held.unionByName(new)
-        asked = asked.groupBy(*by, "_prio", "idx", "_rv", "_size").agg(F.sum("_q").alias("_q"))
-        held = cut_lineage(_kept(asked, names).drop("_a"))
-        placed = held.groupBy(*by).agg(F.sum("_q").alias("_placed"))
-        # what was passed over is refused for good; a run that asked stays where it is, as it may still have room
-        moved = state.join(best.select(*by, F.col("_c.idx").alias("_to"), "_ml", "_mr"), by, "left").join(placed, by, "left")
-        was = F.col("_left") > 0
-        on = lambda c: F.coalesce(c, F.lit(False))
-        lo = F.when(on(F.col("_ml")), F.col("_lo") - LOOK).when(on(F.col("_to") <= F.col("_lo")), F.col("_to")).otherwise(F.col("_lo"))
-        hi = F.when(on(F.col("_mr")), F.col("_hi") + LOOK).when(on(F.col("_to") >= F.col("_hi")), F.col("_to")).otherwise(F.col("_hi"))
-        gone = was & F.col("_to").isNull() & ~on(F.col("_ml") | F.col("_mr"))
-        # a run with nothing left in reach stops asking; refusals are final, so it may shrink to what it has
-        k = F.when(gone, F.coalesce("_placed", F.lit(0))).otherwise(F.col("_k"))
-        state = cut_lineage(moved.select(*by, k.alias("_k"), "_i0", "_i1", lo.alias("_lo"), hi.alias("_hi"), "_prio", (k - F.coalesce("_placed", F.lit(0))).alias("_left")))
     if rounds is not None:
         rounds.append(n)
     out = [*keys, "treated", "reference", "treated_value", "reference_value"]
-    if held is None:
-        held = runs.limit(0).select(*names, F.col("_rv").alias("_v"), "idx", "_rv", "_size", F.lit(None).cast("long").alias("_q"), F.struct(F.lit(0).cast("long").alias("_supply"), F.col("_rv").alias("_v")).alias("_prio"))
+    held = state.groupBy(*by, "_supply", "idx").agg(F.sum("_q").alias("_q")).join(runs.select(*names, "idx", "_rv"), [*names, "idx"]).withColumn("_prio", prio)
     # units: a reference run gives its smallest ids to the first in order, a treated run's smallest ids take the closest
     earlier = Window.partitionBy(*names, "idx").orderBy("_prio").rowsBetween(Window.unboundedPreceding, -1)
     closer = Window.partitionBy(*by).orderBy(F.abs(F.col("_rv") - F.col("_v")), "_rv").rowsBetween(Window.unboundedPreceding, -1)

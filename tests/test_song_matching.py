@@ -156,6 +156,15 @@ def test_caliper_match_is_the_serial_one(spark, seed, step, monkeypatch):
     assert rows(got, "g", "treated", "reference") == want and rounds[0] > 1
 
 
+def test_scarce_references_take_few_rounds(spark):
+    rng = random.Random(9)
+    t, r = ([(i + at, round(rng.random() * 100, 6)) for i in range(n)] for n, at in ((400, 0), (90, 1000)))
+    df = lambda x: spark.createDataFrame(x, "id long, v double")
+    rounds = []
+    got = matching.caliper_match(df(t), df(r), "v", "id", caliper=30.0, rounds=rounds)
+    assert rows(got, "treated", "reference") == sorted(serial(t, r, 30.0)) and rounds[0] <= 3
+
+
 def test_one_value_for_all_and_nothing_in_reach(spark):
     df = lambda n, v, at=0: spark.createDataFrame([(at + i, v) for i in range(n)], "id long, v double")
     got = matching.caliper_match(df(300, 1.0), df(200, 1.0, 1000), "v", "id", caliper=0.5)
