@@ -97,11 +97,24 @@ def unpaired(rows: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFram
     return rows.join(pairs.select(*keys).distinct(), list(keys), "left_anti")
 
 
+#: rows that one task groups
+ROWS_PER_TASK = 1 << 20
+
+
+def dealt(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
+    """Rows dealt by key to as many tasks as the table asks for, so that grouping them afterwards takes bounded memory.
+
+    Nearly every key is its own group: adding up before the exchange would hold a whole split in memory for nothing.
+    """
+    n = -(-(df.count() if rows is None else rows) // ROWS_PER_TASK)
+    return df.repartition(max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Left join on keys that must be unique on both sides, and the keys that are not."""
 
     def repeated(d: DataFrame, side: str) -> DataFrame:
-        return d.groupBy(*keys).count().where(F.col("count") > 1).select(*keys, F.lit(side).alias("side"), "count")
+        return dealt(d.select(*keys), keys).groupBy(*keys).count().where(F.col("count") > 1).select(*keys, F.lit(side).alias("side"), "count")
 
     return left.join(right, list(keys), "left"), repeated(left, "left").unionByName(repeated(right, "right"))
 

@@ -72,7 +72,7 @@ def e7_keyed_merge(spark, sf):
 @query("SELECT l_orderkey, l_linenumber, 'left' AS side, count(*) AS count FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def e7_duplicate_keys(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    right = li.groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"))
+    right = J.dealt(li, ["l_orderkey", "l_linenumber"]).groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"))
     return J.one_to_one(li, right, ["l_orderkey", "l_linenumber"])[1]
 
 

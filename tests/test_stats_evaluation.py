@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strideframe.operators import curate as C
 from strideframe.operators import evaluation as E
 from strideframe.operators import geometry as G
+from strideframe.operators import joins as J
 from strideframe.operators import motion as M
 from strideframe.operators import stats as S
 from strideframe.operators.gates import rename_invariant_findings
@@ -195,3 +196,12 @@ def test_permutations_rank_only_units_near_the_border(spark, monkeypatch, sd):
     reached = sum(t2({u[0] for u in sorted(units, key=lambda u: digits(rep, u))[:100]}) >= want for rep in range(1, 41))
     got = S.hotelling_permutation(spark.createDataFrame(units, "unit long, grp boolean, x double, y double"), "grp", "x", "y", "unit", True, False, n_perm=40, seed=3).first()
     assert got.t2 == pytest.approx(want) and got.p == pytest.approx((reached + 1) / 41)
+
+
+def test_duplicate_keys_are_dealt_to_as_many_tasks_as_the_rows_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(J, "ROWS_PER_TASK", 10)
+    left = spark.createDataFrame([(i % 90, "a") for i in range(100)] + [(None, "a"), (None, "a"), (7, None)], "k long, s string")
+    right = left.distinct()
+    assert J.dealt(left, ["k", "s"]).rdd.getNumPartitions() == 11
+    got = J.one_to_one(left, right, ["k", "s"])[1].collect()
+    assert sorted((-1 if r.k is None else r.k, r.s, r.side, r["count"]) for r in got) == [(-1, "a", "left", 2)] + [(i, "a", "left", 2) for i in range(10)]
