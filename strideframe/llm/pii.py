@@ -9,10 +9,11 @@ threshold set for ``PRECISION`` on such candidates of its kind in held-out texts
 There are no labelled spans: a training candidate counts as personal if it overlaps a base span
 or stands in an assignment to a secret's name. The features hold neither the checks (digit
 sums, value ranges) nor that pattern, so that the trees learn formats and contexts. The trees are fitted on
-the candidates of at most ``TRAIN_DOCS`` documents; everything else covers all documents.
+the candidates of all documents but those held out for the thresholds (three in ten, by hash), and the thresholds
+are set on all of these; equal candidates are one row with a weight.
 
 Offsets are code points, ends exclusive. A null or empty text has no spans. Rows are judged one
-by one, so repeated rows get equal answers. A sample with one class only, or none, leaves the
+by one, so repeated rows get equal answers. Candidates of one class only, or none, leave the
 base spans alone.
 """
 
@@ -29,11 +30,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: bound of the training sample
-TRAIN_DOCS = 1500
+from strideframe.llm.store import written
+
 PRECISION = 0.95
 KINDS = ["email", "ip", "card", "phone", "number", "secret", "address"]
 BASE = 4
@@ -208,10 +209,25 @@ def calibrated(scores: np.ndarray, labels: np.ndarray, precision: float = PRECIS
     return float(scores[order][good[-1]]) if len(good) else 2.0
 
 
-def fit(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS) -> Trees:
-    """Trees fitted on the candidates of the ``train_docs`` texts with a digit or @ that come first by hash.
+def thresholds(held: DataFrame, precision: float = PRECISION) -> dict[int, float]:
+    """``calibrated`` for each kind of ``(kind, score, label)``, without a kind in one task.
 
-    Three in ten of them, by hash too, are held out for the threshold.
+    Equal scores are counted first. Running counts stay inside a stretch of scores and start from the totals of the stretches above it.
+    Kinds that never reach the precision are left out.
+    """
+    n = written(held.groupBy("kind", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("right")).withColumn("at", F.floor(F.col("score") * 1024)), "pii-scores")
+    above = Window.partitionBy("kind").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("kind", "at").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    totals = n.groupBy("kind", "at").agg(F.sum("n").alias("n"), F.sum("right").alias("right"))
+    totals = totals.select("kind", "at", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("n", "right")])
+    run = n.join(totals, ["kind", "at"]).select("kind", "score", *[(F.sum(c).over(upto) + F.col(f"{c}_above")).alias(c) for c in ("n", "right")])
+    return {int(r.kind): r.least for r in run.where(F.col("right") / F.col("n") >= precision).groupBy("kind").agg(F.min("score").alias("least")).collect()}
+
+
+def fit(docs: DataFrame, text: str = "text") -> Trees:
+    """Trees fitted on the candidates of all texts with a digit or @.
+
+    Three in ten of the texts, by hash, are held out for the thresholds.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,19 +243,21 @@ def fit(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS) -> Tr
                     held.append(out)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.float64()), pa.array(held, pa.bool_())], names=["x", "label", "held"])
 
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(0).to_pylist(), float).reshape(-1, FEATURES)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].astype(np.int64)), pa.array(trees.scores(x)), batch.column(1)], names=["kind", "score", "label"])
+
     t = docs.select(docs[text].alias("t")).where("t rlike '[0-9@]'")
-    sample = t.select("t", F.xxhash64("t").alias("h")).orderBy("h", "t").limit(train_docs).select("t")
-    found = sample.mapInArrow(rows, "x array<double>, label double, held boolean").toPandas()
-    fold = found[~found["held"]]
-    if fold["label"].nunique() < 2:
+    found = written(t.mapInArrow(rows, "x array<double>, label double, held boolean"), "pii-candidates")
+    # equal candidates are one row with a weight; in a fixed order, so that a run can be repeated
+    fold = written(found.where("not held").groupBy("x", "label").agg(F.count(F.lit(1)).cast("double").alias("weight")).sortWithinPartitions("x", "label"), "pii-training")
+    if fold.select("label").distinct().count() < 2:
         return Trees()
-    spark = docs.sparkSession
-    frame = spark.createDataFrame(fold[["x", "label"]], "x array<double>, label double").coalesce(1).select(array_to_vector("x").alias("features"), "label").cache()
-    model = GBTClassifier(maxIter=12, maxDepth=3, seed=1).fit(frame)
-    frame.unpersist()
-    trees, held = read_trees(model.toDebugString), found[found["held"]]
-    for kind, some in held.groupby(held["x"].str[0]):
-        trees.thresholds[int(kind)] = calibrated(trees.scores(np.stack(some["x"].to_list())), some["label"].to_numpy())
+    frame = fold.select(array_to_vector("x").alias("features"), "label", "weight")
+    model = GBTClassifier(maxIter=12, maxDepth=3, seed=1, weightCol="weight").fit(frame)
+    trees = read_trees(model.toDebugString)
+    trees.thresholds = thresholds(found.where("held").select("x", "label").mapInArrow(scored, "kind long, score double, label double"))
     return trees
 
 

@@ -78,6 +78,34 @@ def test_calibration_takes_whole_ties():
     assert pii.calibrated(np.zeros(0), np.zeros(0)) == 2.0
 
 
+def test_thresholds_of_all_held_candidates(spark):
+    draw = np.random.default_rng(2)
+    held = [(int(k), float(np.round(x, 3)), float(draw.random() < x * 1.05)) for k, x in zip(draw.integers(4, 7, 3000), draw.random(3000), strict=True)] + [(7, 0.5, 0.0)]
+    got = pii.thresholds(spark.createDataFrame(held, "kind long, score double, label double"), 0.9)
+    want = {k: pii.calibrated(*(np.array([h[i] for h in held if h[0] == k]) for i in (1, 2)), 0.9) for k in (4, 5, 6, 7)}
+    assert got == {k: x for k, x in want.items() if x < 2} and 7 not in got and got
+
+
+def test_trees_learn_from_every_document(spark):
+    # 1,700 texts with candidates of one class, and 60 of the other: a bounded sample may miss them
+    plain = [(i, f"order {10**9 + 7919 * i} of lot{i}abcdefgh") for i in range(1700)]
+    secret = [(5000 + i, f"token = \"{hashlib.md5(str(i).encode()).hexdigest()}\"") for i in range(60)]
+    seen = []
+    fold = lambda rows: [r for r in rows if hashlib.md5(r[1].encode()).digest()[0] % 10 >= 3]
+
+    class Spy(pii.GBTClassifier):
+        def fit(self, frame):
+            seen.append(frame.agg({"weight": "sum"}).first()[0])
+            return super().fit(frame)
+
+    real, pii.GBTClassifier = pii.GBTClassifier, Spy
+    try:
+        trees = pii.fit(docs(spark, plain + secret))
+    finally:
+        pii.GBTClassifier = real
+    assert seen == [sum(len(pii.candidates(t)) for _, t in fold(plain + secret))] and trees.trees
+
+
 @pytest.fixture(scope="module")
 def encoder():
     return pieces.Encoder(pieces.read_pieces())
