@@ -27,7 +27,6 @@ from strideframe.session import cut_lineage
 BLOCK = 1 << 14
 
 _UNB = Window.unboundedPreceding
-_END = Window.unboundedFollowing
 
 
 def block_of(order: str, size: int) -> Column:
@@ -39,7 +38,9 @@ def _before_block(keys: Sequence[str]) -> WindowSpec:
 
 
 def _after_block(keys: Sequence[str]) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy("_blk").rowsBetween(1, _END)
+    """The later blocks, seen from the end: a frame that runs to the end of a partition is built anew for
+    every row, which takes the square of the rows; the same frame in descending order only grows."""
+    return Window.partitionBy(*keys).orderBy(F.desc("_blk")).rowsBetween(_UNB, -1)
 
 
 def read_once(df: DataFrame) -> DataFrame:
@@ -161,7 +162,9 @@ def scan(
     b = read_once(df).withColumn("_blk", block_of(order, size)).select("*", *[c.alias(f"_sx{i}") for i, (_, c, _) in enumerate(jobs)])
     base = Window.partitionBy(*keys, "_blk").orderBy(order)
     upto, prior = base.rowsBetween(_UNB, 0), base.rowsBetween(_UNB, -1)
-    onward, later = base.rowsBetween(0, _END), base.rowsBetween(1, _END)
+    # in descending order, see _after_block
+    back = Window.partitionBy(*keys, "_blk").orderBy(F.desc(order))
+    onward, later = back.rowsBetween(_UNB, 0), back.rowsBetween(_UNB, -1)
     prev_blocks, next_blocks = _before_block(keys), _after_block(keys)
     aggs, edges, local = [], [], []
     for i, (_, _, kind) in enumerate(jobs):
@@ -181,8 +184,8 @@ def scan(
             local.append(F.last(x, ignorenulls=True).over(upto if kind == "last" else prior).alias(f"_sc{i}"))
         else:
             aggs.append(F.min_by(x, at).alias(f"_st{i}"))
-            edges.append(F.first(t, ignorenulls=True).over(next_blocks).alias(f"_sp{i}"))
-            local.append(F.first(x, ignorenulls=True).over(onward if kind == "next" else later).alias(f"_sc{i}"))
+            edges.append(F.last(t, ignorenulls=True).over(next_blocks).alias(f"_sp{i}"))
+            local.append(F.last(x, ignorenulls=True).over(onward if kind == "next" else later).alias(f"_sc{i}"))
     if bounds:
         whole = Window.partitionBy(*keys)
         aggs += [F.min(order).alias("_o0"), F.max(order).alias("_o1")]

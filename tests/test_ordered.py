@@ -43,6 +43,16 @@ def test_scan_matches_pandas(spark, size):
         np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), atol=1e-9, err_msg=c)
 
 
+def test_scan_ahead_builds_no_frame_anew(spark):
+    """A frame to the end of a partition costs the square of a block; the scans ahead run in descending order instead."""
+    n = 5000
+    d = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("f"), F.when(F.col("id") % 700 == 0, F.col("id")).alias("x"))
+    out = scan(d, ["k"], "f", next={"n": F.col("x")}, after={"a": F.col("x")}, size=2000)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+    up = lambda f: -(-f // 700) * 700 if f <= 4900 else None
+    assert sorted((r.f, r.n, r.a) for r in out.collect()) == [(f, up(f), up(f + 1)) for f in range(n)]
+
+
 def test_number_rows_is_dense_for_any_block(spark):
     pdf = signal(3)
     for block in (F.lit(0), F.floor(F.col("f") / 4), F.col("f")):
