@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -81,29 +82,45 @@ class Kernel:
         """State that a constant input of 1 leads to."""
         return np.linalg.solve(np.eye(self.order) - self.A, self.b)
 
-    def run(self, u: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Outputs from state x, and the state after them; stretches of rows are one matrix product."""
-        y = np.empty(len(u))
-        whole = len(u) // _STRIDE * _STRIDE
-        if whole:
-            powers = [np.eye(self.order)]
-            for _ in range(_STRIDE):
-                powers.append(self.A @ powers[-1])
-            seen = np.stack([p[0] for p in powers[:-1]])  # output of the state after k rows
-            into = np.stack([p @ self.b for p in powers[:-1]])  # state left by an input k rows ago
-            lag = np.subtract.outer(np.arange(_STRIDE), np.arange(_STRIDE))
-            answer = np.where(lag > 0, into[:, 0][np.maximum(lag - 1, 0)], 0.0) + self.d * np.eye(_STRIDE)
-            parts = u[:whole].reshape(-1, _STRIDE)
-            pushed = parts @ into[::-1]
-            states = np.empty((len(parts), self.order))
-            for k, push in enumerate(pushed):
-                states[k] = x
-                x = powers[-1] @ x + push
-            y[:whole] = (parts @ answer.T + states @ seen.T).ravel()
-        for k in range(whole, len(u)):
-            y[k] = x[0] + self.d * u[k]
-            x = self.A @ x + self.b * u[k]
-        return y, x
+    @cached_property
+    def stretch(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a stretch of rows: outputs by the state before it and by its inputs, the state after it by the same two."""
+        powers = [np.eye(self.order)]
+        for _ in range(_STRIDE):
+            powers.append(self.A @ powers[-1])
+        seen = np.stack([p[0] for p in powers[:-1]])  # output of the state after k rows
+        into = np.stack([p @ self.b for p in powers[:-1]])  # state left by an input k rows ago
+        lag = np.subtract.outer(np.arange(_STRIDE), np.arange(_STRIDE))
+        answer = np.where(lag > 0, into[:, 0][np.maximum(lag - 1, 0)], 0.0) + self.d * np.eye(_STRIDE)
+        return seen.T, answer.T, powers[-1].T, into[::-1]
+
+    def states_after(self, u: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """The state that each group ``u[start:stop]`` leads to from rest; all groups take their next stretch together."""
+        _, _, carry, pushed = self.stretch
+        x = np.zeros((len(starts), self.order))
+        at = stops - -(-(stops - starts) // _STRIDE) * _STRIDE  # zeros before the first row leave it at rest
+        live = np.flatnonzero(at < stops)
+        while len(live):
+            i = at[live, None] + np.arange(_STRIDE)
+            x[live] = x[live] @ carry + np.where(i >= starts[live, None], u[np.maximum(i, 0)], 0.0) @ pushed
+            at[live] += _STRIDE
+            live = live[at[live] < stops[live]]
+        return x
+
+    def outputs(self, u: np.ndarray, starts: np.ndarray, stops: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Outputs of the groups ``u[start:stop]``, each from its row of ``x``, in place of the inputs."""
+        seen, answer, carry, pushed = self.stretch
+        x, y, at = x.copy(), np.zeros(len(u)), starts.copy()
+        live = np.flatnonzero(at < stops)
+        while len(live):
+            i = at[live, None] + np.arange(_STRIDE)
+            own = i < stops[live, None]
+            part = np.where(own, u[np.minimum(i, len(u) - 1)], 0.0)
+            y[i[own]] = (part @ answer + x[live] @ seen)[own]
+            x[live] = x[live] @ carry + part @ pushed
+            at[live] += _STRIDE
+            live = live[at[live] < stops[live]]
+        return y
 
 
 Rows = dict[str, np.ndarray]
@@ -114,17 +131,31 @@ def by_group(df: DataFrame, by: Sequence[str], order: str, schema: T.StructType,
 
     ``run`` gives the columns of ``schema`` but for ``by``, which are filled in (shorter columns aren't stretched). A group must fit a task.
     """
+
+    def each(values: Rows, starts: np.ndarray, stops: np.ndarray) -> tuple[Rows, np.ndarray] | None:
+        parts = [run({c: v[a:b] for c, v in values.items()}) for a, b in zip(starts, stops, strict=True)]
+        counts = np.array([0 if p is None else len(next(iter(p.values()))) for p in parts])
+        made = [p for p in parts if p is not None]
+        return ({n: np.concatenate([p[n] for p in made]) for n in made[0]}, counts) if made else None
+
+    return by_groups(df, by, order, schema, each)
+
+
+def by_groups(
+    df: DataFrame, by: Sequence[str], order: str, schema: T.StructType, run: Callable[[Rows, np.ndarray, np.ndarray], tuple[Rows, np.ndarray] | None]
+) -> DataFrame:
+    """The same for many whole groups at once: ``run`` sees their columns one after the other with the first and the next
+    row of each group, and gives columns with the number of rows of each group."""
     names, columns = schema.fieldNames(), df.columns
 
     def groups(g: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame | None:
         values = {c: g[c].to_numpy() for c in columns}
-        parts = []
-        for a, b in zip(starts, np.append(starts[1:], len(g)), strict=True):
-            rows = run({c: v[a:b] for c, v in values.items()})
-            if rows is not None:
-                n = len(next(iter(rows.values())))
-                parts.append({**{k: np.repeat(values[k][a : a + 1], n) for k in by if k in names}, **rows})
-        return pd.DataFrame({n: np.concatenate([p[n] for p in parts]) for n in names}) if parts else None
+        made = run(values, starts, np.append(starts[1:], len(g)))
+        if made is None:
+            return None
+        rows, counts = made
+        rows = {**{k: np.repeat(values[k][starts], counts) for k in by if k in names}, **rows}
+        return pd.DataFrame({n: rows[n] for n in names})
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
@@ -149,7 +180,7 @@ def by_group(df: DataFrame, by: Sequence[str], order: str, schema: T.StructType,
 
 def _objects(rows: Sequence) -> np.ndarray:
     out = np.empty(len(rows), object)
-    out[:] = rows
+    out[:] = list(rows)
     return out
 
 
@@ -166,10 +197,11 @@ def _states(blocks: DataFrame, keys: Sequence[str], kernel: Kernel) -> DataFrame
     names = list(keys)
     fields = [f for f in blocks.schema.fields if f.name in names]
 
+    powers: dict[int, np.ndarray] = {}  # of the lengths that blocks have
+
     def compose(g: Rows) -> Rows:
         """The map from the group's start to each of its blocks, and last the whole group's (block -1)."""
         M, v, maps = np.eye(p), np.zeros(p), []
-        powers: dict[int, np.ndarray] = {}
         for n, end in zip(g["_len"].tolist(), g["_end"], strict=True):
             maps.append((M, v))
             if n not in powers:
@@ -204,23 +236,26 @@ def recursive_filter(df: DataFrame, keys: Sequence[str], order: str, value: str,
     by = [*names, "_blk"]
     fields = [f for f in df.schema.fields if f.name in names]
     b = df.select(*names, block_of(order, size).alias("_blk"), F.col(order).cast("long").alias(order), F.col(value).cast("double").alias("_u"))
-    blank = np.zeros(kernel.order)
 
-    def ends(g: Rows) -> Rows:
+    def ends(g: Rows, starts: np.ndarray, stops: np.ndarray) -> tuple[Rows, np.ndarray]:
         u = g["_u"]
-        return {"_len": np.array([len(u)]), "_first": u[:1], "_end": _objects([kernel.run(u, blank)[1]])}
+        return {"_len": stops - starts, "_first": u[starts], "_end": _objects(kernel.states_after(u, starts, stops))}, np.ones(len(starts), int)
 
-    def filtered(g: Rows) -> Rows:
+    def filtered(g: Rows, starts: np.ndarray, stops: np.ndarray) -> tuple[Rows, np.ndarray]:
         """The first row of a block brings its state."""
-        return {order: g[order][1:], name: kernel.run(g["_u"][1:], np.asarray(g["_x"][0], float))[0]}
+        x = np.stack([np.asarray(x, float) for x in g["_x"][starts]])
+        y = kernel.outputs(g["_u"], starts + 1, stops, x)
+        own = np.ones(len(y), bool)
+        own[starts] = False
+        return {order: g[order][own].astype("int64"), name: y[own]}, stops - starts - 1
 
     block = T.StructField("_blk", T.LongType())
-    summary = by_group(b, by, order, T.StructType([*fields, block, *_typed(("_len", T.LongType()), ("_first", T.DoubleType()), ("_end", _DOUBLES))]), ends)
+    summary = by_groups(b, by, order, T.StructType([*fields, block, *_typed(("_len", T.LongType()), ("_first", T.DoubleType()), ("_end", _DOUBLES))]), ends)
     states = _states(cut_lineage(summary), names, kernel)
     # nulls sort first
     rows = states.select(*by, F.lit(None).cast("long").alias(order), F.lit(None).cast("double").alias("_u"), "_x").unionByName(b.withColumn("_x", F.lit(None).cast("array<double>")))
     out = T.StructType([*fields, block, *_typed((order, T.LongType()), (name, T.DoubleType()))])
-    return by_group(rows, by, order, out, filtered).drop("_blk")
+    return by_groups(rows, by, order, out, filtered).drop("_blk")
 
 
 def zero_phase(df: DataFrame, keys: Sequence[str], order: str, value: str, b: Sequence[float], a: Sequence[float], *, name: str, size: int = BLOCK) -> DataFrame:

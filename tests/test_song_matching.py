@@ -265,3 +265,24 @@ def test_votes_abstain_and_sources_contradict(spark):
     said = [(1, "human", 0), (1, "auto", 0), (2, "human", 1), (2, "auto", 0), (3, "auto", None), (3, "other", 0)]
     got = motion.resolve_male(spark.createDataFrame(said, "b long, s string, slot int"), ["b"], "s", "slot", order=["human", "auto"])
     assert collected(got, "b", "male", "female", "authority", "conflict") == [(1, 0, 1, "human", False), (2, None, None, "human", True), (3, 1, 0, None, False)]
+
+
+def test_filter_takes_many_groups_at_once():
+    """Outputs and last states of groups of unequal lengths, against the recursion row by row."""
+    k = recursive.Kernel.of(*recursive.butterworth(2, (200.0, 380.0), 800.0))
+    rng = np.random.default_rng(3)
+    lengths = np.array([1, 0, 63, 64, 65, 200, 2])
+    stops = np.cumsum(lengths)
+    starts, u, x0 = stops - lengths, rng.normal(size=stops[-1]), rng.normal(size=(len(lengths), k.order))
+
+    def plain(a, b, x):
+        y = []
+        for v in u[a:b]:
+            y.append(x[0] + k.d * v)
+            x = k.A @ x + k.b * v
+        return y, x
+
+    after, y = k.states_after(u, starts, stops), k.outputs(u, starts, stops, x0)
+    for g, (a, b) in enumerate(zip(starts, stops, strict=True)):
+        np.testing.assert_allclose(after[g], plain(a, b, np.zeros(k.order))[1], atol=1e-9)
+        np.testing.assert_allclose(y[a:b], plain(a, b, x0[g])[0], atol=1e-9)
