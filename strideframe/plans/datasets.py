@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
@@ -33,6 +34,15 @@ def a11_chunked_clips(spark, sf):
     return c.select("track", "chunk", "clip_length", "n", F.posexplode("v").alias("pos", "x")).select("track", "chunk", "clip_length", "n", "pos", F.round(F.col("x").cast("double"), 3).alias("v"))
 
 
+def _ranges(spark, sf, parts: int) -> tuple[str, str, list[Callable[[], None]]]:
+    """A new folder of the shared place, its folder of files to come, and what writes the tracks there, one frame range a call."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    t = tracks(spark, sf).select(F.col("track").cast("string").alias("recording"), F.lit(0).alias("fly"), "frame", F.when(F.col("conf") >= 0.7, F.col("v")).alias("pos"))
+    t = cut_lineage(t.withColumn("_p", F.floor(F.col("frame") / 16)))
+    ranges = [t.where(F.col("_p") >= p if p == parts - 1 else F.col("_p") == p).drop("_p") for p in range(parts)]
+    return folder, f"{folder}/in", [lambda d=d: d.write.mode("append").parquet(f"{folder}/in") for d in ranges]
+
+
 def _arriving(spark, sf, parts: int) -> tuple[str, str]:
     """The tracks as files of one frame range each, in a new folder of the shared place, and the folder."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -50,16 +60,18 @@ def _arriving(spark, sf, parts: int) -> tuple[str, str]:
 SELECT CAST(a.track AS VARCHAR) AS recording, 0 AS fly, a.frame, age, CASE WHEN age < 4 THEN g.v END AS carried, CASE WHEN age = 0 THEN 'track' WHEN age < 4 THEN 'reused' END AS source FROM a LEFT JOIN t g ON g.track = a.track AND g.frame = a.lf""")
 def s2_live_track_state(spark, sf):
     """A replay: one batch for each range of frames, state and timers between them."""
-    folder, source = _arriving(spark, sf, 5)
+    folder, source, arrivals = _ranges(spark, sf, 5)
     schema = "recording string, fly int, frame long, pos double"
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
     spark.conf.set(provider, STORE)
     try:
-        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-        out = live_track_state(s, fps=800.0, max_reuse=4, keep=12, lateness="100 milliseconds")
-        q = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start()
-        q.awaitTermination()
+        for arrive in arrivals:
+            arrive()
+            s = spark.readStream.schema(schema).parquet(source)
+            out = live_track_state(s, fps=800.0, max_reuse=4, keep=12, lateness="100 milliseconds")
+            q = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start()
+            q.awaitTermination()
     finally:
         spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
     return spark.read.parquet(f"{folder}/out")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,27 +34,36 @@ class TrackState(StatefulProcessor):
         self.last = handle.getValueState("last", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        g = pd.concat(list(rows)).sort_values("frame")
-        frame0, pos0 = self.last.get() if self.last.exists() else (None, None)
+        parts = list(rows)
+        frame, pos = (np.concatenate([p[c].to_numpy() for p in parts]) for c in ("frame", "pos"))
+        order = np.argsort(frame, kind="stable")
+        frame, pos = frame[order], pos[order].astype(float)
+        last = self.last.get()
+        frame0, pos0 = (np.nan, np.nan) if last is None else last
         # The state before each row is the last good row before it.
-        good = g["pos"].notna()
-        at = g["frame"].where(good).ffill().shift(1)
-        pos = g["pos"].where(good).ffill().shift(1)
-        if frame0 is not None:
-            at, pos = at.fillna(frame0), pos.fillna(pos0)
-        age = g["frame"] - at - 1
-        age = age.where(age < self.keep)
-        live = age < self.max_reuse
-        out = pd.DataFrame({"recording": key[0], "fly": key[1], "frame": g["frame"].astype("int64"), "age": age.astype("Int64"), "carried": pos.where(live), "source": None})
-        out.loc[age == 0, "source"] = "track"
-        out.loc[live & (age > 0), "source"] = "reused"
+        good = ~np.isnan(pos)
+        before = np.maximum.accumulate(np.where(good, np.arange(len(pos)), -1))
+        before = np.concatenate([[-1], before[:-1]])
+        at, carried = np.where(before >= 0, frame[before], frame0), np.where(before >= 0, pos[before], pos0)
+        age = frame - at - 1
+        known = age < self.keep
+        live = known & (age < self.max_reuse)
+        source = np.full(len(pos), None, object)
+        source[live] = np.where(age[live] > 0, "reused", "track")
+        ages = pd.arrays.IntegerArray(np.where(known, age, 0).astype("int64"), ~known)
         if good.any():
-            tail = g[good].iloc[-1]
-            self.last.update((int(tail["frame"]), float(tail["pos"])))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int((tail["frame"] + self.keep + 1) / self.fps * 1000) + 1)
-        yield out
+            i = np.flatnonzero(good)[-1]
+            self.last.update((int(frame[i]), float(pos[i])))
+            if last is not None:
+                self.handle.deleteTimer(self._timer(frame0))
+            self.handle.registerTimer(self._timer(frame[i]))
+        yield pd.DataFrame(
+            {"recording": key[0], "fly": key[1], "frame": frame.astype("int64"), "age": ages, "carried": np.where(live, carried, np.nan), "source": source}
+        )
+
+    def _timer(self, frame) -> int:
+        """When the state left by a frame is forgotten; an animal has no other timer."""
+        return int((int(frame) + self.keep + 1) / self.fps * 1000) + 1
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()

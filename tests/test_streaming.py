@@ -89,3 +89,43 @@ def test_a_long_clip_spans_chunks(spark):
     assert got == {("a", k): (25, min(8, 25 - 8 * k), [float(i) for i in range(8 * k, min(8 * k + 8, 25))]) for k in range(4)} | {("b", 0): (4, 4, [1.0, None, 1.0, 1.0])}
     p = {(r.clip, r.chunk): (r.n, len(r.v), sum(x or 0 for x in r.v)) for r in sinks.padded_chunks(c, ["clip"], ["v"], chunk=8).collect()}
     assert p["b", 0] == (4, 8, 3.0) and p["b", 2] == (0, 8, 0.0) and p["b", 3] == (0, 1, 0.0) and p["a", 3] == (1, 1, 24.0) and len(p) == 8
+
+
+def test_track_state_asks_the_store_little():
+    """One read, one update and one timer exchanged for an animal and a batch, and the state before each row."""
+    import pandas as pd
+
+    from strideframe.streaming.track_state import TrackState
+
+    calls, kept, timers = [], {}, set()
+
+    class Store:
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return kept.get("v")
+
+        def update(self, v):
+            calls.append("update")
+            kept["v"] = v
+
+        def deleteTimer(self, at):
+            calls.append("delete")
+            timers.remove(at)
+
+        def registerTimer(self, at):
+            calls.append("register")
+            timers.add(at)
+
+    t = TrackState(800.0, 2, 4)
+    t.init(Store())
+    batch = lambda f, p: [pd.DataFrame({"frame": f, "pos": p})]
+    (a,) = t.handleInputRows(("r", 0), iter(batch([2, 0, 1], [None, 5.0, 6.0])), None)
+    (b,) = t.handleInputRows(("r", 0), iter(batch([3, 4, 5, 6, 7], [None, None, None, 9.0, None])), None)
+    plain = lambda d, c: [None if pd.isna(v) else v for v in d[c]]
+    assert plain(a, "age") == [None, 0, 0] and plain(a, "carried") == [None, 5.0, 6.0] and plain(a, "source") == [None, "track", "track"]
+    assert plain(b, "age") == [1, 2, 3, None, 0] and plain(b, "carried") == [6.0, None, None, None, 9.0] and plain(b, "source") == ["reused", None, None, None, "track"]
+    assert calls == ["get", "update", "register", "get", "update", "delete", "register"]
+    assert kept["v"] == (6, 9.0) and len(timers) == 1
