@@ -59,6 +59,14 @@ def distinct_values(df: DataFrame, keys: Sequence[str], value: str, weight: Colu
 def rank_values(distinct: DataFrame, keys: Sequence[str], rows: int = ROWS_PER_RANGE) -> tuple[DataFrame, DataFrame]:
     """Ranks of collapsed values: rows with ``_lo``/``_hi`` (first and one past last 0-based rank),
     ``_n`` (group size) and ``_rng``; and the (keys, ``_rng``) table of occupied ranges."""
+    # Groups that fit a task are ranked whole; a sketch of the column pays off for larger ones only.
+    most = distinct.groupBy(*keys).count().agg(F.max("count")).head()[0] or 0
+    if most <= rows:
+        at = Window.partitionBy(*keys)
+        ranked = distinct.select(
+            "*", F.lit(0.0).alias("_rng"), F.sum("_cnt").over(at.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)).alias("_hi"), F.sum("_cnt").over(at).alias("_n")
+        ).withColumn("_lo", F.col("_hi") - F.col("_cnt"))
+        return ranked, distinct.select(*keys).distinct().withColumn("_rng", F.lit(0.0))
     binned = balanced_blocks(distinct, "_v", "_rng", rows=rows)
     local = Window.partitionBy(*keys, "_rng").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
@@ -113,6 +121,11 @@ def exact_quantiles(
     return out if keys else out.drop("_all")
 
 
+def quantiles_of_counts(distinct: DataFrame, keys: Sequence[str], probs: Mapping[str, float], *, n: str | None = None, rows: int = ROWS_PER_RANGE) -> DataFrame:
+    """The same of values that :func:`distinct_values` has collapsed by ``keys`` (one key at least)."""
+    return _pick(rank_values(distinct, keys, rows)[0], keys, probs, n)
+
+
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", **kw) -> DataFrame:
     return exact_quantiles(df, keys, value, {name: 0.5}, **kw)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.operators.geometry import small_table
-from strideframe.operators.quantiles import attach, exact_quantiles, median_and_mad
+from strideframe.operators.quantiles import attach, distinct_values, exact_quantiles, median_and_mad, quantiles_of_counts
 from strideframe.session import cut_lineage
 
 # One world unit in mm and the plausible body length range in mm.
@@ -43,9 +43,9 @@ def scale_summary(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def robust_scale(samples: DataFrame, fly: Sequence[str], bout: str, value: str, *, mad_k: float = 3.0) -> DataFrame:
     """Pooled median scale per animal after rejecting outlier bouts (never all of them)."""
-    s = cut_lineage(samples.where(F.col(value) > 0).select(*fly, bout, value))
-    per = cut_lineage(exact_quantiles(s, [*fly, bout], value, {"_bm": 0.5}, n="_n"))
-    pooled = exact_quantiles(s, fly, value, {"_pooled": 0.5})
+    s = distinct_values(samples.where(F.col(value) > 0), [*fly, bout], value)
+    per = cut_lineage(quantiles_of_counts(s, [*fly, bout], {"_bm": 0.5}, n="_n"))
+    pooled = exact_quantiles(s, fly, "_v", {"_pooled": 0.5}, weight=F.col("_cnt"))
     meds = median_and_mad(per, fly, "_bm", med="_mm", mad="_mad", n="_nb").join(exact_quantiles(per, fly, "_bm", {"_p10": 0.1, "_p90": 0.9}), list(fly))
     stats = per.groupBy(*fly).agg(F.stddev_pop("_bm").alias("_sd"), F.avg("_bm").alias("_avg"), F.sum("_n").alias("n_samples"))
     ref = cut_lineage(meds.join(pooled, list(fly)).join(stats, list(fly)))
@@ -53,7 +53,7 @@ def robust_scale(samples: DataFrame, fly: Sequence[str], bout: str, value: str,
     flagged = attach(per, ref.select(*fly, "_mad", "_pooled"), fly).withColumn("_out", out)
     tally = flagged.groupBy(*fly).agg(F.count_if("_out").alias("_k"))
     kept = cut_lineage(attach(flagged, tally.join(ref.select(*fly, "_nb"), list(fly)), fly).withColumn("_keep", ~F.col("_out") | (F.col("_k") == F.col("_nb"))))
-    final = exact_quantiles(s.join(kept.where("_keep").select(*fly, bout), [*fly, bout], "left_semi"), fly, value, {"scale": 0.5})
+    final = exact_quantiles(s.join(kept.where("_keep").select(*fly, bout), [*fly, bout], "left_semi"), fly, "_v", {"scale": 0.5}, weight=F.col("_cnt"))
     many = F.col("_nb") > 1
     return (
         final.join(ref, list(fly))

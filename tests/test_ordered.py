@@ -164,3 +164,22 @@ def test_attach_keeps_every_row(spark):
     pdf = signal(23)
     d = attach(load(spark, pdf), spark.createDataFrame([(3, "x"), (4, "y")], "k long, s string"), ["k"])
     assert d.count() == len(pdf) and d.where(F.col("s").isNotNull()).count() == 97
+
+
+def test_groups_that_fit_a_task_need_no_sketch(spark, monkeypatch):
+    """Many small groups in a table of more rows than a range holds are ranked whole."""
+    from strideframe.operators import quantiles
+
+    d = spark.range(600).select((F.col("id") % 20).alias("k"), (F.col("id") * 37 % 101).cast("double").alias("v"))
+    pdf = d.toPandas()
+
+    def refuse(*a, **kw):
+        raise AssertionError("split points asked for")
+
+    monkeypatch.setattr(quantiles, "value_range", refuse)
+    got = {r.k: (r.q, r.n) for r in exact_quantiles(d, ["k"], "v", {"q": 0.3}, n="n", rows=50).collect()}
+    assert got.keys() == set(pdf.k)
+    for k, g in pdf.groupby("k"):
+        np.testing.assert_allclose(got[k], (np.quantile(g.v, 0.3), len(g)))
+    with pytest.raises(AssertionError):
+        exact_quantiles(d, ["k"], "v", {"q": 0.3}, rows=5)
