@@ -150,11 +150,15 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "lef
 
     Rows are salted by a hash of their values and the statistics copied to every salt, so a
     group with a large share of all rows is joined by many tasks.  Statistics without keys
-    are a single row, which is safe to broadcast.
+    are a single row, which is safe to broadcast.  The copies come from a join with the salts:
+    Spark counts the rows that a join adds but not those of an ``explode``, and would broadcast
+    through the driver what is ``SALTS`` times as large as it takes it for.
     """
     if not keys:
         return df.crossJoin(F.broadcast(stats))
     plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "array", "struct", "variant")]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
-    copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("byte"))
+    # one byte a salt, so that the estimate is SALTS times that of the statistics
+    salts = df.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(f"({i}Y)" for i in range(SALTS)) + " AS t(_salt)")
+    copies = stats.crossJoin(F.broadcast(salts))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

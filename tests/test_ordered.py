@@ -183,3 +183,18 @@ def test_groups_that_fit_a_task_need_no_sketch(spark, monkeypatch):
         np.testing.assert_allclose(got[k], (np.quantile(g.v, 0.3), len(g)))
     with pytest.raises(AssertionError):
         exact_quantiles(d, ["k"], "v", {"q": 0.3}, rows=5)
+
+
+@pytest.mark.parametrize(("keys", "broadcast"), [(3000, False), (100, True)])
+def test_attach_counts_the_copies_of_statistics(spark, keys, broadcast):
+    """72 KB of statistics make 2.3 MB of copies, which a limit of 1 MB must keep from the driver."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+    try:
+        d = spark.range(keys * 20).select((F.col("id") % keys).alias("k"), "id")
+        j = attach(d, d.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"])
+        assert {r.n for r in j.collect()} == {20} and j.count() == keys * 20
+        final = j._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert ("BroadcastHashJoin" in final) == broadcast, final
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
