@@ -17,12 +17,11 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strideframe.operators.ordered import BLOCK, block_of, halo_rows
-from strideframe.operators.quantiles import attach
+from strideframe.operators.ordered import BLOCK, block_of, halo_rows, read_once
 from strideframe.session import cut_lineage
 
 #: blocks whose maps one task joins up
@@ -261,19 +260,24 @@ def recursive_filter(df: DataFrame, keys: Sequence[str], order: str, value: str,
 def zero_phase(df: DataFrame, keys: Sequence[str], order: str, value: str, b: Sequence[float], a: Sequence[float], *, name: str, size: int = BLOCK) -> DataFrame:
     """Filter forward and backward; both ends are first continued by their point reflection.
 
-    Adds ``name``. The reflection takes three times the filter's length, or what the track has.
+    Adds ``name``. The reflection takes three times the filter's length, or what the track has. A track's
+    two ends reach its rows as one row a block.
     """
     kernel = Kernel.of(b, a)
     reach = 3 * max(len(a), len(b))
     names = list(keys)
-    v, o = F.col(value).cast("double"), F.col(order)
-    ends = df.groupBy(*names).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.min_by(v, o).alias("_v0"), F.max_by(v, o).alias("_v1"))
-    d = attach(df.select(*names, order, v.alias("_u")), ends, names)
-    start, stop = (o - F.col("_lo")).between(1, reach), (F.col("_hi") - o).between(1, reach)
-    own = d.select(*names, order, "_u")
-    head = d.where(start).select(*names, (2 * F.col("_lo") - o).alias(order), (2 * F.col("_v0") - F.col("_u")).alias("_u"))
-    tail = d.where(stop).select(*names, (2 * F.col("_hi") - o).alias(order), (2 * F.col("_v1") - F.col("_u")).alias("_u"))
-    padded = cut_lineage(own.unionByName(head).unionByName(tail))
+    by = [*names, "_blk"]
+    df = read_once(df)
+    o, u = F.col(order), F.col("_u")
+    d = df.select(*names, block_of(order, size).alias("_blk"), o.cast("long").alias(order), F.col(value).cast("double").alias("_u"))
+    blocks = d.groupBy(*by).agg(F.min(order).alias("_a"), F.max(order).alias("_z"), F.min_by(u, o).alias("_ua"), F.max_by(u, o).alias("_uz"))
+    track = Window.partitionBy(*names)
+    whole = {"_lo": F.min("_a"), "_hi": F.max("_z"), "_v0": F.min_by("_ua", "_a"), "_v1": F.max_by("_uz", "_z")}
+    d = d.join(blocks.select(*by, *[c.over(track).alias(n) for n, c in whole.items()]), by, "left")
+    point = lambda at, x: F.struct(at.alias(order), x.alias("_u"))
+    head = F.when((o - F.col("_lo")).between(1, reach), point(2 * F.col("_lo") - o, 2 * F.col("_v0") - u))
+    tail = F.when((F.col("_hi") - o).between(1, reach), point(2 * F.col("_hi") - o, 2 * F.col("_v1") - u))
+    padded = cut_lineage(d.select(*names, F.inline(F.array_compact(F.array(point(o, u), head, tail)))))
     there = cut_lineage(recursive_filter(padded, names, order, "_u", kernel, name="_f", size=size).withColumn(order, -o))
     back = recursive_filter(there, names, order, "_f", kernel, name=name, size=size).withColumn(order, -o)
     return df.join(back, [*names, order])

@@ -286,3 +286,19 @@ def test_filter_takes_many_groups_at_once():
     for g, (a, b) in enumerate(zip(starts, stops, strict=True)):
         np.testing.assert_allclose(after[g], plain(a, b, np.zeros(k.order))[1], atol=1e-9)
         np.testing.assert_allclose(y[a:b], plain(a, b, x0[g])[0], atol=1e-9)
+
+
+def test_zero_phase_reads_its_rows_twice(spark, monkeypatch):
+    """Once for the rows, once for the ends of their blocks: of a chain's second filter, too, whose input is a join."""
+    cut, plans = recursive.cut_lineage, []
+    monkeypatch.setattr(recursive, "cut_lineage", lambda d: plans.append(d._jdf.queryExecution().analyzed()) or cut(d))
+    b, a = recursive.butterworth(2, 60.0, 800.0)
+    rng = np.random.default_rng(5)
+    data = {k: rng.normal(size=n) for k, n in ((1, 30), (2, 5))}
+    first = recursive.zero_phase(series(spark, data), ["k"], "f", "v", b, a, name="y", size=8)
+    n = len(plans)
+    second = recursive.zero_phase(first, ["k"], "f", "y", b, a, name="z", size=8)
+    assert [plans[i].collectLeaves().size() for i in (0, n)] == [2, 2]
+    for k, v in data.items():
+        got = [r.z for r in second.where(F.col("k") == k).orderBy("f").collect()]
+        assert np.allclose(got, forward_backward(b, a, forward_backward(b, a, v)), atol=1e-7)
