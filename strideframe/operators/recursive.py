@@ -190,8 +190,8 @@ def _typed(*fields: tuple[str, T.DataType]) -> list[T.StructField]:
     return [T.StructField(n, t) for n, t in fields]
 
 
-def _states(blocks: DataFrame, keys: Sequence[str], kernel: Kernel) -> DataFrame:
-    """(keys, ``_blk``, ``_x``): the state before each block, from (keys, ``_blk``, ``_len``, ``_first``, ``_end``)."""
+def _states(blocks: DataFrame, keys: Sequence[str], kernel: Kernel, series: int) -> DataFrame:
+    """(keys, ``_blk``, ``_x``): the states of all series before each block, from (keys, ``_blk``, ``_len``, ``_first``, ``_end``)."""
     p, rest = kernel.order, kernel.rest()
     names = list(keys)
     fields = [f for f in blocks.schema.fields if f.name in names]
@@ -200,86 +200,100 @@ def _states(blocks: DataFrame, keys: Sequence[str], kernel: Kernel) -> DataFrame
 
     def compose(g: Rows) -> Rows:
         """The map from the group's start to each of its blocks, and last the whole group's (block -1)."""
-        M, v, maps = np.eye(p), np.zeros(p), []
+        M, v, maps = np.eye(p), np.zeros((series, p)), []
         for n, end in zip(g["_len"].tolist(), g["_end"], strict=True):
             maps.append((M, v))
             if n not in powers:
                 powers[n] = np.linalg.matrix_power(kernel.A, n)
-            M, v = powers[n] @ M, powers[n] @ v + np.asarray(end)
+            M, v = powers[n] @ M, v @ powers[n].T + np.asarray(end).reshape(series, p)
         maps.append((M, v))
         return {
-            "_blk": np.append(g["_blk"], -1), "_last": np.arange(len(maps)) == len(maps) - 1, "_map": _objects([m.ravel() for m, _ in maps]), "_add": _objects([x for _, x in maps]),
-            "_first": np.full(len(maps), g["_first"][0]),
+            "_blk": np.append(g["_blk"], -1), "_last": np.arange(len(maps)) == len(maps) - 1, "_map": _objects([m.ravel() for m, _ in maps]), "_add": _objects([x.ravel() for _, x in maps]),
+            "_first": _objects([g["_first"][0]] * len(maps)),
         }
 
     def follow(g: Rows) -> Rows:
-        x, rows = rest * float(g["_first"][0]), []
+        x, rows = np.outer(g["_first"][0], rest), []
         for M, v in zip(g["_map"], g["_add"], strict=True):
-            rows.append(x)
-            x = np.asarray(M).reshape(p, p) @ x + np.asarray(v)
+            rows.append(x.ravel())
+            x = x @ np.asarray(M).reshape(p, p).T + np.asarray(v).reshape(series, p)
         return {"_grp": g["_grp"], "_x0": _objects(rows)}
 
     group = T.StructField("_grp", T.LongType())
     maps = blocks.withColumn("_grp", F.floor(F.col("_blk") / GROUP))
-    out = _typed(("_blk", T.LongType()), ("_last", T.BooleanType()), ("_map", _DOUBLES), ("_add", _DOUBLES), ("_first", T.DoubleType()))
+    out = _typed(("_blk", T.LongType()), ("_last", T.BooleanType()), ("_map", _DOUBLES), ("_add", _DOUBLES), ("_first", _DOUBLES))
     maps = cut_lineage(by_group(maps, [*names, "_grp"], "_blk", T.StructType([*fields, group, *out]), compose))
     heads = by_group(maps.where("_last"), names, "_grp", T.StructType([*fields, group, T.StructField("_x0", _DOUBLES)]), follow)
     at = maps.where("not _last").join(heads, [*names, "_grp"])
-    row = lambda i: F.aggregate(F.zip_with(F.slice("_map", i * p + 1, p), "_x0", lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t) + F.col("_add")[i]
-    return at.select(*names, "_blk", F.array(*[row(i) for i in range(p)]).alias("_x"))
+    row = lambda k, i: F.aggregate(F.zip_with(F.slice("_map", i * p + 1, p), F.slice("_x0", k * p + 1, p), lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t) + F.col("_add")[k * p + i]
+    return at.select(*names, "_blk", F.array(*[row(k, i) for k in range(series) for i in range(p)]).alias("_x"))
 
 
-def recursive_filter(df: DataFrame, keys: Sequence[str], order: str, value: str, kernel: Kernel, *, name: str, size: int = BLOCK) -> DataFrame:
-    """(keys, order, ``name``): the filtered series; each key starts as if its first value had always been there."""
-    names = list(keys)
-    by = [*names, "_blk"]
+def _listed(x: str | Sequence[str]) -> list[str]:
+    return [x] if isinstance(x, str) else list(x)
+
+
+def recursive_filter(
+    df: DataFrame, keys: Sequence[str], order: str, value: str | Sequence[str], kernel: Kernel, *, name: str | Sequence[str], size: int = BLOCK
+) -> DataFrame:
+    """(keys, order, ``name``): the filtered series; each key starts as if its first value had always been there.
+
+    Several series of the same rows, with a name each, pass in one go.
+    """
+    names, values, results = list(keys), _listed(value), _listed(name)
+    by, p = [*names, "_blk"], kernel.order
+    us = [f"_u{k}" for k in range(len(values))]
     fields = [f for f in df.schema.fields if f.name in names]
-    b = df.select(*names, block_of(order, size).alias("_blk"), F.col(order).cast("long").alias(order), F.col(value).cast("double").alias("_u"))
+    b = df.select(*names, block_of(order, size).alias("_blk"), F.col(order).cast("long").alias(order), *[F.col(v).cast("double").alias(u) for v, u in zip(values, us, strict=True)])
 
     def ends(g: Rows, starts: np.ndarray, stops: np.ndarray) -> tuple[Rows, np.ndarray]:
-        u = g["_u"]
-        return {"_len": stops - starts, "_first": u[starts], "_end": _objects(kernel.states_after(u, starts, stops))}, np.ones(len(starts), int)
+        after = np.concatenate([kernel.states_after(g[u], starts, stops) for u in us], 1)
+        return {"_len": stops - starts, "_first": _objects(np.stack([g[u][starts] for u in us], 1)), "_end": _objects(after)}, np.ones(len(starts), int)
 
     def filtered(g: Rows, starts: np.ndarray, stops: np.ndarray) -> tuple[Rows, np.ndarray]:
-        """The first row of a block brings its state."""
+        """The first row of a block brings its states."""
         x = np.stack([np.asarray(x, float) for x in g["_x"][starts]])
-        y = kernel.outputs(g["_u"], starts + 1, stops, x)
-        own = np.ones(len(y), bool)
+        own = np.ones(len(g[order]), bool)
         own[starts] = False
-        return {order: g[order][own].astype("int64"), name: y[own]}, stops - starts - 1
+        made = {n: kernel.outputs(g[u], starts + 1, stops, x[:, k * p : (k + 1) * p])[own] for k, (n, u) in enumerate(zip(results, us, strict=True))}
+        return {order: g[order][own].astype("int64"), **made}, stops - starts - 1
 
     block = T.StructField("_blk", T.LongType())
-    summary = by_groups(b, by, order, T.StructType([*fields, block, *_typed(("_len", T.LongType()), ("_first", T.DoubleType()), ("_end", _DOUBLES))]), ends)
-    states = _states(cut_lineage(summary), names, kernel)
+    summary = by_groups(b, by, order, T.StructType([*fields, block, *_typed(("_len", T.LongType()), ("_first", _DOUBLES), ("_end", _DOUBLES))]), ends)
+    states = _states(cut_lineage(summary), names, kernel, len(values))
     # nulls sort first
-    rows = states.select(*by, F.lit(None).cast("long").alias(order), F.lit(None).cast("double").alias("_u"), "_x").unionByName(b.withColumn("_x", F.lit(None).cast("array<double>")))
-    out = T.StructType([*fields, block, *_typed((order, T.LongType()), (name, T.DoubleType()))])
+    empty = [F.lit(None).cast("long").alias(order), *[F.lit(None).cast("double").alias(u) for u in us]]
+    rows = states.select(*by, *empty, "_x").unionByName(b.withColumn("_x", F.lit(None).cast("array<double>")))
+    out = T.StructType([*fields, block, *_typed((order, T.LongType()), *[(n, T.DoubleType()) for n in results])])
     return by_groups(rows, by, order, out, filtered).drop("_blk")
 
 
-def zero_phase(df: DataFrame, keys: Sequence[str], order: str, value: str, b: Sequence[float], a: Sequence[float], *, name: str, size: int = BLOCK) -> DataFrame:
+def zero_phase(
+    df: DataFrame, keys: Sequence[str], order: str, value: str | Sequence[str], b: Sequence[float], a: Sequence[float], *, name: str | Sequence[str], size: int = BLOCK
+) -> DataFrame:
     """Filter forward and backward; both ends are first continued by their point reflection.
 
-    Adds ``name``. The reflection takes three times the filter's length, or what the track has. A track's
+    Adds ``name`` (one for each series). The reflection takes three times the filter's length, or what the track has. A track's
     two ends reach its rows as one row a block.
     """
     kernel = Kernel.of(b, a)
     reach = 3 * max(len(a), len(b))
-    names = list(keys)
-    by = [*names, "_blk"]
+    names, values = list(keys), _listed(value)
+    by, us = [*names, "_blk"], [f"_u{k}" for k in range(len(values))]
     df = read_once(df)
-    o, u = F.col(order), F.col("_u")
-    d = df.select(*names, block_of(order, size).alias("_blk"), o.cast("long").alias(order), F.col(value).cast("double").alias("_u"))
-    blocks = d.groupBy(*by).agg(F.min(order).alias("_a"), F.max(order).alias("_z"), F.min_by(u, o).alias("_ua"), F.max_by(u, o).alias("_uz"))
+    o = F.col(order)
+    d = df.select(*names, block_of(order, size).alias("_blk"), o.cast("long").alias(order), *[F.col(v).cast("double").alias(u) for v, u in zip(values, us, strict=True)])
+    edges = [c for u in us for c in (F.min_by(u, o).alias(f"_a{u}"), F.max_by(u, o).alias(f"_z{u}"))]
+    blocks = d.groupBy(*by).agg(F.min(order).alias("_a"), F.max(order).alias("_z"), *edges)
     track = Window.partitionBy(*names)
-    whole = {"_lo": F.min("_a"), "_hi": F.max("_z"), "_v0": F.min_by("_ua", "_a"), "_v1": F.max_by("_uz", "_z")}
+    whole = {"_lo": F.min("_a"), "_hi": F.max("_z")} | {f"_lo{u}": F.min_by(f"_a{u}", "_a") for u in us} | {f"_hi{u}": F.max_by(f"_z{u}", "_z") for u in us}
     d = d.join(blocks.select(*by, *[c.over(track).alias(n) for n, c in whole.items()]), by, "left")
-    point = lambda at, x: F.struct(at.alias(order), x.alias("_u"))
-    head = F.when((o - F.col("_lo")).between(1, reach), point(2 * F.col("_lo") - o, 2 * F.col("_v0") - u))
-    tail = F.when((F.col("_hi") - o).between(1, reach), point(2 * F.col("_hi") - o, 2 * F.col("_v1") - u))
-    padded = cut_lineage(d.select(*names, F.inline(F.array_compact(F.array(point(o, u), head, tail)))))
-    there = cut_lineage(recursive_filter(padded, names, order, "_u", kernel, name="_f", size=size).withColumn(order, -o))
-    back = recursive_filter(there, names, order, "_f", kernel, name=name, size=size).withColumn(order, -o)
+    mirrored = lambda end: F.struct((2 * F.col(end) - o).alias(order), *[(2 * F.col(f"{end}{u}") - F.col(u)).alias(u) for u in us])
+    head = F.when((o - F.col("_lo")).between(1, reach), mirrored("_lo"))
+    tail = F.when((F.col("_hi") - o).between(1, reach), mirrored("_hi"))
+    padded = cut_lineage(d.select(*names, F.inline(F.array_compact(F.array(F.struct(order, *us), head, tail)))))
+    there = cut_lineage(recursive_filter(padded, names, order, us, kernel, name=us, size=size).withColumn(order, -o))
+    back = recursive_filter(there, names, order, us, kernel, name=_listed(name), size=size).withColumn(order, -o)
     return df.join(back, [*names, order])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from strideframe.operators import recursive as R
 from strideframe.operators.kernels import find_peaks
-from strideframe.operators.ordered import BLOCK, halo, lag_lead, running_sum, scan
+from strideframe.operators.ordered import BLOCK, halo, lag_lead, read_once, running_sum, scan
 from strideframe.operators.quantiles import attach, exact_median, exact_quantiles
 from strideframe.operators.series import step_change
 from strideframe.session import cut_lineage
@@ -102,8 +102,7 @@ def pulse_envelope(
     d = filled(df, keys, order, left, F.lit(True), name="_l", size=size)
     d = cut_lineage(filled(d, keys, order, right, F.lit(True), name="_r", size=size))
     b, a = R.butterworth(filter_order, band, fps)
-    d = R.zero_phase(d, keys, order, "_l", b, a, name="_bl", size=size)
-    d = cut_lineage(R.zero_phase(d, keys, order, "_r", b, a, name="_br", size=size))
+    d = cut_lineage(R.zero_phase(d, keys, order, ["_l", "_r"], b, a, name=["_bl", "_br"], size=size))
     d = cut_lineage(R.envelope(d, keys, order, ["_bl", "_br"], name="env", half=half, size=size))
     d = R.zero_phase(d, keys, order, "env", *R.butterworth(filter_order, lowpass, fps), name="env_lp", size=size)
     return d.withColumn("bp_max", F.greatest(F.abs("_bl"), F.abs("_br"))).drop("_l", "_r", "_bl", "_br")
@@ -119,6 +118,7 @@ def envelope_peaks(
     within ``min_distance`` and within ``dedupe`` rows, and the mean envelope around it is at least ``ratio`` times that of the
     sine band. Isolation and trains follow by :func:`pulse_trains`.
     """
+    df = read_once(df)
     e = cut_lineage(pulse_envelope(df, keys, order, left, right, fps=fps, band=band, half=half, size=size, **shape))
     floor = exact_quantiles(e, keys, "bp_max", {"_floor": floor_percentile})
     p = lag_lead(e.select(*keys, order, "env_lp"), keys, order, lags={"_a": "env_lp"}, leads={"_b": "env_lp"}, size=size)

@@ -302,3 +302,18 @@ def test_zero_phase_reads_its_rows_twice(spark, monkeypatch):
     for k, v in data.items():
         got = [r.z for r in second.where(F.col("k") == k).orderBy("f").collect()]
         assert np.allclose(got, forward_backward(b, a, forward_backward(b, a, v)), atol=1e-7)
+
+
+@pytest.mark.parametrize("size", [7, 1000])
+def test_several_series_pass_in_one_go(spark, size, monkeypatch):
+    monkeypatch.setattr(recursive, "GROUP", 3)
+    b, a = recursive.butterworth(2, (200.0, 380.0), 800.0)
+    rng = np.random.default_rng(size)
+    data = {k: rng.normal(size=(n, 2)).cumsum(0) for k, n in ((1, 1), (2, 90), (3, 4))}
+    d = spark.createDataFrame([(k, i, *map(float, x)) for k, v in data.items() for i, x in enumerate(v)], "k long, f long, v double, w double")
+    d = recursive.zero_phase(d, ["k"], "f", ["v", "w"], b, a, name=["y", "z"], size=size)
+    assert d.columns == ["k", "f", "v", "w", "y", "z"]
+    for k, v in data.items():
+        got = np.array([(r.y, r.z) for r in d.where(F.col("k") == k).orderBy("f").collect()])
+        for i in range(2):
+            np.testing.assert_allclose(got[:, i], forward_backward(b, a, v[:, i]), atol=1e-7)
